@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import let, narrow
+from .native import let, narrow, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -15,7 +15,7 @@ BROADCAST_WORDS = 2_000_000
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, so that case, punctuation and separators don't hide a passage."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def shingles(items: Column, k: int) -> Column:
@@ -24,12 +24,6 @@ def shingles(items: Column, k: int) -> Column:
     return F.when(F.size(items) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def hashes(items: Column, k: int) -> Column:
-    """MinHash values of the runs of k words, by the one hash function of the sketches."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(items) - k), lambda i: F.xxhash64(*[F.get(items, i + j) for j in range(k)]))
-    return F.when(F.size(items) >= k, runs).otherwise(F.array().cast("array<bigint>"))
-
-
 def sketches(bench: DataFrame, threshold: float, k: int) -> DataFrame:
     """item_id, width, shingles, size_class, sketch: the bottom of each item's MinHash order.
 
@@ -40,7 +34,7 @@ def sketches(bench: DataFrame, threshold: float, k: int) -> DataFrame:
     items = narrow(bench, "item_id", "text").withColumn("_w", tokens(F.col("text"))).filter(F.size("_w") > 0)
     items = items.withColumn("width", F.least(F.size("_w"), F.lit(k)))
     pick = lambda f: F.coalesce(*[F.when(F.col("width") == n, f(F.col("_w"), n)) for n in range(1, k + 1)])
-    items = items.select("item_id", "width", pick(shingles).alias("shingles"), F.array_sort(F.array_distinct(pick(hashes))).alias("_h"))
+    items = items.select("item_id", "width", pick(shingles).alias("shingles"), F.array_sort(F.array_distinct(pick(windows))).alias("_h"))
     top = F.floor(F.log2(F.size("_h"))).cast("int")
     items = items.withColumn("size_class", top)
     depth = F.floor((1 - threshold) * (F.pow(F.lit(2), F.col("size_class") + 1) - 1) + 1e-9).cast("int") + 1
@@ -63,7 +57,7 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
     widths, small = sorted(facts["widths"]), (facts["words"] or 0) <= broadcast_words
     hint = F.broadcast if small else (lambda d: d)
     own = narrow(docs, "doc_id", "text").filter(F.length("text") > 0)
-    probe = let(tokens(F.col("text")), lambda w: F.concat(*[F.filter(hashes(w, n), lambda h: h <= F.lit(facts["top"])) for n in widths])) if not empty else F.array().cast("array<bigint>")
+    probe = let(tokens(F.col("text")), lambda w: F.concat(*[F.filter(windows(w, n), lambda h: h <= F.lit(facts["top"])) for n in widths])) if not empty else F.array().cast("array<bigint>")
     keys = hint(items.select(F.col("item_id").alias("_item"), F.explode("sketch").alias("_k")))
     found = own.select(F.col("doc_id").alias("_doc"), F.explode(probe).alias("_h")).join(keys, F.col("_h") == F.col("_k")).select("_doc", "_item").distinct()
     # one row for each candidate document, then its text once, then its items

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +46,28 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return -int(-size * threshold // (2 - threshold)), int(size * (2 - threshold) // threshold)
 
 
+def needed(known: list[tuple], threshold: float, texts: list[list[str]]) -> list[str]:
+    """Words of which every unit that matches any template holds at least one.
+
+    A match with a template of n bigrams shares at least threshold * (n + lower bound) / 2 of them; the words chosen touch
+    so many bigrams that without them too few are left.  Long words first: they are rare in other texts."""
+    chosen: list[str] = []
+    spare = [n - -int(-threshold * (n + lo) // 2) for _, _, n, lo, _ in known]
+    touched = lambda i, words: sum(not words.isdisjoint(g.split()) for g in known[i][1])
+    for least in (7, 5, 1):
+        while open_ := [i for i in range(len(known)) if touched(i, set(chosen)) <= spare[i]]:
+            words = sorted({w for i in open_ for w in texts[i] if len(w) >= least} - set(chosen))
+            if not words:
+                break
+            gain = lambda w: (sum(touched(i, {*chosen, w}) - touched(i, set(chosen)) > 0 for i in open_), len(w))
+            chosen.append(max(words, key=gain))
+    # a word that holds another needn't be looked for
+    return [w for w in chosen if not any(x != w and x in w for x in chosen)]
+
+
 def tokens(unit: Column) -> Column:
     """A unit's words after the same normalisation as the templates'."""
-    return F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(unit), "[^a-z0-9]+"), "")
 
 
 def bigrams(words: Column) -> Column:
@@ -63,12 +84,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
     counts the units that match, dice is the best.  Null, empty and unmatched texts give no row; a document that comes
     twice gives its rows twice.  All of it happens within the row: no shuffle, and only fixed templates in the plan."""
     known = [(name, g, len(g), *bounds(len(g), threshold)) for name, text in templates if (g := grams(normal(text)))]
+    keys = needed(known, threshold, [normal(text) for _, text in templates if len(normal(text)) > 1])
     low, high = min(k[3] for k in known), max(k[4] for k in known)
+    holds = lambda text: let(F.lower(text), lambda t: reduce(or_, [t.contains(k) for k in keys]))
     blank = r"\n[\x20\x09\x0B-\x0D]*\n"
     text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.when(text.rlike(blank), F.split(text, blank)).otherwise(F.array().cast("array<string>"))
     units = F.array_distinct(F.concat(F.split(text, "\n"), paragraphs, F.array(text)))
-    units = F.filter(units, lambda u: F.length(u) > 2 * low)  # `low` pairs need more characters
+    units = F.filter(units, lambda u: (F.length(u) > 2 * low) & holds(u))  # `low` pairs need more characters
     table = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(n).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*[F.lit(x) for x in g]).alias("g")) for name, g, n, lo, hi in known])
     none = F.array().cast("array<struct<license_id:string,dice:double>>")
 
@@ -79,7 +102,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
         return F.when((size >= low) & (size <= high), F.filter(scored, lambda s: s["dice"] >= threshold)).otherwise(none)
 
     hits = F.filter(F.transform(units, lambda u: let(tokens(u), matches)), lambda m: F.size(m) > 0)
-    found = narrow(docs, "doc_id", "text").select("doc_id", hits.alias("_hits")).filter(F.size("_hits") > 0)
+    found = narrow(docs, "doc_id", "text").filter(holds(F.coalesce("text", F.lit("")))).select("doc_id", hits.alias("_hits")).filter(F.size("_hits") > 0)
     found = found.select("doc_id", "_hits", F.explode(F.array_distinct(F.flatten(F.transform("_hits", lambda m: F.transform(m, lambda s: s["license_id"]))))).alias("license_id"))
     own = F.filter(F.transform("_hits", lambda m: F.array_max(F.transform(F.filter(m, lambda s: s["license_id"] == F.col("license_id")), lambda s: s["dice"]))), lambda d: d.isNotNull())
     return found.select("doc_id", "license_id", own.alias("_d")).select("doc_id", "license_id", F.array_max("_d").alias("dice"), F.size("_d").cast("long").alias("n_units"))

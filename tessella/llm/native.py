@@ -17,20 +17,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The runs without ASCII white space; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def count_in(text: Column, characters: str) -> Column:
     """How many of these characters the text holds."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
 
 
 def windows(items: Column, k: int) -> Column:
     """64-bit hashes of the runs of k items; empty if there are fewer."""
-    return F.when(
-        F.size(items) >= k,
-        F.transform(F.sequence(F.lit(0), F.size(items) - k), lambda i: F.xxhash64(*[F.get(items, i + j) for j in range(k)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    run = lambda w: lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])
+    all_of = lambda w: F.slice(F.transform(w, run(w)), 1, F.size(w) - k + 1)
+    return let(items, lambda w: F.when(F.size(w) >= k, all_of(w)).otherwise(F.array().cast("array<bigint>")))
 
 
 def narrow(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +25,17 @@ REPEAT_WORDS = 5
 MAX_LOST = 0.3
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation: symbols or doubled exclamation marks at every other word; navigation: three separators; boilerplate: a phrase in a short line."""
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    low = F.lower(line)
-    phrase = low.contains(BOILERPLATE[0])
-    for p in BOILERPLATE[1:]:
-        phrase = phrase | low.contains(p)
-    bars = F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("| ")))
-    symbols = count_in(line, SYMBOLS)
-    return (2 * symbols > spaces + 1) | (2 * shouts > spaces + 1) | (bars >= 3) | ((F.length(line) <= PHRASE_CHARS) & phrase)
+def phrase_fails(line: Column) -> Column:
+    """Boilerplate: a phrase of site furniture in a short line."""
+    any_of = lambda low: reduce(or_, [low.contains(p) for p in BOILERPLATE])
+    return F.when(F.length(line) <= PHRASE_CHARS, let(F.lower(line), any_of)).otherwise(False)
+
+
+def marks_fail(line: Column) -> Column:
+    """Punctuation: symbols or doubled exclamation marks at every other word; navigation: three separators between items."""
+    without = lambda a, b: F.length(line) - F.length(F.replace(line, F.lit(a), F.lit(b)))
+    spaces = without(" ", "")
+    return (2 * count_in(line, SYMBOLS) > spaces + 1) | (2 * without("!!", "!") > spaces + 1) | (without(" | ", "| ") >= 3)
 
 
 def repeat_words(items: Column) -> Column:
@@ -64,15 +67,19 @@ def assess(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     give rows that are alike; an empty table gives an empty one.  Everything is decided within the row, without a
     shuffle, so hot sources and groups of copies don't matter."""
     out = narrow(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    out = out.withColumn("_words", words(F.col("text"))).withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""))
-    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
+    out = out.withColumn("_words", words(F.col("text"))).withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
     long = lambda c: c.cast("long")
+    out = out.withColumn("n_symbols", long(count_in(F.col("text"), SYMBOLS)))
+    # only texts that hold any mark need the rules on marks
+    marked = (F.col("n_symbols") > 0) | F.col("text").contains("!!")
+    good = F.when(marked, F.filter("_lines", lambda x: ~(marks_fail(x) | phrase_fails(x)))).otherwise(F.filter("_lines", lambda x: ~phrase_fails(x)))
+    out = out.withColumn("_good", good)
     clean = F.array_join("_good", "\n")
     out = out.select(
         "doc_id",
         long(F.size("_words")).alias("n_words"),
-        long(F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
-        long(count_in(F.col("text"), SYMBOLS)).alias("n_symbols"),
+        long(F.length(F.array_join("_words", ""))).alias("word_chars"),
+        "n_symbols",
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         long(repeat_words(F.col("_words"))).alias("n_repeat_words"),
         long(F.when(F.size("_good") == F.size("_lines"), F.lit(0)).otherwise(F.size("_words") - F.size(words(clean)))).alias("lost_words"),

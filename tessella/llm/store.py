@@ -7,18 +7,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir; only a local session without that setting gets one of its own."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        have = context._jsc.sc().getCheckpointDir()
+        if have.isDefined():
+            return have.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; later stages survive lost executors without recomputing it.
-
-    Only a local session without that setting gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+    """A reliable checkpoint in the shared folder; later stages survive lost executors without recomputing it."""
+    spark = df.sparkSession
+    where = folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint()
 
 
