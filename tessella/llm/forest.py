@@ -76,7 +76,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), values.cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def candidates(nodes: DataFrame, trees: int = TREES, least: int = LEAST, neighbours: int = NEIGHBOURS, region: int = REGION) -> DataFrame:
+def candidates(nodes: DataFrame, trees: int = TREES, least: int = LEAST, neighbours: int = NEIGHBOURS, region: int = REGION, percent: int = PERCENT) -> DataFrame:
     """nodes (node, n_shingles, signature) -> distinct pairs (a, b) with a < b.
 
     Each tree is one sorted order of the signatures; a node pairs with the next `neighbours` in it that share a prefix
@@ -108,7 +108,7 @@ def candidates(nodes: DataFrame, trees: int = TREES, least: int = LEAST, neighbo
     order = Window.partitionBy("_key").orderBy("_s", "node")
     following = F.array(*[F.lead(F.struct("node", "n_shingles"), j).over(order) for j in range(1, neighbours + 1)])
     near = rows.select("node", "n_shingles", following.alias("_f")).filter(F.get("_f", F.lit(0)).isNotNull())
-    fits = lambda x: x.isNotNull() & (100 * F.least(x["n_shingles"], F.col("n_shingles")) >= PERCENT * F.greatest(x["n_shingles"], F.col("n_shingles")))
+    fits = lambda x: x.isNotNull() & (100 * F.least(x["n_shingles"], F.col("n_shingles")) >= percent * F.greatest(x["n_shingles"], F.col("n_shingles")))
     pairs = near.select("node", F.explode(F.filter("_f", fits)).alias("_o")).select(F.col("node").alias("a"), F.col("_o.node").alias("b"))
     for s in stars:
         pairs = pairs.union(s.select("a", "b"))
@@ -135,7 +135,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = cut(own.mapInArrow(_sign, SIGNED))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("_text_hash").alias("_h"))
     nodes = cut(nodes)
-    pairs = cut(candidates(nodes))
+    pairs = cut(candidates(nodes, percent=percent))
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     # one text for each node that has a candidate
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("_h")).distinct()

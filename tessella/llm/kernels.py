@@ -138,18 +138,35 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """For each of the len(h) - w + 1 windows the position of its smallest value, the leftmost on ties."""
+    """For each of the len(h) - w + 1 windows the position of its smallest value (by the upper 32 bits), the leftmost on ties."""
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    if w == 1:
-        return np.arange(n)
-    # (value, position) ranks by doubling: block minima of a power of two, then two overlapping blocks
-    best = np.arange(len(h))
+    low = U64(0xFFFFFFFF)
+    best = (h & ~low) | np.arange(len(h), dtype=U64)
     span = 1
     while span * 2 <= w:
-        a, b = best[: len(best) - span], best[span:]
-        best = np.where(h[b] < h[a], b, a)
+        best = np.minimum(best[: len(best) - span], best[span:])
         span *= 2
-    a, b = best[:n], best[w - span : w - span + n]
-    return np.where(h[b] < h[a], b, a)
+    return (np.minimum(best[:n], best[w - span : w - span + n]) & low).astype(np.int64)
+
+
+def segments(grams: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers: document, first window, number of windows and minimiser position of each run of windows with one minimiser.
+
+    grams[i]: hash of the k symbols from i; first: where each document's symbols begin (n + 1 values).  A window is
+    `window` symbols of one document; all positions count from the start of the buffer."""
+    n = int(first[-1])
+    if n < window:
+        return (np.zeros(0, np.int64),) * 4
+    best = sliding_argmin(grams, window - k + 1)
+    size = np.diff(first)
+    have = np.maximum(size - window + 1, 0)
+    at = np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have) + np.repeat(first[:-1], have)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
+    best, doc = best[at], np.repeat(np.arange(len(size)), have)
+    edge = np.ones(len(at), bool)
+    edge[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(edge)
+    return doc[begin], at[begin], np.diff(np.append(begin, len(at))), best[begin]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, mixing, quality
+from . import decontam, forest, license_scan, mixing, pii, quality, substring, suffix, toxicity, warc
 from .store import table
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -25,12 +25,36 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("clean_text")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op5_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_minhash_forest, op5_mixing, op6_toxicity, op7_pii, op8_suffix_array, op9_substring, op10_warc)}
 
 
 def _op1() -> str:
@@ -100,5 +124,34 @@ c AS (SELECT d.*, s, target, e, floor(target - e * s)::BIGINT AS rest,
 SELECT doc_id, size, s AS source_size, target, (e * size + least(size, greatest(0, rest - before)))::BIGINT AS taken FROM c"""
 
 
+OP4 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+e AS (SELECT r, unnest(s) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN s x ON x.r = p.a JOIN s y ON y.r = p.b WHERE 100 * n >= {forest.PERCENT} * (len(x.s) + len(y.s) - n)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(r, q) AS (SELECT r, r FROM s UNION SELECT c.r, m.b FROM c JOIN m ON m.a = c.q),
+k AS (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON t.r = c.q GROUP BY c.r),
+v AS (SELECT r, doc_id, s, md5(array_to_string(list_sort(s), chr(10))) AS h FROM s),
+g AS (SELECT x.h, count(DISTINCT y.h) AS n FROM m JOIN v x ON x.r = m.a JOIN v y ON y.r = m.b WHERE x.h <> y.h GROUP BY x.h)
+SELECT v.doc_id, len(v.s)::BIGINT AS n_shingles, component_id, coalesce(g.n, 0)::BIGINT AS n_links, v.doc_id = component_id AS kept FROM v JOIN k USING (r) LEFT JOIN g USING (h)"""
+
+OP10 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= {warc.REVISIT_BYTES}) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM t"""
+
+
+OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY md5(g)) AS n FROM g) WHERE n > 1),
+b AS (SELECT r, list(i) AS s FROM (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM t) GROUP BY r),
+k AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(s), 0)::BIGINT AS n_removed,
+  CASE WHEN s IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(s, x[2])), lambda x: x[1]) END AS k FROM d LEFT JOIN b USING (r))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op5_mixing": OP5}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op9_substring": OP9, "op10_warc": OP10}
