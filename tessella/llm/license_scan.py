@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 from functools import reduce
 from operator import or_
 
@@ -43,7 +45,8 @@ def grams(tokens: list[str]) -> list[str]:
 
 def bounds(size: int, threshold: float) -> tuple[int, int]:
     """Numbers of bigrams with which a Dice coefficient of the threshold is possible at all."""
-    return -int(-size * threshold // (2 - threshold)), int(size * (2 - threshold) // threshold)
+    t = Fraction(str(threshold))  # exact: a bound may be a whole number
+    return math.ceil(size * t / (2 - t)), math.floor(size * (2 - t) / t)
 
 
 def needed(known: list[tuple], threshold: float, texts: list[list[str]]) -> list[str]:
@@ -52,7 +55,7 @@ def needed(known: list[tuple], threshold: float, texts: list[list[str]]) -> list
     A match with a template of n bigrams shares at least threshold * (n + lower bound) / 2 of them; the words chosen touch
     so many bigrams that without them too few are left.  Long words first: they are rare in other texts."""
     chosen: list[str] = []
-    spare = [n - -int(-threshold * (n + lo) // 2) for _, _, n, lo, _ in known]
+    spare = [n - math.ceil(Fraction(str(threshold)) * (n + lo) / 2) for _, _, n, lo, _ in known]
     touched = lambda i, words: sum(not words.isdisjoint(g.split()) for g in known[i][1])
     for least in (7, 5, 1):
         while open_ := [i for i in range(len(known)) if touched(i, set(chosen)) <= spare[i]]:
@@ -79,8 +82,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
     """doc_id, license_id, dice, n_units: a row for each document and licence that one of its units matches.
 
     Units are the lines, the paragraphs between blank lines and the whole text, each distinct one once.  Dice is
-    twice the number of shared distinct bigrams over the template's bigrams plus the unit's pairs of adjacent words.
-    A template is compared only with units within its size bounds; other units are never split into bigrams.  n_units
+    twice the number of shared distinct bigrams over the sum of both numbers of distinct bigrams.  A template is compared
+    only with units within its size bounds, and units without any of the words that a match needs are never split.  n_units
     counts the units that match, dice is the best.  Null, empty and unmatched texts give no row; a document that comes
     twice gives its rows twice.  All of it happens within the row: no shuffle, and only fixed templates in the plan."""
     known = [(name, g, len(g), *bounds(len(g), threshold)) for name, text in templates if (g := grams(normal(text)))]
@@ -95,13 +98,14 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPL
     table = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(n).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*[F.lit(x) for x in g]).alias("g")) for name, g, n, lo, hi in known])
     none = F.array().cast("array<struct<license_id:string,dice:double>>")
 
-    def matches(words: Column) -> Column:
-        size = F.size(words) - 1
+    def matches(grams: Column) -> Column:
+        size = F.size(grams)
         near = F.filter(table, lambda t: (size >= t["lo"]) & (size <= t["hi"]))
-        scored = let(bigrams(words), lambda g: F.transform(near, lambda t: F.struct(t["license_id"].alias("license_id"), (2.0 * F.size(F.array_intersect(t["g"], g)) / (t["n"] + size)).alias("dice"))))
+        scored = F.transform(near, lambda t: F.struct(t["license_id"].alias("license_id"), (2.0 * F.size(F.array_intersect(t["g"], grams)) / (t["n"] + size)).alias("dice")))
         return F.when((size >= low) & (size <= high), F.filter(scored, lambda s: s["dice"] >= threshold)).otherwise(none)
 
-    hits = F.filter(F.transform(units, lambda u: let(tokens(u), matches)), lambda m: F.size(m) > 0)
+    pairs = lambda words: F.when(F.size(words) > low, let(bigrams(words), matches)).otherwise(none)
+    hits = F.filter(F.transform(units, lambda u: let(tokens(u), pairs)), lambda m: F.size(m) > 0)
     found = narrow(docs, "doc_id", "text").filter(holds(F.coalesce("text", F.lit("")))).select("doc_id", hits.alias("_hits")).filter(F.size("_hits") > 0)
     found = found.select("doc_id", "_hits", F.explode(F.array_distinct(F.flatten(F.transform("_hits", lambda m: F.transform(m, lambda s: s["license_id"]))))).alias("license_id"))
     own = F.filter(F.transform("_hits", lambda m: F.array_max(F.transform(F.filter(m, lambda s: s["license_id"] == F.col("license_id")), lambda s: s["dice"]))), lambda d: d.isNotNull())

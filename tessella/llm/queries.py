@@ -68,7 +68,7 @@ WITH t(license_id, n, lo, hi, g) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT r, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[\x20\x09\x0B-\x0D]*\n'), [text]))) AS u FROM d),
 w AS (SELECT r, doc_id, u, list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u),
-b AS (SELECT r, doc_id, u, len(w) - 1 AS s, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1 AND len(w) - 1 <= (SELECT max(hi) FROM t)),
+b AS (SELECT r, doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b, len(b) AS s FROM w WHERE len(w) > 1),
 m AS (SELECT r, doc_id, u, license_id, max(2.0::DOUBLE * len(list_intersect(g, b)) / (n + s)) AS dice FROM b JOIN t ON s BETWEEN lo AND hi GROUP BY ALL)
 SELECT doc_id, license_id, max(dice) AS dice, count(*)::BIGINT AS n_units FROM m WHERE dice >= {license_scan.THRESHOLD} GROUP BY r, doc_id, license_id"""
 

@@ -123,9 +123,12 @@ def frames(data: bytes) -> Iterator[bytes]:
             raise ValueError("a skippable frame is cut short")
         if at == 0 and magic == DICT_MAGIC:
             content = bytes(view[8 : 8 + size])
-            if content[:4] == struct.pack("<I", ZSTD_MAGIC):
-                content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-            dictionary = zstandard.ZstdCompressionDict(content)
+            try:
+                if content[:4] == struct.pack("<I", ZSTD_MAGIC):
+                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
+                dictionary = zstandard.ZstdCompressionDict(content)
+            except zstandard.ZstdError as error:
+                raise ValueError(f"bad dictionary: {error}") from error
         at += 8 + size
     unpacker = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(view):
