@@ -94,8 +94,7 @@ def fit(buf: np.ndarray, off: np.ndarray, label: np.ndarray, share: float) -> Mo
 
     share: that of toxic documents where the model is used; the intercept is moved from the sample's to it."""
     rng = np.random.RandomState(SEED)
-    vectors = rng.uniform(-1, 1, (BUCKETS + 1, DIMENSION)).astype(np.float32) / DIMENSION
-    vectors[BUCKETS] = 0
+    vectors = np.zeros((BUCKETS + 1, DIMENSION), np.float32)  # so a subword that was never seen says nothing
     heads = rng.uniform(-1, 1, (DIMENSION, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen, seen_heads, seen_bias = np.full(BUCKETS + 1, 1e-3, np.float32), np.full((DIMENSION, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
