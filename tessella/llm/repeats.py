@@ -198,7 +198,9 @@ def repeats(docs: DataFrame, unit: Unit, decide: Decide, windows: Callable[[byte
     own = docs.select("_row", "text")
     often = own.select("text").mapInArrow(_bounds(unit), "mz long, n long").groupBy("mz").agg(F.sum("n").alias("_n")).filter("_n > 1")
     refs = own.mapInArrow(_references(unit), "mz long, seg long, _row long, at long")
-    refs = cut(refs.join(often.select("mz"), "mz", "left_semi"))
+    # dealt anew, so that both sides of the join have a shuffle of their own and Spark may split a hot minimiser
+    often = often.select("mz").repartition(F.xxhash64("mz"))
+    refs = cut(refs.join(often, "mz", "left_semi"))
     alike = cut(refs.groupBy("mz", "seg").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_row", "at")).alias("_h")))
     several = alike.groupBy("mz").agg(F.count(F.lit(1)).alias("_d"), F.min("_c").alias("_least")).filter("_d > 1 AND _least = 1")
     parts = F.ceil(F.col("_d") / F.lit(BUCKET))
