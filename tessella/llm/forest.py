@@ -140,6 +140,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one text for each node that has a candidate
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("_h")).distinct()
     sets = own.join(wanted, F.col("_text_hash") == F.col("_h"), "left_semi").select("text").mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    sets = sets.repartition(F.xxhash64("node"))  # so that Spark may split a hot node of the joins with the pairs
     links = cut(confirmed(pairs, sets, percent))
     label = nodes.select("node", F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("id"), "node").alias("label"))
     found = components(links, label)
