@@ -11,7 +11,7 @@ WEIGHTS = (1, 2, 3)
 #: At most so many passes over a source.
 EPOCHS = 3
 #: Rows of a source in one range of random keys; what one task sorts and sums.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SEED = "mix"
 
 
