@@ -210,7 +210,9 @@ def repeats(docs: DataFrame, unit: Unit, decide: Decide, windows: Callable[[byte
     packed = own.filter(F.length("text") > 0).mapInArrow(_pack, "_row long, text binary")
     shipped = packed.join(wanted, "_row").select("text", "_wanted").mapInArrow(_extract(unit), PACKED)
     # rows that repeat bring the same segment twice
-    shipped = shipped.repartition("mz", "part").sortWithinPartitions("mz", "part", "seg")
+    # a number of its own: a decision costs far more than its bytes tell, so small partitions must not be merged
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shipped = shipped.repartition(tasks, "mz", "part").sortWithinPartitions("mz", "part", "seg")
     decided = cut(shipped.mapInArrow(_decide(decide, windows), DECIDED))
     single = decided.filter(F.col("window").isNotNull())
     shared = single.groupBy("mz", "window").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")

@@ -89,8 +89,10 @@ def build(strings: list[bytes], depth: int, folder: str) -> tuple[str, str]:
         some = np.flatnonzero(after < len(lcp))
         lcp[after[some]] = down[some]
         side = 1 - side
-        bwt.tofile(names[side])
-        lcp.tofile(names[2 + side])
+        for name, values in ((names[side], bwt), (names[2 + side], lcp)):
+            if os.path.exists(name):
+                os.remove(name)  # some file systems flush a file that is cut to nothing and written again
+            values.tofile(name)
         place = where
     return names[side], names[2 + side]
 
