@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from .repeats import Segment, Unit, covered, unpack, with_spans
 
 WINDOW, GRAM = 200, 32
-#: Stands before a whole string in the transform; no byte of UTF-8 is like it.
-END = 0xFF
 #: Distances of the minimiser that share one middle part in the test before the transform.
 STEP = 24
 
@@ -43,35 +41,41 @@ def _spread(old: np.ndarray, where: np.ndarray, values: np.ndarray) -> np.ndarra
     return new
 
 
-def _rank(bwt: np.ndarray, order: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Where each place stands in `order`, the places sorted by symbol and then by themselves."""
-    ends = np.cumsum(np.bincount(bwt, minlength=256))
-    symbol, out = bwt[place], np.empty(len(place), np.int64)
-    for c in np.unique(symbol).tolist():
-        mine = np.flatnonzero(symbol == c)
-        first = ends[c - 1] if c else 0
-        out[mine] = first + np.searchsorted(order[first : ends[c]], place[mine])
-    return out
+def _standing(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places sorted by symbol and then by themselves, and where each place stands among them."""
+    order = np.argsort(bwt, kind="stable")  # a radix sort for small symbols
+    rank = np.empty(len(bwt), np.int32)
+    rank[order] = np.arange(len(bwt), dtype=np.int32)
+    return order, rank
 
 
-def build(strings: list[bytes], depth: int, folder: str) -> tuple[str, str]:
-    """Files with the Burrows-Wheeler transform and the common prefixes, up to `depth`, of all suffixes of the strings."""
-    m = len(strings)
+def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]:
+    """Files with the Burrows-Wheeler transform and the common prefixes, up to `depth` symbols, of all suffixes of the strings.
+
+    Symbols are unsigned bytes or pairs of them; the largest value stands before a whole string and occurs in none."""
+    m, kind = len(strings), strings[0].dtype
+    end = np.iinfo(kind).max
     size = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    text = np.concatenate(strings)
     past = np.cumsum(size)
-    names = [os.path.join(folder, f"{kind}{i}") for kind in ("bwt", "lcp") for i in (0, 1)]
-    before = lambda who, length: np.where(size[who] > length, text[np.maximum(past[who] - length - 1, 0)] if len(text) else END, END).astype(np.uint8)
+    names = [os.path.join(folder, f"{what}{i}") for what in ("bwt", "lcp") for i in (0, 1)]
+
+    def before(who: np.ndarray, length: int) -> np.ndarray:
+        inside = size[who] > length
+        out = np.full(len(who), end, kind)
+        out[inside] = text[past[who[inside]] - length - 1]
+        return out
+
     who = np.arange(m)
     before(who, 0).tofile(names[0])  # round 0: the empty suffixes, in the strings' order
     np.zeros(m, np.uint8).tofile(names[2])
     place, side = np.arange(m), 0
     for length in range(1, int(size.max(initial=0)) + 1):
-        bwt, lcp = np.fromfile(names[side], np.uint8), np.fromfile(names[2 + side], np.uint8)
+        bwt, lcp = np.fromfile(names[side], kind), np.fromfile(names[2 + side], np.uint8)
         live = size[who] >= length
         who, place = who[live], place[live]
-        order = np.argsort(bwt, kind="stable")
-        at = _rank(bwt, order, place)
+        order, rank = _standing(bwt)
+        at = rank[place].astype(np.int64)
         by = np.argsort(at)
         who, place, at = who[by], place[by], at[by]
         symbol = bwt[place]
@@ -98,30 +102,33 @@ def build(strings: list[bytes], depth: int, folder: str) -> tuple[str, str]:
 
 
 def shared_windows(strings: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
-    """For each string whether the window at each of its first `count` places is in the collection once more."""
+    """For each string whether the window at each of its first `count` places is in the collection once more.
+
+    Where the window's length is even, pairs of bytes are the symbols: half the rounds.  Each string then takes part from its first byte, for
+    windows at even places, and from its second, for those at odd ones."""
     known: dict[bytes, int] = {}
     for s in strings:
         known.setdefault(s, len(known))
-    distinct = list(known)
-    size = np.array([len(s) for s in distinct])
-    flags = [np.zeros(max(len(s) - window + 1, 0), bool) for s in distinct]
+    wide = 2 - window % 2
+    kind = np.dtype(np.uint16 if wide == 2 else np.uint8)
+    parts = [np.frombuffer(s, kind, max(len(s) - i, 0) // wide, i) if len(s) - i >= wide else np.zeros(0, kind) for s in known for i in range(wide)]
+    flags = [np.zeros(max(len(s) - window + 1, 0), bool) for s in known]
+    size, depth = np.array([len(p) for p in parts]), window // wide
     with tempfile.TemporaryDirectory() as folder:
-        files = build(distinct, window, folder)
-        bwt, lcp = (np.fromfile(f, np.uint8) for f in files)
-    twice = lcp >= window
-    twice[:-1] |= lcp[1:] >= window
-    order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(bwt), np.int64)
-    rank[order] = np.arange(len(bwt))
-    who, place = np.arange(len(distinct)), np.arange(len(distinct))
+        files = build(parts, depth, folder)
+        bwt, lcp = np.fromfile(files[0], kind), np.fromfile(files[1], np.uint8)
+    twice = lcp >= depth
+    twice[:-1] |= lcp[1:] >= depth
+    _, rank = _standing(bwt)
+    who, place = np.arange(len(parts)), np.arange(len(parts))
     for length in range(1, int(size.max(initial=0)) + 1):  # walk back through each string
         live = size[who] >= length
         who = who[live]
-        place = len(distinct) + rank[place[live]]
-        if length >= window:
-            for s, f in zip(who.tolist(), twice[place].tolist(), strict=True):
-                if f:
-                    flags[s][size[s] - length] = True
+        place = len(parts) + rank[place[live]]
+        if length >= depth:
+            hit = who[twice[place]]
+            for p in hit.tolist():
+                flags[p // wide][(size[p] - length) * wide + p % wide] = True
     return [flags[known[s]][:n] for s, n in zip(strings, counts, strict=True)]
 
 
