@@ -87,7 +87,7 @@ def relations(objects: DataFrame, frame: str, ordinal: str, centroid: str, most:
     """Pairs of a frame at most `most` apart, named by the axis on which they differ most.
 
     Rows are cut into cells of edge `most`; only neighbouring cells meet, so a crowded frame isn't squared.
-    `upright` names b above a as `b on_top_of a`'s inverse; without it the reference's inverted naming is kept."""
+    `upright` names b above a as `b on_top_of a`'s inverse; without it the name is that of the data's source, the other way round."""
     cell = lambda i: F.floor(at(F.col(centroid), i) / most)
     a = objects.select(F.col(frame).alias("_f"), F.col(ordinal).alias("i"), F.col(centroid).alias("p"), *[cell(i).alias(f"_c{i}") for i in range(3)])
     b = objects.select(F.col(frame).alias("_g"), F.col(ordinal).alias("j"), F.col(centroid).alias("q"), *[cell(i).alias(f"_d{i}") for i in range(3)])
