@@ -20,10 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def islands(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """vertex, island (the smallest vertex reached).  Labels fall to the neighbours' least and then to that label's own label, so
+    """vertex, island (the smallest vertex reached), for the vertices given and all ends of edges.  Labels fall to the neighbours' least and then to that label's own label, so
     long chains halve each round."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    now = cut(vertices.select("vertex", F.col("vertex").alias("island")))
+    ends = vertices.select("vertex").union(both.select(F.col("src").alias("vertex"))).distinct()
+    now = cut(ends.select("vertex", F.col("vertex").alias("island")))
     while True:
         near = both.join(now.select(F.col("vertex").alias("dst"), "island"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("island").alias("_near"))
         step = now.join(near, "vertex", "left").select("vertex", F.col("island").alias("_was"), F.least("island", F.coalesce("_near", "island")).alias("_i"))

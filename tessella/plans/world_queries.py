@@ -275,7 +275,7 @@ def edge_table(t: Tables) -> DataFrame:
 @query(EDGES + " SELECT a AS vertex, min(b) AS island FROM r GROUP BY a HAVING a < 310")
 def gra1_islands(t: Tables) -> DataFrame:
     v = t("customer").filter("c_custkey < 310").select(c("c_custkey").alias("vertex"))
-    return graph.islands(edge_table(t).filter("dst < 310"), v)
+    return graph.islands(edge_table(t), v).join(v, "vertex", "left_semi")
 
 
 PATHS = "WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + c_custkey % 3 + 1 AS dst, (c_custkey * 7 % 5 + 1)::DOUBLE AS w FROM customer WHERE c_custkey < 60 UNION ALL SELECT c_custkey, c_custkey + 2, (c_custkey * 3 % 4 + 1)::DOUBLE FROM customer WHERE c_custkey < 60), p(source, vertex, cost) AS (SELECT c_custkey, c_custkey, 0.0::DOUBLE FROM customer WHERE c_custkey IN (0, 25) UNION SELECT source, dst, cost + w FROM p JOIN e ON src = vertex), b AS (SELECT source, vertex, min(cost) AS cost FROM p GROUP BY ALL)"
