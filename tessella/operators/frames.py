@@ -54,7 +54,7 @@ def phrase(relation: Column) -> Column:
 def canonical(df: DataFrame, synonyms: DataFrame, label: str = "label") -> DataFrame:
     """Trimmed lower-case labels, replaced by synonyms (word, canonical)."""
     key = F.lower(F.trim(F.col(label)))
-    out = df.join(F.broadcast(synonyms.select(F.col("word").alias("_w"), F.col("canonical").alias("_c"))), key == F.col("_w"), "left")
+    out = df.join(synonyms.select(F.col("word").alias("_w"), F.col("canonical").alias("_c")), key == F.col("_w"), "left")
     return out.withColumn(label, F.coalesce("_c", key)).drop("_w", "_c")
 
 

@@ -436,7 +436,7 @@ def snk6_dictionary_codes(t: Tables) -> DataFrame:
 @query("WITH f AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY event_type) SELECT event_id, event_type FROM events")
 def join18_dictionary_decode(t: Tables) -> DataFrame:
     rows, names = sinks.dictionary(t("events"), "event_type", "event_id")
-    return rows.join(F.broadcast(names), "code").select("event_id", "event_type")
+    return rows.join(names, "code").select("event_id", "event_type")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
