@@ -160,3 +160,21 @@ def test_streams(spark, tmp_path):
     q = changed.writeStream.format("memory").queryName("changed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.k, r.seq) for r in spark.table("changed").collect()} == {(1, 1), (1, 2), (2, 3), (3, 5)}
+
+
+def test_measures():
+    from tessella.operators.registry import Measures
+
+    own = Measures()
+    own.register("a", ["b"])(lambda: F.col("b"))
+    own.register("b", ["c"])(lambda: F.col("c"))
+    own.register("c")(lambda: F.lit(1))
+    assert own.order(["a"]) == ["c", "b", "a"]
+    with pytest.raises(ValueError):
+        own.register("a")(lambda: F.lit(1))
+    own.register("x", ["y"])(lambda: F.lit(1))
+    own.register("y", ["x"])(lambda: F.lit(1))
+    with pytest.raises(ValueError):
+        own.order(["x"])
+    with pytest.raises(ValueError):
+        own.order(["none"])
