@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .components import components
 from .kernels import LOWER, U64, column, mix, passes, shingles
 from .native import narrow
+from .repeats import _pack, unpack
 from .store import cut
 
 SHINGLE = 5
@@ -66,8 +68,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("_text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "_text_hash", "n_shingles", "node", "signature"])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The same rows with `text` compressed: less to shuffle and keep on disk where whole texts must move."""
+    return df.mapInArrow(_pack, StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in df.schema.fields]))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                at = batch.schema.get_field_index("text")
+                texts = pa.array([None if x is None else unpack(x).decode() for x in batch.column(at).to_pylist()], pa.string())
+                yield pa.record_batch([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, StructType([StructField(f.name, StringType()) if f.name == "text" else f for f in df.schema.fields]))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for whole in batches:
+        batch = pa.record_batch([pa.array([unpack(x) for x in whole.column("text").to_pylist()], pa.binary())], ["text"])
         for _, _, v, o in lowered(batch):
             have = np.flatnonzero(np.diff(o))
             if len(have):
@@ -139,7 +159,8 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     # one text for each node that has a candidate
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("_h")).distinct()
-    sets = own.join(wanted, F.col("_text_hash") == F.col("_h"), "left_semi").select("text").mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    texts = packed(own.filter(F.length("text") > 0).select("_text_hash", "text"))
+    sets = texts.join(wanted, F.col("_text_hash") == F.col("_h"), "left_semi").select("text").mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
     sets = sets.repartition(F.xxhash64("node"))  # so that Spark may split a hot node of the joins with the pairs
     links = cut(confirmed(pairs, sets, percent))
     label = nodes.select("node", F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("id"), "node").alias("label"))
@@ -160,10 +181,10 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     names = docs.columns
     found = cut(clusters(docs, percent))
     lost = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_h")).distinct()
-    out = docs.withColumn("_text_hash", F.xxhash64("text"))
+    out = packed(docs.withColumn("_text_hash", F.xxhash64("text")))
     out = out.join(lost, out["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left_anti")
     kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0))
     if kept.groupBy("doc_id", "_text_hash").count().filter("count > 1").limit(1).count():
         # a node kept under its smallest id by several rows: keep one of them
         out = out.dropDuplicates(["doc_id", "_text_hash"])
-    return out.select(*names)
+    return unpacked(out.select(*names))
