@@ -20,7 +20,7 @@ DIMENSION = 8
 #: Words of one bag; a document scores as its worst bag does, so its length doesn't dilute an insult.
 BAG_WORDS = 12
 #: The classifier is fitted on at most so many labelled rows of each class, chosen by a hash of doc_id, none longer than this.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3500, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2400, 8_000
 EPOCHS, RATE, BATCH, SEED = 14, 0.5, 64, 7
 CUT = 0.3
 
