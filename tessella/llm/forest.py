@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ NEIGHBOURS = 6
 #: A region (documents with one prefix) with more members is told apart by longer prefixes.
 REGION = 2000
 BROADCAST_REGIONS = 1_000_000
+#: Of a crowd, about so many shingles are compared with as many others in one task; so many members' keys are broadcast.
+BLOCK, BROADCAST_MEMBERS = 600_000, 100_000
 _rng = np.random.RandomState(11)
 _XOR = _rng.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 _MUL = (_rng.randint(0, 1 << 31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -96,21 +98,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), values.cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def candidates(nodes: DataFrame, trees: int = TREES, least: int = LEAST, neighbours: int = NEIGHBOURS, region: int = REGION, percent: int = PERCENT) -> DataFrame:
+def keyed(nodes: DataFrame, trees: int = TREES, least: int = LEAST) -> tuple[DataFrame, Callable[[int], Column]]:
+    """node, n_shingles, _t, _s, _key for each tree: its sorted values, and the hash of their prefix; and the hash of deeper ones."""
+    width = 4 * DEPTH
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), t * width + 1, F.lit(width))))
+    deep = lambda d: F.xxhash64("_t", F.substring("_s", 1, 4 * d))
+    return nodes.select("node", "n_shingles", tree.alias("_t", "_s")).withColumn("_key", deep(least)), deep
+
+
+def few(df: DataFrame, n: int, limit: int = BROADCAST_REGIONS) -> DataFrame:
+    return F.broadcast(df) if n <= limit else df
+
+
+def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sets(batches):
+        sets = [v.values.to_numpy().tobytes() for v in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def candidates(nodes: DataFrame, trees: int = TREES, least: int = LEAST, neighbours: int = NEIGHBOURS, region: int = REGION, percent: int = PERCENT, crowded: DataFrame | None = None) -> DataFrame:
     """nodes (node, n_shingles, signature) -> distinct pairs (a, b) with a < b.
 
     Each tree is one sorted order of the signatures; a node pairs with the next `neighbours` in it that share a prefix
     of `least` values, those with the longest common prefix first.  A region of more than `region` nodes isn't sorted in one
     task: there the prefix grows by two values at a time, at the end by bits of the node's digest, and every member also
-    pairs with three members fixed for the whole region, so its parts stay connected."""
-    width = 4 * DEPTH
-    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), t * width + 1, F.lit(width))))
-    rows = nodes.select("node", "n_shingles", tree.alias("_t", "_s"))
-    deep = lambda d: F.xxhash64("_t", F.substring("_s", 1, 4 * d))
-    rows = rows.withColumn("_key", deep(least))
+    pairs with three members fixed for the whole region, so its parts stay connected.  Regions with their `_key` in
+    `crowded` are left out: no other may then have more than `neighbours` + 1 nodes, so that all pairs of them meet."""
+    rows, deep = keyed(nodes, trees, least)
     counts = lambda r: r.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_x"), F.max("node").alias("_y"), F.min_by("node", F.xxhash64("node")).alias("_z")).filter(F.col("_n") > region)
-    hot, parts, stars, d = cut(counts(rows)), [], [], least
-    while (many := hot.count()) > 0:
+    parts, stars, d = [], [], least
+    if crowded is None:
+        hot = cut(counts(rows))
+    else:
+        rows, hot = rows.join(few(crowded.select("_key"), crowded.count()), "_key", "left_anti"), None
+    while hot is not None and (many := hot.count()) > 0:
         hint = F.broadcast if many <= BROADCAST_REGIONS else (lambda x: x)
         parts.append(rows.join(hint(hot.select("_key")), "_key", "left_anti"))
         rows = rows.join(hint(hot), "_key")
@@ -143,6 +164,82 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return out.withColumn("_both", both).filter(100 * F.col("_both") >= percent * (F.size("_p") + F.size("_q") - F.col("_both"))).select("a", "b")
 
 
+def crowds(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """node, crowd, _k: the nodes of crowded regions; regions with a common node are one crowd, which is told apart in _k blocks."""
+    rows = cut(keyed(nodes)[0].select("node", "_key").join(few(crowded.select("_key"), crowded.count()), "_key"))
+    hubs = rows.groupBy("_key").agg(F.min("node").alias("a"))
+    stars = rows.join(hubs, "_key").select("a", F.col("node").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+    label = nodes.select("node", F.struct(F.lit(0).alias("id"), "node").alias("label"))
+    of = components(stars, label).select("node", F.col("label.node").alias("crowd")).join(nodes.select("node", "n_shingles"), "node")
+    sizes = of.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("_k"))
+    return cut(of.join(sizes, "crowd").select("node", "crowd", "_k"))
+
+
+def alike(values: np.ndarray, off: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which of n sets (values[off[i] : off[i + 1]]) are alike enough: (n, n), each pair of one side with the other, or all pairs if there is only one."""
+    n, size = len(off) - 1, np.diff(off)
+    owner = np.repeat(np.arange(n), size)
+    _, token, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count > 1
+    row, column_ = owner[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+    order = np.argsort(column_, kind="stable")
+    row, column_ = row[order], column_[order]
+    one = side.min() == side.max()
+    x, y = (np.arange(n), np.arange(n)) if one else (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
+    both, wide = np.zeros((len(x), len(y)), np.int64), 4096
+    for c in range(0, int(several.sum()), wide):
+        lo, hi = np.searchsorted(column_, (c, c + wide))
+        dense = np.zeros((n, wide), np.float32)
+        dense[row[lo:hi], column_[lo:hi] - c] = 1
+        both += (dense[x] @ dense[y].T).astype(np.int64)
+    fits = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+    out = np.zeros((n, n), bool)
+    out[np.ix_(x, y)] = fits
+    np.fill_diagonal(out, False)
+    return out | out.T
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph."""
+    new, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not new[root]:
+            continue
+        new[root], stack = False, [root]
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(linked[i] & new).tolist():
+                new[j] = False
+                out.append((i, j))
+                stack.append(j)
+    return out
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, n: all links within crowds, each pair of members compared on the full sets.
+
+    Rows with n say that a has n links with members of a pair of blocks; the others are links that span what is linked
+    within it, so rows grow with members times blocks and not with the number of links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, side = table.column("node").to_pylist(), table.column("_own").to_numpy()
+        sets_ = [np.frombuffer(x, np.int64) for x in table.column("shingles").to_pylist()]
+        off = np.append(0, np.cumsum([len(x) for x in sets_]))
+        linked = alike(np.concatenate(sets_), off, side, percent)
+        degree, edges = linked.sum(1), spanning(linked)
+        have = np.flatnonzero(degree)
+        a = [node[i] for i in have] + [node[i] for i, _ in edges]
+        b = [None] * len(have) + [node[j] for _, j in edges]
+        n = degree[have].tolist() + [None] * len(edges)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("_k")).cast("int")
+    rows = sets.join(members.withColumn("_own", own), "node").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    rows = rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    return rows.select("node", "shingles", "crowd", "_own", "_i", "_j").groupBy("crowd", "_i", "_j").applyInArrow(run, "a binary, b binary, n long")
+
+
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, _text_hash, n_shingles, component_id, n_links, kept: a row for each row of docs.
 
@@ -155,7 +252,14 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = cut(own.mapInArrow(_sign, SIGNED))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("_text_hash").alias("_h"))
     nodes = cut(nodes)
-    pairs = cut(candidates(nodes, percent=percent))
+    # pairs of regions that a node's neighbours may not exhaust are compared crowd by crowd
+    crowded = cut(keyed(nodes)[0].groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > NEIGHBOURS + 1))
+    members = crowds(nodes, crowded)
+    many = members.count()
+    pairs = candidates(nodes, percent=percent, crowded=crowded)
+    for c in ("a", "b"):
+        pairs = pairs.join(few(members.select(F.col("node").alias(c), F.col("crowd").alias(f"_{c}")), many, BROADCAST_MEMBERS), c, "left")
+    pairs = cut(pairs.filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b"))
     ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     # one text for each node that has a candidate
     wanted = nodes.join(ends, "node", "left_semi").select(F.col("_h")).distinct()
@@ -163,9 +267,13 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = texts.join(wanted, F.col("_text_hash") == F.col("_h"), "left_semi").select("text").mapInArrow(_sets, "node binary, shingles array<bigint>").dropDuplicates(["node"])
     sets = sets.repartition(F.xxhash64("node"))  # so that Spark may split a hot node of the joins with the pairs
     links = cut(confirmed(pairs, sets, percent))
+    inner = nodes.join(few(members.select("node"), many, BROADCAST_MEMBERS), "node", "left_semi").select(F.col("_h")).distinct()
+    texts = packed(own.filter(F.length("text") > 0).select("_text_hash", "text").join(few(inner, many, BROADCAST_MEMBERS), F.col("_text_hash") == F.col("_h"), "left_semi"))
+    within = cut(crowd_links(members, texts.select("text").mapInArrow(_set_bytes, "node binary, shingles binary").dropDuplicates(["node"]), percent))
     label = nodes.select("node", F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("id"), "node").alias("label"))
-    found = components(links, label)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    found = components(links.union(within.filter(F.col("n").isNull()).select("a", "b")), label)
+    degree = links.select("a", F.lit(1).alias("n")).union(links.select("b", F.lit(1))).union(within.filter(F.col("n").isNotNull()).select("a", "n"))
+    degree = degree.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     several = nodes.filter(F.col("_copies") > 1).select("node", F.coalesce("_id", F.lit((1 << 63) - 1)).alias("_own"))
     groups = several.join(found.select("node", F.col("label.id").alias("_least")), "node", "full_outer").join(degree, "node", "left")
     groups = groups.select(F.col("node").alias("_node"), F.coalesce("_least", "_own").alias("_least"), "n_links")

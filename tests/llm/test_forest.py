@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -80,3 +81,45 @@ def test_deduplicate(spark):
     assert len(with_words) == len(components)
     assert sum(1 for r in out if not shingle_set(r.text)) == sum(n for k, n in want.items() if k[1] == 0)
     assert out[0].asDict().keys() == documents(spark, True).limit(1).collect()[0].asDict().keys()
+
+
+def test_links_inside_a_crowd(spark, monkeypatch):
+    """Pairs at 0.85 to 0.88 among documents of one template at 0.75 to 0.8: all are linked, whatever stands between them."""
+    base, table = prose(50, 400).split(), []
+    rng = random.Random(5)
+    for i in range(260):
+        copy = list(base)
+        for k in rng.sample(range(4, 396, 10), 10):
+            copy[k] = f"w{i}x{k}"
+        table.append((i, " ".join(copy)))
+    for i in range(40):  # a partner that differs in some more words
+        copy = table[i][1].split()
+        for k in rng.sample(range(9, 396, 10), 5):
+            copy[k] = f"v{i}x{k}"
+        table.append((1000 + i, " ".join(copy)))
+    sets = [shingle_set(t) for _, t in table]
+    links = Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            share = len(a & sets[j]) / len(a | sets[j])
+            if share >= 0.85:
+                assert share < 0.9
+                links.update((table[i][0], table[j][0]))
+    assert sum(links.values()) >= 80
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    for block in (forest.BLOCK, 20_000):  # in one block, and in several
+        monkeypatch.setattr(forest, "BLOCK", block)
+        out = forest.clusters(df).collect()
+        assert {r.doc_id: r.n_links for r in out} == {d: links[d] for d, _ in table}
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(table)
+
+
+def test_links_of_a_large_group(spark, crowd):
+    sets = [shingle_set(t) for _, t in crowd]
+    links = Counter()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a != sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                links.update((crowd[i][0], crowd[j][0]))
+    df = spark.createDataFrame(crowd, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in forest.clusters(df).collect()} == {d: links[d] for d, _ in crowd}
