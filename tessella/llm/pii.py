@@ -32,6 +32,11 @@ PATTERN = re.compile(
     |(?P<date>(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]))""",
     re.X | re.A,
 )
+#: Each kind on its own, and cards written without separators or in the usual groups.
+EACH = {k: re.compile(x, re.X | re.A) for k, x in zip(KINDS, re.split(r"\n\s*\|(?=\(\?P<)", PATTERN.pattern), strict=True)}
+USUAL_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", re.A)
+#: Kinds that the card pattern can take in, and those of which a shorter end may be valid; the character that can't follow them.
+INSIDE_CARD, OPEN_ENDED = ("phone", "ssn", "date"), {"iban": re.compile("[A-Za-z0-9]"), "card": re.compile("[0-9]")}
 #: A text without any of these can hold none of the kinds.
 TRIGGER = re.compile(r"[0-9@=:]|AKIA|ASIA|[a-f]{32}|gh[pousr]_")
 
@@ -163,21 +168,57 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return MAKERS[kind](value, key)
 
 
+def holds_other(text: str, start: int, end: int, key: bytes) -> bool:
+    """Whether a valid value of another kind, or a card in the usual form, begins within."""
+    for kind, pattern in [*((k, EACH[k]) for k in INSIDE_CARD), ("card", USUAL_CARD)]:
+        if any(pseudonym(kind, m[0], key) is not None for m in pattern.finditer(text, start, min(len(text), end + 40)) if m.start() < end):
+            return True
+    return False
+
+
+def value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """kind, end and stand-in of the valid value that begins at `start`.
+
+    Kinds are tried in their order, each from its longest end to shorter ones; but a phone, SSN or date comes before a card,
+    and so does a card in the usual form before other groups of digits, which are one only if they hold none of these."""
+
+    def tried(kind: str, pattern: re.Pattern) -> tuple[str, int, str] | None:
+        m = pattern.match(text, start)
+        out = m and pseudonym(kind, m[0], key)
+        return (kind, m.end(), out) if out is not None else None
+
+    for kind in KINDS:
+        if kind not in OPEN_ENDED:
+            if found := tried(kind, EACH[kind]):
+                return found
+            continue
+        m = EACH[kind].match(text, start)
+        if m and kind == "card":
+            for other, pattern in [*((k, EACH[k]) for k in INSIDE_CARD), ("card", USUAL_CARD)]:
+                if found := tried(other, pattern):
+                    return found
+        for end in range(m.end(), start, -1) if m else ():
+            if OPEN_ENDED[kind].match(text, end) or not EACH[kind].fullmatch(text, start, end):
+                continue
+            out = pseudonym(kind, text[start:end], key)
+            if out is not None and not (kind == "card" and holds_other(text, start, end, key)):
+                return kind, end, out
+    return None
+
+
 def mask(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with every valid value replaced, and how many there were of each kind."""
     found: dict[str, int] = {}
-
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
-        out = pseudonym(kind, m[0], key)
-        if out is None and kind == "iban":  # what isn't one may hold another kind
-            return m[0]
-        if out is None:
-            return m[0]
-        found[kind] = found.get(kind, 0) + 1
-        return out
-
-    return PATTERN.sub(swap, text), found
+    parts, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        hit = value_at(text, m.start(), key)
+        if hit is None:  # what isn't one may hold another
+            at = m.start() + 1
+            continue
+        kind, at, out = hit
+        parts += [text[done : m.start()], out]
+        done, found[kind] = at, found.get(kind, 0) + 1
+    return "".join([*parts, text[done:]]), found
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
