@@ -84,7 +84,7 @@ def test_deduplicate(spark):
 
 
 def test_links_inside_a_crowd(spark, monkeypatch):
-    """Pairs at 0.85 to 0.88 among documents of one template at 0.75 to 0.8: all are linked, whatever stands between them."""
+    """Pairs at 0.85 to 0.9 among documents of one template at about 0.6: all are linked, in one block and in several."""
     base, table = prose(50, 400).split(), []
     rng = random.Random(5)
     for i in range(260):
