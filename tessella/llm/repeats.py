@@ -8,10 +8,11 @@ Both substring operators share the way there and back:
 3. Segments that are alike as a whole are counted before anything is moved; all their windows repeat.
 4. Where a minimiser has several different segments, one copy of each travels as a packed string to the minimiser's bucket,
    where `decide` says exactly which windows occur in more than one of them.  A bucket of more than BUCKET
-   segments is dealt out in parts; what is single in its part meets once more by window.
+   segments is dealt out in parts; what is single in its part meets that of the others once more, by slots of digests.
 5. The repeated windows go back to every row that holds the segment, and become spans of its text.
 
-Hashes of 64 bits name minimisers, segments within a minimiser, and rows; the windows of different segments are compared as such."""
+Hashes of 64 bits name minimisers, and segments within a minimiser; rows are known by doc_id and a hash of the text.  The windows of
+different segments are compared byte by byte, those of different parts of a bucket by digests of 128 bits."""
 
 from __future__ import annotations
 
@@ -85,9 +86,9 @@ def _bounds(unit: Unit) -> Callable:
 def _references(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column("_row").to_numpy(zero_copy_only=False)
+            row, text_hash = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_row", "_hash"))
             for doc, begin, n, far, mz, name in _rows(batch, unit):
-                yield pa.record_batch([pa.array(mz.view(np.int64)), pa.array(name.view(np.int64)), pa.array(row[doc]), pa.array((begin * RUN + n) * RUN + far)], ["mz", "seg", "_row", "at"])
+                yield pa.record_batch([pa.array(mz.view(np.int64)), pa.array(name.view(np.int64)), pa.array(row[doc]), pa.array(text_hash[doc]), pa.array((begin * RUN + n) * RUN + far)], ["mz", "seg", "_row", "_hash", "at"])
 
     return run
 
@@ -118,7 +119,7 @@ def _extract(unit: Unit) -> Callable:
                 for x in wanted.as_py():
                     begin, n, far = x["at"] // RUN // RUN, x["at"] // RUN % RUN, x["at"] % RUN
                     past = begin + n + unit.window - 1
-                    rows.append((x["mz"], x["part"], x["seg"], n, far, b" ".join(tokens[begin:past]) if unit.word else text[begin:past]))
+                    rows.append((x["mz"], x["part"], x["parts"], x["seg"], x["once"], n, far, b" ".join(tokens[begin:past]) if unit.word else text[begin:past]))
                     size += len(rows[-1][-1])
                 if size > 4 << 20:
                     yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=_PACKED)
@@ -129,9 +130,14 @@ def _extract(unit: Unit) -> Callable:
     return run
 
 
-_PACKED = pa.schema([("mz", pa.int64()), ("part", pa.int32()), ("seg", pa.int64()), ("n", pa.int64()), ("far", pa.int64()), ("packed", pa.binary())])
-PACKED = "mz long, part int, seg long, n long, far long, packed binary"
-DECIDED = "mz long, seg long, first long, n long, window binary"
+_PACKED = pa.schema([("mz", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("seg", pa.int64()), ("once", pa.bool_()), ("n", pa.int64()), ("far", pa.int64()), ("packed", pa.binary())])
+PACKED = "mz long, part int, parts int, seg long, once boolean, n long, far long, packed binary"
+#: What is found of a segment (runs), or what a part sends on (records).
+DECIDED = "mz long, seg long, runs array<struct<first:long,n:long>>, part int, slot int, records binary"
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+_DECIDED = pa.schema([("mz", pa.int64()), ("seg", pa.int64()), ("runs", _RUNS), ("part", pa.int32()), ("slot", pa.int32()), ("records", pa.binary())])
+#: A window that is the only one of its part: its digest, its segment and its place in it.
+RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("seg", "<i8"), ("at", "<i4")])
 
 
 class Segment(NamedTuple):
@@ -139,7 +145,9 @@ class Segment(NamedTuple):
 
     mz: int
     part: int
+    parts: int
     seg: int
+    once: bool
     n: int
     far: int
     packed: bytes
@@ -155,22 +163,37 @@ def runs_of(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(_DECIDED), schema=_DECIDED)
+
+
+def _found(mz: int, seg: int, flags: np.ndarray) -> list[tuple]:
+    runs = [{"first": a, "n": n} for a, n in runs_of(flags)]
+    return [(mz, seg, runs, None, None, None)] if runs else []
+
+
 def _decide(decide: Decide, windows: Callable[[bytes, int], list[bytes]]) -> Callable:
     """Rows sorted by minimiser and part, several whole buckets or one part of a large one at a time.
 
-    Of a part (part >= 0) one of each of its windows is sent on by digest, to meet those of the other parts."""
+    Of a part (part >= 0) one record of each of its windows is sent on, to meet those of the other parts: the records
+    with one digest meet in one of as many slots as there are parts."""
 
     def work(held: list[Segment]) -> pa.RecordBatch:
-        rows, seen = [], set()
+        rows, seen = [], {}
         for x, f in zip(held, decide(held), strict=True):
-            rows += [(x.mz, x.seg, a, length, None) for a, length in runs_of(f)]
+            if x.once:
+                rows += _found(x.mz, x.seg, f)
             if x.part >= 0:
                 for i, window in enumerate(windows(x.packed, x.n)):
-                    key = hashlib.blake2b(window, digest_size=16).digest()
-                    if key not in seen:
-                        seen.add(key)
-                        rows.append((x.mz, x.seg, i, 1, key))
-        return pa.record_batch([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5, schema=_DECIDED)
+                    seen.setdefault(hashlib.blake2b(window, digest_size=16).digest(), (x.seg, i))
+        if seen:
+            sent = np.empty(len(seen), RECORD)
+            digests = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
+            sent["a"], sent["b"] = digests.T
+            sent["seg"], sent["at"] = np.array(list(seen.values()), np.int64).T
+            slot = sent["a"] % U64(held[0].parts)
+            rows += [(held[0].mz, None, None, held[0].part, int(k), sent[slot == k].tobytes()) for k in np.unique(slot)]
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Segment] = []
@@ -186,7 +209,43 @@ def _decide(decide: Decide, windows: Callable[[bytes, int], list[bytes]]) -> Cal
     return run
 
 
-_DECIDED = pa.schema([("mz", pa.int64()), ("seg", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("window", pa.binary())])
+def _together(batches: Iterator[pa.RecordBatch], key: tuple[str, str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Sorted rows, those with one key at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for x in batch.to_pylist():
+            if held and any(x[k] != held[-1][k] for k in key):
+                yield tuple(held[-1][k] for k in key), held
+                held = []
+            held.append(x)
+    if held:
+        yield tuple(held[-1][k] for k in key), held
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of one slot, by (mz, slot): those whose digest comes from several parts go back to their parts."""
+    for (mz, _), held in _together(batches, ("mz", "slot")):
+        records = [np.frombuffer(x["records"], RECORD) for x in held]
+        every, part = np.concatenate(records), np.repeat([x["part"] for x in held], [len(r) for r in records])
+        order = np.lexsort((every["b"], every["a"]))
+        every, part = every[order], part[order]
+        same = (every["a"][1:] == every["a"][:-1]) & (every["b"][1:] == every["b"][:-1])  # a part sends a digest once
+        several = np.append(same, False) | np.append(False, same)
+        yield _batch([(mz, None, None, int(p), None, every[several & (part == p)].tobytes()) for p in np.unique(part[several])])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that came back, by (mz, part), to the runs of each segment."""
+    for (mz, _), held in _together(batches, ("mz", "part")):
+        every = np.concatenate([np.frombuffer(x["records"], RECORD) for x in held])
+        every = every[np.lexsort((every["at"], every["seg"]))]
+        edge = np.flatnonzero(np.append(True, every["seg"][1:] != every["seg"][:-1]))
+        rows = []
+        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(every)], strict=True):
+            flags = np.zeros(every["at"][z - 1] + 1, bool)
+            flags[every["at"][a:z]] = True
+            rows += _found(mz, int(every["seg"][a]), flags)
+        yield _batch(rows)
 
 
 def run_length(at: Column) -> Column:
@@ -194,37 +253,38 @@ def run_length(at: Column) -> Column:
 
 
 def repeats(docs: DataFrame, unit: Unit, decide: Decide, windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
-    """docs (_row, text) -> _row, spans: array of (first, past) symbols covered by repeated windows, for the rows that have any."""
-    own = docs.select("_row", "text")
+    """docs (_row, _hash, text) -> _row, _hash, spans: array of (first, past) symbols covered by repeated windows, for the rows that have any.
+
+    Rows that are alike in (_row, _hash) must be alike in text."""
+    own = docs.select("_row", "_hash", "text")
     often = own.select("text").mapInArrow(_bounds(unit), "mz long, n long").groupBy("mz").agg(F.sum("n").alias("_n")).filter("_n > 1")
-    refs = own.mapInArrow(_references(unit), "mz long, seg long, _row long, at long")
+    refs = own.mapInArrow(_references(unit), "mz long, seg long, _row long, _hash long, at long")
     # dealt anew, so that both sides of the join have a shuffle of their own and Spark may split a hot minimiser
     often = often.select("mz").repartition(F.xxhash64("mz"))
     refs = cut(refs.join(often, "mz", "left_semi"))
-    alike = cut(refs.groupBy("mz", "seg").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_row", "at")).alias("_h")))
+    alike = cut(refs.groupBy("mz", "seg").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("_row", "_hash", "at")).alias("_h")))
     several = alike.groupBy("mz").agg(F.count(F.lit(1)).alias("_d"), F.min("_c").alias("_least")).filter("_d > 1 AND _least = 1")
-    parts = F.ceil(F.col("_d") / F.lit(BUCKET))
+    parts = F.ceil(F.col("_d") / F.lit(BUCKET)).cast("int")
     part = F.when(parts > 1, F.pmod(F.xxhash64("seg"), parts)).otherwise(F.lit(-1)).cast("int")
-    wanted = alike.join(several, "mz").select(F.col("_h._row").alias("_row"), F.struct("mz", "seg", F.col("_h.at").alias("at"), part.alias("part")).alias("_w"))
-    wanted = wanted.groupBy("_row").agg(F.collect_list("_w").alias("_wanted"))
-    packed = own.filter(F.length("text") > 0).mapInArrow(_pack, "_row long, text binary")
-    shipped = packed.join(wanted, "_row").select("text", "_wanted").mapInArrow(_extract(unit), PACKED)
+    segment = F.struct("mz", "seg", F.col("_h.at").alias("at"), part.alias("part"), parts.alias("parts"), (F.col("_c") == 1).alias("once"))
+    wanted = alike.join(several, "mz").select("_h._row", "_h._hash", segment.alias("_w"))
+    wanted = wanted.groupBy("_row", "_hash").agg(F.collect_list("_w").alias("_wanted"))
+    packed = own.filter(F.length("text") > 0).mapInArrow(_pack, "_row long, _hash long, text binary")
+    shipped = packed.join(wanted, ["_row", "_hash"]).select("text", "_wanted").mapInArrow(_extract(unit), PACKED)
     # rows that repeat bring the same segment twice
     # a number of its own: a decision costs far more than its bytes tell, so small partitions must not be merged
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shipped = shipped.repartition(tasks, "mz", "part").sortWithinPartitions("mz", "part", "seg")
     decided = cut(shipped.mapInArrow(_decide(decide, windows), DECIDED))
-    single = decided.filter(F.col("window").isNotNull())
-    shared = single.groupBy("mz", "window").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    across = single.join(shared, ["mz", "window"]).select("mz", "seg", "first", "n")
-    marks = decided.filter(F.col("window").isNull()).select("mz", "seg", "first", "n").union(across)
-    once = alike.filter("_c = 1").select("mz", "seg")
-    marks = marks.join(once, ["mz", "seg"], "left_semi")
-    whole = alike.filter("_c > 1").select("mz", "seg", F.lit(0).cast("long").alias("first"), run_length(F.col("_h.at")).alias("n"))
-    back = refs.join(marks.union(whole), ["mz", "seg"])
-    begin = F.shiftright("at", 2 * RUN.bit_length() - 2) + F.col("first")
-    span = F.struct(begin.cast("long").alias("first"), (begin + F.col("n") + F.lit(unit.window - 1)).cast("long").alias("past"))
-    return back.select("_row", span.alias("_s")).groupBy("_row").agg(F.collect_set("_s").alias("spans"))
+    # what is single in its part of a hot minimiser: a row for each part and slot, not for each window
+    met = decided.filter(F.col("slot").isNotNull()).repartition(tasks, "mz", "slot").sortWithinPartitions("mz", "slot").mapInArrow(_meet, DECIDED)
+    across = met.repartition(tasks, "mz", "part").sortWithinPartitions("mz", "part").mapInArrow(_gather, DECIDED)
+    marks = decided.filter(F.col("slot").isNull()).unionByName(across).select("mz", "seg", "runs")
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), run_length(F.col("_h.at")).alias("n")))
+    back = refs.join(marks.union(alike.filter("_c > 1").select("mz", "seg", all_of)), ["mz", "seg"])
+    begin = F.shiftright("at", 2 * RUN.bit_length() - 2).cast("long")
+    spans = F.transform("runs", lambda r: F.struct((begin + r["first"]).alias("first"), (begin + r["first"] + r["n"] + F.lit(unit.window - 1)).alias("past")))
+    return back.select("_row", "_hash", spans.alias("_s")).groupBy("_row", "_hash").agg(F.flatten(F.collect_set("_s")).alias("spans"))
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -240,6 +300,9 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, unit: Unit, decide: Decide, windows: Callable[[bytes, int], list[bytes]]) -> DataFrame:
     """doc_id, text (packed), spans of each row of docs (null where nothing repeats)."""
-    own = narrow(docs, "doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text"))
+    if unit.window - unit.k + 1 >= RUN:
+        raise ValueError(f"a window has at most {RUN + unit.k - 2} symbols")
+    # a row is known by its id (or a second hash of the text) and a hash of its text: 128 bits in all
+    own = narrow(docs, "doc_id", "text").withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1)))).withColumn("_hash", F.xxhash64("text"))
     found = repeats(own, unit, decide, windows)
-    return own.mapInArrow(_pack, "doc_id long, text binary, _row long").join(found, "_row", "left").select("doc_id", "text", "spans")
+    return own.mapInArrow(_pack, "doc_id long, text binary, _row long, _hash long").join(found, ["_row", "_hash"], "left").select("doc_id", "text", "spans")

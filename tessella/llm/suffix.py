@@ -20,15 +20,26 @@ from .repeats import Segment, Unit, covered, unpack, with_spans
 WINDOW, GRAM = 200, 32
 #: Distances of the minimiser that share one middle part in the test before the transform.
 STEP = 24
+#: Codes of symbols: that which comes once, and what stands before a whole string; others lie in between.
+BREAK, END = 0, (1 << 16) - 1
 
 
-def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum of lcp[a..b] for each pair with a <= b, a ascending."""
-    if not len(a):
-        return np.zeros(0, lcp.dtype)
-    cuts = np.empty(2 * len(a), np.int64)
-    cuts[::2], cuts[1::2] = a, b + 1
-    return np.minimum.reduceat(np.append(lcp, 0), cuts)[::2]
+def _minima(lcp: np.ndarray) -> list[np.ndarray]:
+    """For each power of two the minima of so many values from each place on."""
+    out = [lcp]
+    while len(out[-1]) > (half := 1 << (len(out) - 1)):
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def _least(minima: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum of the values in places a..b for each pair with a <= b."""
+    out = np.empty(len(a), minima[0].dtype)
+    power = np.frexp(b - a + 1)[1] - 1
+    for k in np.unique(power).tolist():
+        i = np.flatnonzero(power == k)
+        out[i] = np.minimum(minima[k][a[i]], minima[k][b[i] + 1 - (1 << k)])
+    return out
 
 
 def _spread(old: np.ndarray, where: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -52,9 +63,8 @@ def _standing(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]:
     """Files with the Burrows-Wheeler transform and the common prefixes, up to `depth` symbols, of all suffixes of the strings.
 
-    Symbols are unsigned bytes or pairs of them; the largest value stands before a whole string and occurs in none."""
-    m, kind = len(strings), strings[0].dtype
-    end = np.iinfo(kind).max
+    A symbol BREAK is like no other, not even another BREAK; END stands before a whole string and occurs in none."""
+    m = len(strings)
     size = np.array([len(s) for s in strings])
     text = np.concatenate(strings)
     past = np.cumsum(size)
@@ -62,7 +72,7 @@ def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]
 
     def before(who: np.ndarray, length: int) -> np.ndarray:
         inside = size[who] > length
-        out = np.full(len(who), end, kind)
+        out = np.full(len(who), END, np.uint16)
         out[inside] = text[past[who[inside]] - length - 1]
         return out
 
@@ -71,7 +81,7 @@ def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]
     np.zeros(m, np.uint8).tofile(names[2])
     place, side = np.arange(m), 0
     for length in range(1, int(size.max(initial=0)) + 1):
-        bwt, lcp = np.fromfile(names[side], kind), np.fromfile(names[2 + side], np.uint8)
+        bwt, lcp = np.fromfile(names[side], np.uint16), np.fromfile(names[2 + side], np.uint8)
         live = size[who] >= length
         who, place = who[live], place[live]
         order, rank = _standing(bwt)
@@ -80,12 +90,12 @@ def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]
         who, place, at = who[by], place[by], at[by]
         symbol = bwt[place]
         above, below = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(bwt) - 1)]
-        has_above, has_below = (at > 0) & (bwt[above] == symbol), (at + 1 < len(bwt)) & (bwt[below] == symbol)
+        has_above, has_below = (at > 0) & (bwt[above] == symbol) & (symbol != BREAK), (at + 1 < len(bwt)) & (bwt[below] == symbol) & (symbol != BREAK)
+        minima = _minima(lcp)
         up, down = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
         for has, out, a, b in ((has_above, up, above + 1, place), (has_below, down, place + 1, below)):
             i = np.flatnonzero(has)
-            i = i[np.argsort(a[i], kind="stable")]
-            out[i] = np.minimum(_least(lcp, a[i], b[i]).astype(np.int64) + 1, depth)
+            out[i] = np.minimum(_least(minima, a[i], b[i]).astype(np.int64) + 1, depth)
         where = m + at
         bwt = _spread(bwt, where, before(who, length))
         lcp = _spread(lcp, where, up)
@@ -101,22 +111,34 @@ def build(strings: list[np.ndarray], depth: int, folder: str) -> tuple[str, str]
     return names[side], names[2 + side]
 
 
-def shared_windows(strings: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
-    """For each string whether the window at each of its first `count` places is in the collection once more.
+def symbols(strings: list[bytes], window: int) -> tuple[int, list[np.ndarray]]:
+    """Bytes in a symbol, and the strings as such symbols, each from its first byte, its second, up to a symbol's last.
 
-    Where the window's length is even, pairs of bytes are the symbols: half the rounds.  Each string then takes part from its first byte, for
-    windows at even places, and from its second, for those at odd ones."""
+    The widest symbol that divides the window and of which there are few enough that come twice: it needs the fewest
+    rounds.  One that comes once can't be in a repeated window and is a BREAK."""
+    for wide in (w for w in (8, 4, 2, 1) if window % w == 0):
+        kind = np.dtype(f"u{wide}")
+        parts = [np.frombuffer(s, kind, max(len(s) - i, 0) // wide, i) if len(s) - i >= wide else np.zeros(0, kind) for s in strings for i in range(wide)]
+        _, code, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        several = count > 1
+        if several.sum() < END - BREAK:
+            break
+    number = np.where(several, np.cumsum(several) + BREAK, BREAK).astype(np.uint16)
+    return wide, np.split(number[code], np.cumsum([len(p) for p in parts])[:-1])
+
+
+def shared_windows(strings: list[bytes], counts: list[int], window: int) -> list[np.ndarray]:
+    """For each string whether the window at each of its first `count` places is in the collection once more."""
     known: dict[bytes, int] = {}
     for s in strings:
         known.setdefault(s, len(known))
-    wide = 2 - window % 2
-    kind = np.dtype(np.uint16 if wide == 2 else np.uint8)
-    parts = [np.frombuffer(s, kind, max(len(s) - i, 0) // wide, i) if len(s) - i >= wide else np.zeros(0, kind) for s in known for i in range(wide)]
-    flags = [np.zeros(max(len(s) - window + 1, 0), bool) for s in known]
+    wide, parts = symbols(list(known), window)
     size, depth = np.array([len(p) for p in parts]), window // wide
+    start = np.append(0, np.cumsum([max(len(s) - window + 1, 0) for s in known]))
+    flags = np.zeros(start[-1], bool)
     with tempfile.TemporaryDirectory() as folder:
         files = build(parts, depth, folder)
-        bwt, lcp = np.fromfile(files[0], kind), np.fromfile(files[1], np.uint8)
+        bwt, lcp = np.fromfile(files[0], np.uint16), np.fromfile(files[1], np.uint8)
     twice = lcp >= depth
     twice[:-1] |= lcp[1:] >= depth
     _, rank = _standing(bwt)
@@ -127,9 +149,8 @@ def shared_windows(strings: list[bytes], counts: list[int], window: int) -> list
         place = len(parts) + rank[place[live]]
         if length >= depth:
             hit = who[twice[place]]
-            for p in hit.tolist():
-                flags[p // wide][(size[p] - length) * wide + p % wide] = True
-    return [flags[known[s]][:n] for s, n in zip(strings, counts, strict=True)]
+            flags[start[hit // wide] + (size[hit] - length) * wide + hit % wide] = True
+    return [flags[start[known[s]] :][:n] for s, n in zip(strings, counts, strict=True)]
 
 
 def alive(bucket: list[Segment], window: int, step: int = STEP) -> list[bool]:

@@ -70,23 +70,30 @@ def test_transform_against_sorted_suffixes(tmp_path):
     import numpy as np
 
     rng = random.Random(3)
-    for kind in (np.uint8, np.uint16):
-        for _ in range(30):
-            strings = [np.array([rng.choice((97, 98)) for _ in range(rng.randint(0, 12))], kind) for _ in range(rng.randint(1, 8))]
-            bwt, lcp = suffix.build(strings, 200, str(tmp_path))
-            order = sorted((s[i:].tolist(), k, i) for k, s in enumerate(strings) for i in range(len(s) + 1))
-            end = np.iinfo(kind).max
-            assert sorted(np.fromfile(bwt, kind).tolist()) == sorted(int(strings[k][i - 1]) if i else end for _, k, i in order)
-            common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert np.fromfile(lcp, np.uint8).tolist() == [0] + [common(order[i - 1][0], order[i][0]) for i in range(1, len(order))]
+    for _ in range(60):
+        strings = [np.array([rng.choice((1, 2, 700)) for _ in range(rng.randint(0, 12))], np.uint16) for _ in range(rng.randint(1, 8))]
+        bwt, lcp = suffix.build(strings, 200, str(tmp_path))
+        order = sorted((s[i:].tolist(), k, i) for k, s in enumerate(strings) for i in range(len(s) + 1))
+        assert sorted(np.fromfile(bwt, np.uint16).tolist()) == sorted(int(strings[k][i - 1]) if i else suffix.END for _, k, i in order)
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert np.fromfile(lcp, np.uint8).tolist() == [0] + [common(order[i - 1][0], order[i][0]) for i in range(1, len(order))]
+
+
+def test_breaks_are_alike_to_nothing(tmp_path):
+    import numpy as np
+
+    strings = [np.array([3, suffix.BREAK, 4], np.uint16)] * 2
+    _, lcp = suffix.build(strings, 200, str(tmp_path))
+    # the suffixes: twice each of nothing, BREAK 4, 3 BREAK 4, and 4
+    assert np.fromfile(lcp, np.uint8).tolist() == [0, 0, 0, 0, 0, 1, 0, 1]
 
 
 def test_shared_windows():
     rng = random.Random(1)
     for _ in range(60):
-        w = rng.choice([2, 3, 5, 8])
-        base = bytes(rng.choice(b"ab") for _ in range(40))
-        strings = [base[(a := rng.randint(0, 25)) : a + rng.randint(0, 15)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 10))) for _ in range(rng.randint(1, 12))]
+        w = rng.choice([2, 3, 5, 8, 12, 16])
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        strings = [base[(a := rng.randint(0, 25)) : a + rng.randint(0, 35)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 10))) for _ in range(rng.randint(1, 12))]
         counts = [max(len(s) - w + 1, 0) for s in strings]
         often = Counter(s[i : i + w] for s in set(strings) for i in range(len(s) - w + 1))
         want = [[often[s[i : i + w]] > 1 for i in range(n)] for s, n in zip(strings, counts, strict=True)]
