@@ -11,7 +11,7 @@ def tokenize(text: Column, spread: str = "'s") -> Column:
     out = F.lower(text)
     for c in spread:
         out = F.replace(out, F.lit(c), F.lit(f" {c}"))
-    return F.filter(F.transform(F.regexp_extract_all(out, F.lit(r"[\w-]+|[^\w-]+"), F.lit(0)), lambda x: F.trim(x)), lambda t: t != "")
+    return F.filter(F.transform(F.regexp_extract_all(out, F.lit(r"[\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+"), F.lit(0)), lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda t: t != "")
 
 
 def scene_name(path: Column) -> Column:
@@ -52,16 +52,38 @@ def short_name(handle: Column) -> Column:
     return F.regexp_extract(handle, r"([^/]*?)(?:[.:].*)?$", 1)
 
 
+# What each rule of a reply means.
+GOALS = {
+    1: "object_in_room",
+    2: "room_only",
+    3: "ambiguous_object_rooms",
+    4: "ambiguous_room",
+    5: "object_in_single_room",
+    6: "object_repeated_in_room",
+    7: "not_found",
+    8: "friendly_conversation",
+}
+
+
 def reply_goal(reply: Column) -> Column:
-    """'<rule>. <text>' -> struct(rule, kind, room, object, message); rules run from 1 to 8 and rule 1 names 'room, object'."""
-    rule = F.regexp_extract(F.trim(reply), r"^([1-8])\s*\.", 1)
-    rule = F.when(rule != "", rule.cast("int"))
-    body = F.trim(F.regexp_replace(F.trim(reply), r"^[0-9]+\s*\.", ""))
-    pair = F.split(body, ",", 2)
-    kind = F.when(rule == 1, "object_in_room").when(rule == 2, "room").when(rule == 3, "object").when(rule.between(4, 7), "clarify").when(rule == 8, "chat").otherwise("invalid")
-    first = F.when(rule == 1, F.lower(F.trim(pair[0]))).when(rule == 2, F.lower(body))
-    second = F.when(rule == 1, F.lower(F.trim(F.get(pair, F.lit(1))))).when(rule == 3, F.lower(body))
-    return F.struct(rule.alias("rule"), kind.alias("kind"), first.alias("room"), second.alias("object"), F.when(rule >= 4, body).alias("message"))
+    """'<rule>. <text>' -> struct(rule, kind, room, object, message, error).
+
+    Rule 1 names 'room, object'; 2, 5 and 6 a room; 3, 4, 7 and 8 hold a message.  error tells why a reply is none: no number
+    before a full stop, a number without rule, or rule 1 without comma; all else is null then."""
+    number = F.trim(F.substring_index(reply, ".", 1)).try_cast("int")
+    body = F.btrim(F.substring(reply, F.instr(reply, ".") + 1, F.length(reply)))
+    comma = F.instr(body, ",")
+    error = (
+        F.when(F.coalesce(F.instr(reply, "."), F.lit(0)) == 0, "format")
+        .when(number.isNull(), "format")
+        .when(~number.between(1, 8), "rule")
+        .when((number == 1) & (comma == 0), "room, object")
+    )
+    ok = lambda *rules: error.isNull() & number.isin(*rules)
+    kinds = F.create_map(*[F.lit(x) for kv in GOALS.items() for x in kv])
+    room = F.when(ok(1), F.btrim(F.substring(body, F.lit(1), comma - 1))).when(ok(2, 5, 6), body)
+    thing = F.when(ok(1), F.btrim(F.substring(body, comma + 1, F.length(body))))
+    return F.struct(F.when(error.isNull(), number).alias("rule"), F.when(error.isNull(), F.try_element_at(kinds, number)).alias("kind"), room.alias("room"), thing.alias("object"), F.when(ok(3, 4, 7, 8), body).alias("message"), error.alias("error"))
 
 
 def indices_of(tokens: Column, vocabulary: Column, unknown: int) -> Column:
@@ -80,12 +102,15 @@ def all_except(index: Column, width: int = 32) -> Column:
     return F.when(index < 0, full).otherwise(full - F.pow(F.lit(2), index).cast("long"))
 
 
-def cosine_decay(x: Column) -> Column:
-    return (F.cos(x * 3.141592653589793) + 1) / 2
+def cosine_decay(progress: Column) -> Column:
+    """1 at progress 0 and before, 0 at 1 and after."""
+    p = F.least(F.greatest(progress, F.lit(0.0)), F.lit(1.0))
+    return (1 + F.cos(p * F.pi())) / 2
 
 
-def linear_decay(x: Column, final: float = 0.0) -> Column:
-    return (1 - x) + x * final
+def linear_decay(epoch: Column, total: Column | int) -> Column:
+    """1 - epoch / total, not clamped."""
+    return 1 - epoch / (F.lit(total) if isinstance(total, int) else total).cast("double")
 
 
 def percent_difference(control: Column, test: Column) -> Column:
@@ -93,6 +118,11 @@ def percent_difference(control: Column, test: Column) -> Column:
     return F.try_divide((test - control) * 100, control)
 
 
+def speed_up(control: Column, test: Column) -> Column:
+    """How many times the control's value goes into the test's; null for a test of 0."""
+    return F.try_divide(control, test)
+
+
 def compare(a: Column, b: Column, how: str, tolerance: float = 0.0) -> Column:
     return {"greater": a > b + tolerance, "less": a < b - tolerance, "close": F.abs(a - b) <= tolerance}[how]
 
@@ -100,3 +130,20 @@ def compare(a: Column, b: Column, how: str, tolerance: float = 0.0) -> Column:
 def partition_sizes(n: Column, bins: int) -> Column:
     """n parted into bins whose sizes differ by one at most, the larger first."""
     return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.floor(n / bins) + F.when(i < n % bins, 1).otherwise(0)).cast("long"))
+
+
+def milliseconds(seconds: Column) -> Column:
+    return seconds * 1000
+
+
+def sentence(ids: Column, vocabulary: Column) -> Column:
+    """The words of the numbers (places in the vocabulary from 0; 0 is padding and left out), with a question mark at the end."""
+    words = F.transform(F.filter(ids, lambda i: i != 0), lambda i: F.get(vocabulary, i))
+    return F.concat(F.array_join(words, " "), F.lit("?"))
+
+
+def base_and_ext(path: Column) -> Column:
+    """struct(base, ext) of the last part of a path; the extension has its dot, '' where there is none."""
+    last = F.regexp_extract(path, "[^/]*$", 0)
+    part = lambda n: F.regexp_extract(last, r"^(.*?)(\.[^.]*)?$", n)
+    return F.struct(part(1).alias("base"), part(2).alias("ext"))

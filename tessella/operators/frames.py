@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import at
 
-# Labels that don't help a walker, and words with the same meaning.
+# Labels that don't help a walker, and how relations read.
 IGNORED = ("ceiling", "floor", "wall", "walls", "ceiling trim", "wall trim", "railing")
-PHRASES = {"left_of": "to the left of", "right_of": "to the right of", "on_top_of": "on top of", "below": "below", "in_front_of": "in front of", "behind": "behind", "next_to": "next to", "above": "above"}
+PHRASES = {
+    "left_of": "to the left of",
+    "right_of": "to the right of",
+    "in_front_of": "in front of",
+    "behind": "behind",
+    "beneath_of": "below",
+    "on_top_of": "on top of",
+    "above": "above",
+    "next_to": "next to",
+}
 
 
 def drop_labels(df: DataFrame, label: str = "label", ignored: Sequence[str] = IGNORED) -> DataFrame:
@@ -30,8 +40,9 @@ def informative(df: DataFrame, labels: DataFrame, mode: str, on: str = "label")
 
 
 def preference(distance: Column) -> Column:
-    """How much a distance recommends an object: best within 2 to 5 metres; unknown distances count 0.6."""
-    return F.when(distance.isNull(), 0.6).when(distance <= 0, 0.3).when(distance.between(2, 5), 1.0).when(distance < 2, 0.75).when(distance <= 8, 0.75).otherwise(0.3)
+    """How much a distance recommends an object: the nearer to 4 metres the better; an unknown distance counts 0.6."""
+    off = F.abs(distance - 4)
+    return F.when(distance.isNull(), 0.6).when(distance <= 0, 0.3).when(off <= 1, 1.0).when(off <= 2, 0.75).when(off <= 3, 0.5).otherwise(0.3)
 
 
 def bucket(distance: Column) -> Column:
@@ -51,6 +62,19 @@ def phrase(relation: Column) -> Column:
     return F.coalesce(F.try_element_at(known, relation), F.replace(relation, F.lit("_"), F.lit(" ")))
 
 
+def entry(label: Column, percent: Column, distance: Column, ignored: Sequence[str] = IGNORED) -> Column:
+    """'label (12.00% area, 3.5m away, mid-range)' of what is known and positive, else the trimmed label; null for a label that is blank or ignored."""
+    name = F.trim(label)
+    details = F.concat_ws(", ", F.when(percent > 0, F.format_string("%.2f%% area", percent)), F.when(distance > 0, F.format_string("%.1fm away", distance)), bucket(distance))
+    return F.when((name == "") | F.lower(name).isin(*ignored), F.lit(None)).when(details == "", name).otherwise(F.concat(name, F.lit(" ("), details, F.lit(")")))
+
+
+def placed_entry(label: Column, u: Column, v: Column, ignored: Sequence[str] = IGNORED) -> Column:
+    """'label (upper-left)'; null without a place, or for a label that is blank or ignored."""
+    name = F.trim(label)
+    return F.when((name != "") & ~F.lower(name).isin(*ignored) & u.isNotNull() & v.isNotNull(), F.concat(name, F.lit(" ("), direction(u, v), F.lit(")")))
+
+
 def canonical(df: DataFrame, synonyms: DataFrame, label: str = "label") -> DataFrame:
     """Trimmed lower-case labels, replaced by synonyms (word, canonical)."""
     key = F.lower(F.trim(F.col(label)))
@@ -64,11 +88,12 @@ def top_salient(df: DataFrame, frame: str, order: Sequence[Column], k: int, rank
 
 
 def salience_order(percent: Column, distance: Column, ordinal: Column, relevance: Column | None = None) -> list[Column]:
-    pref = preference(distance)
-    near = -F.coalesce(distance, F.lit(0.0))
+    """Best first; a distance that isn't positive counts as unknown, and an unknown one comes before all others on ties."""
+    known = F.when(distance > 0, distance)
+    pref, near, area = preference(known), F.coalesce(-known, F.lit(0.0)), F.coalesce(percent, F.lit(0.0))
     if relevance is None:
-        return [(percent * pref).desc(), pref.desc(), percent.desc(), near.desc(), ordinal.asc()]
-    return [(percent * pref * relevance).desc(), relevance.desc(), percent.desc(), near.desc(), ordinal.asc()]
+        return [(area * pref).desc(), pref.desc(), area.desc(), near.desc(), ordinal.asc()]
+    return [(area * pref * relevance).desc(), relevance.desc(), area.desc(), near.desc(), ordinal.asc()]
 
 
 def scored(df: DataFrame, scores: DataFrame, label: str = "label", default: float = 0.2) -> DataFrame:
@@ -83,8 +108,9 @@ def pixel_histogram(df: DataFrame, frame: str, identity: str) -> DataFrame:
     return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(frame)))
 
 
-def relations(objects: DataFrame, frame: str, ordinal: str, centroid: str, most: float = 1.5, upright: bool = False) -> DataFrame:
-    """Pairs of a frame at most `most` apart, named by the axis on which they differ most.
+def relations(objects: DataFrame, frame: str, ordinal: str, centroid: str, most: float = 1.5, upright: bool = False, least_height: float = 0.25, bias: float = 1.2) -> DataFrame:
+    """Pairs of a frame at most `most` apart.  A relation is vertical where the heights differ by more than `least_height` and by
+    more than the sum of the other differences over `bias`; else it is that of x if x differs more than z, else that of z.
 
     Rows are cut into cells of edge `most`; only neighbouring cells meet, so a crowded frame isn't squared.
     `upright` names b above a as `b on_top_of a`'s inverse; without it the name is that of the data's source, the other way round."""
@@ -98,8 +124,9 @@ def relations(objects: DataFrame, frame: str, ordinal: str, centroid: str, most:
     dx, dy, dz = (at(F.col("q"), i) - at(F.col("p"), i) for i in range(3))
     gap = F.sqrt(dx * dx + dy * dy + dz * dz)
     ax, ay, az = F.abs(dx), F.abs(dy), F.abs(dz)
-    over, under = ("below", "on_top_of") if upright else ("on_top_of", "below")
-    name = F.when((ax >= ay) & (ax >= az), F.when(dx > 0, "left_of").otherwise("right_of")).when(ay >= az, F.when(dy > 0, over).otherwise(under)).otherwise(F.when(dz > 0, "behind").otherwise("in_front_of"))
+    over, under = ("beneath_of", "on_top_of") if upright else ("on_top_of", "beneath_of")
+    vertical = (ay > least_height) & (ay > (ax + az) / bias)
+    name = F.when(vertical, F.when(dy > 0, over).otherwise(under)).when(ax > az, F.when(dx > 0, "left_of").otherwise("right_of")).otherwise(F.when(dz < 0, "in_front_of").otherwise("behind"))
     return pairs.filter(gap <= most).select(F.col("_f").alias(frame), "i", "j", name.alias("relation"), gap.alias("distance_m"))
 
 
@@ -110,26 +137,54 @@ def usable_relations(df: DataFrame, frame: str, ordinal: str, limit: int, ignore
     return top_salient(out, frame, [F.col(ordinal).asc()], limit, "_n").drop("_n")
 
 
+CLUSTERS = "frame long, label string, cluster int, n long, pixels long, percent double, x double, y double, z double, distance double, low array<double>, high array<double>, ids array<long>"
+
+
 def cluster(df: DataFrame, radius: float) -> DataFrame:
-    """Greedy clusters within (frame, label): objects by falling pixel count join the first cluster whose running
-    pixel-weighted centroid lies within `radius`.  (frame, label, object_id, pixel_count, x, y, z, distance) ->
-    (frame, label, cluster, n, pixels, x, y, z, distance, ids).  One group is what a camera sees of one label."""
+    """Greedy clusters within (frame, label): objects by falling pixel count join the first cluster whose running pixel-weighted
+    centroid lies within `radius` on the ground (x, z).  (frame, label, object_id, pixel_count, percent, x, y, z, distance, low, high)
+    -> a row for each cluster with summed pixels and percent, least distance, the box around all boxes, and its ids in order.
+
+    The order decides what joins what, so a group is one fold; it is what a camera sees of one label."""
+    names = [c.split()[0] for c in CLUSTERS.split(", ")]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pixel_count", "object_id"], ascending=[False, True])
+        place, box = pdf[["x", "y", "z"]].to_numpy(float), [np.array(pdf[c].to_list(), float) for c in ("low", "high")]
         found: list[dict] = []
-        for r in pdf.sort_values(["pixel_count", "object_id"], ascending=[False, True]).itertuples():
-            home = next((c for c in found if ((c["x"] - r.x) ** 2 + (c["y"] - r.y) ** 2 + (c["z"] - r.z) ** 2) ** 0.5 <= radius), None)
-            if home is None:
-                found.append({"frame": r.frame, "label": r.label, "cluster": len(found), "n": 1, "pixels": r.pixel_count, "x": r.x, "y": r.y, "z": r.z, "distance": r.distance, "ids": [r.object_id]})
+        centres = np.empty((len(pdf), 3))
+        for i, r in enumerate(pdf.itertuples()):
+            near = np.flatnonzero(np.hypot(*(centres[: len(found), ::2] - place[i, ::2]).T) <= radius)
+            if not len(near):
+                centres[len(found)] = place[i]
+                found.append({"frame": r.frame, "label": r.label, "cluster": len(found), "n": 1, "pixels": r.pixel_count, "percent": r.percent, "distance": r.distance, "low": box[0][i], "high": box[1][i], "ids": [r.object_id]})
                 continue
+            home = found[near[0]]
             total = home["pixels"] + r.pixel_count
-            for axis in "xyz":
-                home[axis] = (home[axis] * home["pixels"] + getattr(r, axis) * r.pixel_count) / total
-            home["pixels"], home["n"], home["distance"] = total, home["n"] + 1, min(home["distance"], r.distance)
+            centres[near[0]] = (centres[near[0]] * home["pixels"] + place[i] * r.pixel_count) / total
+            home["low"], home["high"] = np.minimum(home["low"], box[0][i]), np.maximum(home["high"], box[1][i])
+            home |= {"pixels": total, "n": home["n"] + 1, "percent": home["percent"] + r.percent, "distance": min(home["distance"], r.distance)}
             home["ids"].append(r.object_id)
-        return pd.DataFrame(found, columns=["frame", "label", "cluster", "n", "pixels", "x", "y", "z", "distance", "ids"])
-
-    return df.groupBy("frame", "label").applyInPandas(fold, "frame long, label string, cluster int, n long, pixels long, x double, y double, z double, distance double, ids array<long>")
+        for f, c in zip(found, centres, strict=False):
+            f["x"], f["y"], f["z"] = c
+        return pd.DataFrame(found, columns=names)
+
+    return df.groupBy("frame", "label").applyInPandas(fold, CLUSTERS)
+
+
+def top_clusters(df: DataFrame, k: int | None = None) -> DataFrame:
+    """The k largest clusters of each label of a frame (all in order of creation for None), with uid label_01, label_02, ... in that
+    order and `rank`, their place in the frame by pixels."""
+    order = [F.col("cluster")]
+    if k is not None:
+        # only a label with more than k clusters is put in order of size
+        per = Window.partitionBy("frame", "label")
+        df = df.withColumn("_many", F.count(F.lit(1)).over(per) > k)
+        order = [F.when(F.col("_many"), -F.col("pixels")).otherwise(F.col("cluster")), F.col("cluster")]
+    df = df.withColumn("_at", F.row_number().over(Window.partitionBy("frame", "label").orderBy(*order)))
+    df = df if k is None else df.filter(F.col("_at") <= k).drop("_many")
+    df = df.withColumn("uid", F.format_string("%s_%02d", "label", "_at"))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.col("pixels").desc(), "uid"))).drop("_at")
 
 
 def prompt_lines(objects: DataFrame, frame: str, ordinal: str, line: str) -> DataFrame:

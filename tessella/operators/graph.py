@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the session (its own folder only in a local session without the setting)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from .lineage import cut
 
 
 def islands(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -59,12 +48,60 @@ def roots(relations: DataFrame) -> DataFrame:
     return relations.select(F.col("parent").alias("root")).distinct().join(relations, F.col("root") == F.col("child"), "left_anti")
 
 
-def placed(relations: DataFrame, offsets: DataFrame, root_places: DataFrame) -> DataFrame:
-    """Places of all nodes: a child's is its parent's plus its own offset, down the forest.  (child, parent), (child, dx, dy, dz), (node, x, y, z)."""
-    spark = relations.sparkSession
-    relations.join(offsets, "child").createOrReplaceTempView("_links")
-    root_places.createOrReplaceTempView("_roots")
-    return spark.sql("""
-WITH RECURSIVE down(node, x, y, z, level) AS (SELECT node, x, y, z, 0 FROM _roots UNION ALL
-  SELECT l.child, d.x + l.dx, d.y + l.dy, d.z + l.dz, d.level + 1 FROM down d JOIN _links l ON l.parent = d.node)
-SELECT * FROM down""")
+def placed(relations: DataFrame, offsets: DataFrame, root_places: DataFrame, rounds: int = 64) -> DataFrame:
+    """Places and levels of all nodes below the roots: a child's place is its parent's plus its own offset, down the forest.
+    (child, parent), (child, dx, dy, dz), (node, x, y, z).
+
+    Every round a node takes over what its ancestor so far knows, so paths double and a forest of depth d takes log2(d) rounds.
+    ValueError for a cycle."""
+    axes = ("x", "y", "z")
+    root = root_places.select("node", *axes)
+    now = relations.join(offsets, "child").select(F.col("child").alias("node"), F.col("parent").alias("up"), *[F.col(f"d{a}").alias(a) for a in axes], F.lit(1).alias("level"))
+    tops = root.select(F.col("node").alias("_r")).distinct()
+    now = cut(now.join(tops, F.col("node") == F.col("_r"), "left_anti"))
+    for _ in range(rounds):
+        over = now.select(F.col("node").alias("_n"), F.col("up").alias("_up"), *[F.col(a).alias(f"_{a}") for a in axes], F.col("level").alias("_level"))
+        step = now.join(over, F.col("up") == F.col("_n"), "left")
+        add = lambda a: (F.col(a) + F.coalesce(f"_{a}", F.lit(0))).alias(a)
+        step = cut(step.select("node", F.coalesce("_up", "up").alias("up"), *[add(a) for a in axes], add("level"), F.col("_n").isNotNull().alias("_moved")))
+        now = step.drop("_moved")
+        if not step.filter("_moved").limit(1).count():
+            break
+    else:
+        raise ValueError("the relations have a cycle")
+    tops = root.select(F.col("node").alias("_r"), *[F.col(a).alias(f"_{a}") for a in axes])
+    below = now.join(tops, F.col("up") == F.col("_r")).select("node", *[(F.col(a) + F.col(f"_{a}")).alias(a) for a in axes], "level")
+    return root.withColumn("level", F.lit(0)).unionByName(below)
+
+
+def same_kind_edges(edges: DataFrame, kinds: DataFrame, vertex: str, kind: str) -> DataFrame:
+    """The edges (src, dst) whose ends are of one kind: islands() of these are the connected patches of a colour."""
+    k = kinds.select(F.col(vertex).alias("_v"), F.col(kind).alias("_k"))
+    out = edges.join(k, F.col("src") == F.col("_v")).select("src", "dst", F.col("_k").alias("_a"))
+    return out.join(k, F.col("dst") == F.col("_v")).filter(F.col("_a") == F.col("_k")).select("src", "dst")
+
+
+def plans(start: DataFrame, actions: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
+    """Breadth-first search over sets of facts: state, plan (names of actions) and length of the shortest plans that reach the goals.
+
+    start (facts array<string>), actions (name, needs, adds, removes: arrays of strings), goals (fact).  A state is its sorted
+    set of facts; each is visited once, by the first plan in order of names; states after `depth` actions aren't expanded.
+    Every round is a join of the states reached last with the actions (a few, broadcast) and an anti join with all before."""
+    sorted_ = lambda c: F.array_sort(F.array_distinct(c))
+    wanted = goals.agg(F.collect_set("fact").alias("_goal"))  # one row: what a plan is asked for
+    front = cut(start.select(sorted_(F.col("facts")).alias("state"), F.array().cast("array<string>").alias("plan")).distinct())
+    seen, found = front.select("state"), None
+    for length in range(depth + 1):
+        done = front.crossJoin(F.broadcast(wanted)).filter(F.size(F.array_except("_goal", "state")) == 0).select("state", "plan", F.lit(length).alias("length"))
+        done = cut(done)
+        if done.limit(1).count() or length == depth:
+            found = done
+            break
+        step = front.crossJoin(F.broadcast(actions)).filter(F.size(F.array_except("needs", "state")) == 0)
+        step = step.select(sorted_(F.array_union(F.array_except("state", "removes"), F.col("adds"))).alias("state"), F.concat("plan", F.array("name")).alias("plan"))
+        front = cut(step.groupBy("state").agg(F.min("plan").alias("plan")).join(seen, "state", "left_anti"))
+        if not front.limit(1).count():
+            found = done
+            break
+        seen = cut(seen.union(front.select("state")))
+    return found

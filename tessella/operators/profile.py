@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Events of a thread in one cell of its time, about; what one task sweeps.
+CELL = 20_000
+
 
 def event_order(df: DataFrame, thread: str = "thread", start: str = "start", end: str = "end") -> DataFrame:
     """Adds `position`: by start, of equal starts the longer first."""
@@ -21,19 +26,67 @@ def nested(df: DataFrame) -> DataFrame:
     return a.join(b, (F.col("thread") == F.col("t")) & (F.col("child") > F.col("parent")) & F.col("b0").between(F.col("a0"), F.col("a1"))).drop("t")
 
 
+def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pieces (s, e) of events (start, end, id) of one cell -> the time for which each is the last in order of those that run."""
+    pdf = pdf.sort_values(["start", "end", "id"], ascending=[True, False, True])
+    names, begin, end = pdf["name"].to_list(), pdf["s"].to_list(), pdf["e"].to_list()
+    edges = sorted({*begin, *end})
+    starts: dict[int, list[int]] = {}
+    for i, s in enumerate(begin):
+        starts.setdefault(s, []).append(i)
+    busy: dict[str, int] = {}
+    running: list[int] = []
+    for at, past in zip(edges, edges[1:], strict=False):
+        for i in starts.get(at, ()):
+            heapq.heappush(running, -i)
+        while running and end[-running[0]] <= at:
+            heapq.heappop(running)
+        if running:
+            name = names[-running[0]]
+            busy[name] = busy.get(name, 0) + past - at
+    return pd.DataFrame({"name": list(busy), "own": list(busy.values())}, columns=["name", "own"])
+
+
+def exclusive(events: DataFrame, cell: int = CELL) -> DataFrame:
+    """(id, name, thread, start, end) -> name, own: the time of a name's events in which no later event of the thread runs.
+
+    At any moment the time belongs to the last in order of the events that run, so the thread's time is swept once and no pairs
+    are made.  A thread's time is cut into cells of equal width, of about `cell` events each; an event is swept in the cells
+    where it starts and ends, and of those that run through a whole cell only the last in order can own time in it.  That
+    one is found level by level: a run of cells is two blocks of a power of two, and blocks are halved until they are cells."""
+    e = events.select("id", "name", "thread", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("end > start")
+    per = e.groupBy(F.col("thread").alias("_t")).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_w", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(cell))).cast("long"))
+    at = lambda x: F.floor((F.col(x) - F.col("_lo")) / F.col("_w")).cast("long")
+    rows = e.join(per, F.col("thread") == F.col("_t")).withColumns({"_a": at("start"), "_z": at("end")})
+    low = F.col("_lo") + F.col("_cell") * F.col("_w")
+    piece = [F.greatest("start", low).alias("s"), F.least("end", low + F.col("_w")).alias("e")]
+    columns = ["thread", "_cell", "id", "name", "start", "end"]
+    pieces = rows.withColumn("_cell", F.explode(F.array_distinct(F.array("_a", "_z")))).select(*columns, *piece)
+    # blocks of 2 ** level cells that an event runs through, from _cell on; the best of each block is handed down
+    through = rows.withColumn("_k", F.col("_z") - F.col("_a") - 1).filter("_k > 0").withColumn("_level", F.floor(F.log2("_k")).cast("int"))
+    last = F.max(F.struct("start", (-F.col("end")).alias("_e"), "id", "name", "end", "_lo", "_w")).alias("_m")
+    blocks = through.withColumn("_cell", F.explode(F.array_distinct(F.array(F.col("_a") + 1, F.col("_z") - F.pow(F.lit(2), F.col("_level")).cast("long")))))
+    blocks = blocks.groupBy("thread", "_level", "_cell").agg(last)
+    deepest = through.agg(F.max("_level")).first()[0]
+    for level in range(deepest or 0, 0, -1):
+        here, half = F.col("_level") == level, 1 << (level - 1)
+        halves = blocks.filter(here).withColumn("_cell", F.explode(F.array(F.col("_cell"), F.col("_cell") + half))).withColumn("_level", F.lit(level - 1))
+        blocks = blocks.filter(~here).unionByName(halves).groupBy("thread", "_level", "_cell").agg(F.max("_m").alias("_m"))
+    if deepest is not None:
+        whole = blocks.select("thread", "_cell", "_m.*")
+        pieces = pieces.unionByName(whole.select(*columns, low.alias("s"), (low + F.col("_w")).alias("e")))
+    own = pieces.filter("e > s").groupBy("thread", "_cell").applyInPandas(sweep, "name string, own long")
+    return own.groupBy("name").agg(F.sum("own").alias("own"))
+
+
 def summary(events: DataFrame) -> DataFrame:
-    """(id, name, thread, start, end) -> name, n, inclusive, exclusive.
+    """(id, name, thread, start, end) -> name, n, inclusive, exclusive; times are whole numbers.
 
     Exclusive time is an event's own minus the union of what overlaps it from later events of its thread; children that outlive the
     event count up to its end."""
-    ordered = event_order(events)
-    own = ordered.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("inclusive"))
-    kids = nested(ordered).withColumn("e", F.least("b1", "a1"))
-    w = Window.partitionBy("thread", "parent").orderBy("b0", "child").rowsBetween(Window.unboundedPreceding, -1)
-    kids = kids.withColumn("before", F.coalesce(F.max("e").over(w), F.col("a0")))
-    busy = kids.groupBy("thread", "parent").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("b0", "before"))).alias("busy"))
-    named = ordered.select("thread", F.col("position").alias("parent"), "name").join(busy, ["thread", "parent"]).groupBy("name").agg(F.sum("busy").alias("busy"))
-    return own.join(named, "name", "left").select("name", "n", "inclusive", (F.col("inclusive") - F.coalesce("busy", F.lit(0))).alias("exclusive"))
+    own = events.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("inclusive"))
+    return own.join(exclusive(events), "name", "left").select("name", "n", "inclusive", F.coalesce("own", F.lit(0)).alias("exclusive"))
 
 
 def aligned(summaries: Sequence[DataFrame], value: str = "inclusive") -> DataFrame:

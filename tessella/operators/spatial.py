@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon
 
+
 def in_regions(points: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
     """Points (x, y, z) with regions (x0, x1, z0, z1, y0, y1, loop) that contain them: box and height first, then the polygon.
 
@@ -54,16 +57,142 @@ def bounds(df: DataFrame, key: list[str], dims: tuple[str, ...] = ("x", "y", "z"
     return df.groupBy(*key).agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
 
 
-def islands(df: DataFrame, key: str, dims: tuple[str, ...] = ("x", "z")) -> DataFrame:
-    """n, centroid and radius (largest distance from it) of each island's vertices."""
-    mean = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(d).alias(f"c_{d}") for d in dims])
+def islands(df: DataFrame, key: str, dims: tuple[str, ...] = ("x", "z"), area: str | None = None) -> DataFrame:
+    """n, centroid and radius (largest distance from it) of each island's vertices, and the sum of their `area`."""
+    more = [F.sum(area).alias("area")] if area else []
+    mean = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(d).alias(f"c_{d}") for d in dims], *more)
     d2 = sum(((F.col(d) - F.col(f"c_{d}")) * (F.col(d) - F.col(f"c_{d}")) for d in dims), F.lit(0.0))
     far = df.join(mean.select(key, *[f"c_{d}" for d in dims]), key).groupBy(key).agg(F.sqrt(F.max(d2)).alias("radius"))
     return mean.join(far, key)
 
 
+def largest_island(stats: DataFrame, key: str) -> DataFrame:
+    """largest: whether the island has the largest area, the first key of equal ones."""
+    best = stats.agg(F.max_by(key, F.struct("area", -F.col(key).cast("double"))).alias("_best"))  # one row
+    return stats.crossJoin(F.broadcast(best)).withColumn("largest", F.col(key) == F.col("_best")).drop("_best")
+
+
 def outline(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Cells one of whose four neighbours has another value."""
     around = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((1, 0), (-1, 0), (0, 1), (0, -1))])
     moved = cells.select(F.explode(around).alias("o"), F.col(row).alias("_r"), F.col(col).alias("_c"), F.col(value).alias("_v")).select((F.col("_r") + F.col("o.r")).alias(row), (F.col("_c") + F.col("o.c")).alias(col), "_v")
     return cells.join(moved, [row, col]).filter(F.col(value) != F.col("_v")).select(row, col, value).distinct()
+
+
+def contacts(objects: DataFrame, pairs: DataFrame, least: float = 0.75) -> DataFrame:
+    """object (with a link or null for any) -> object, other: what rests on it.
+
+    pairs has a row for each contact: a, link_a, b, link_b and up, the part of the normal on b that points upward.  The object
+    may be either side; seen from side a the normal is the other way round.  A contact counts if it points up enough."""
+    side = lambda me, link, other, sign: pairs.select(F.col(me).alias("_o"), F.col(link).alias("_l"), F.col(other).alias("other"), (sign * F.col("up")).alias("_up"))
+    both = side("a", "link_a", "b", -1).unionByName(side("b", "link_b", "a", 1)).filter(F.col("_up") > least)
+    hit = objects.join(both, (F.col("object") == F.col("_o")) & (F.col("link").isNull() | (F.col("link") == F.col("_l"))))
+    return hit.select("object", "other").distinct()
+
+
+def id_catalogue(rigid: DataFrame, articulated: DataFrame) -> DataFrame:
+    """rigid (id, handle), articulated (id, handle, links: array of ids) -> id, handle, parent: all objects and links; what isn't a
+    link is its own parent, a link's handle is that of its object with its number."""
+    own = rigid.unionByName(articulated.select("id", "handle")).withColumn("parent", F.col("id"))
+    links = articulated.select(F.col("id").alias("parent"), "handle", F.posexplode("links").alias("_n", "id"))
+    return own.unionByName(links.select("id", F.concat("handle", F.lit(" -- "), F.col("_n").cast("string")).alias("handle"), "parent"))
+
+
+def placement(objects: DataFrame, receptacles: DataFrame, regions: DataFrame, cell: float, far: float = 0.25, tie: float = 0.01, on_floor: float = 0.15) -> DataFrame:
+    """Where objects (id, support, x, y, z of their lowest point, floor_gap: distance from the floor's surface or null) lie: id, place, confidence.
+
+    The nearest receptacles (name, support, x, y, z) of the supporting object within `far`, nearly equal ones sharing the
+    confidence; without any there, and with a support that has no receptacles, 'floor,<region>' on the floor; else the
+    region, of several the smallest; else nothing (null)."""
+    near = objects.join(receptacles.select("name", F.col("support").alias("_s"), *[F.col(c).alias(f"_{c}") for c in "xyz"]), F.col("support") == F.col("_s"))
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "yz"), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))))
+    near = nearest(near.withColumn("distance", gap).filter(F.col("distance") < far), "id", tie)
+    held = near.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    has = receptacles.select(F.col("support").alias("_h")).distinct()
+    home = in_regions(objects, regions, cell).groupBy("id").agg(F.min_by("region", F.struct("area", "region")).alias("_region"))
+    out = objects.join(held, "id", "left").join(has, F.col("support") == F.col("_h"), "left").join(home, "id", "left")
+    floor = F.col("_h").isNull() & (F.col("floor_gap") < on_floor)
+    place = F.when(F.col("_names").isNotNull(), F.array_join("_names", ",")).when(floor, F.concat(F.lit("floor,"), F.coalesce(F.col("_region").cast("string"), F.lit("unknown_region")))).otherwise(F.col("_region").cast("string"))
+    return out.select("id", place.alias("place"), F.when(F.col("_names").isNotNull(), 1.0 / F.size("_names")).otherwise(1.0).alias("confidence"))
+
+
+def snapped(points: DataFrame, vertices: DataFrame, radius: float) -> DataFrame:
+    """Each point (id, x, y, z) with its nearest vertex (vertex, x, y, z) within `radius`: id, vertex, snap_x, snap_y, snap_z, distance; the
+    first in order of equally near ones, no row without one."""
+    pairs = within(points.select("id", "x", "y", "z"), vertices.select("vertex", "x", "y", "z"), radius)
+    best = pairs.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("distance", F.col("b_vertex").alias("vertex"), "b_x", "b_y", "b_z")).alias("m"))
+    return best.select("id", "m.vertex", F.col("m.b_x").alias("snap_x"), F.col("m.b_y").alias("snap_y"), F.col("m.b_z").alias("snap_z"), "m.distance")
+
+
+def navigable(points: DataFrame, snaps: DataFrame, height: float = 0.5, ground: float = 1e-2) -> DataFrame:
+    """The points whose snapped place is on their height and, on the ground, where they are."""
+    p = points.join(snaps, "id")
+    dx, dz = F.col("x") - F.col("snap_x"), F.col("z") - F.col("snap_z")
+    return p.filter((F.abs(F.col("y") - F.col("snap_y")) <= height) & (F.sqrt(dx * dx + dz * dz) <= ground)).select(*points.columns)
+
+
+def by_colour(vertices: DataFrame, objects: DataFrame) -> DataFrame:
+    """vertices (vertex, colour), objects (object, region, colour) -> vertex, object, region by colour; 0 and -1 for other colours."""
+    o = objects.select(F.col("colour").alias("_c"), "object", "region")
+    return vertices.join(o, F.col("colour") == F.col("_c"), "left").select("vertex", F.coalesce("object", F.lit(0)).alias("object"), F.coalesce("region", F.lit(-1)).alias("region"))
+
+
+def raster(regions: DataFrame, cell: float, y: float) -> DataFrame:
+    """Grid cells (row, col) of edge `cell` whose centre lies in a region at height y, with the regions' smallest id."""
+    span = regions.agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("z0", F.min), ("z1", F.max))])
+    grid = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    cells = span.select(F.explode(grid("z0", "z1")).alias("row"), "x0", "x1").select("row", F.explode(grid("x0", "x1")).alias("col"))
+    centres = cells.withColumns({"x": (F.col("col") + 0.5) * cell, "z": (F.col("row") + 0.5) * cell, "y": F.lit(float(y))})
+    return in_regions(centres, regions, max(cell, 1.0)).groupBy("row", "col").agg(F.min("region").alias("region"))
+
+
+def seen(rays: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells (x, y) that any ray (ray, line: cells in order) shows: up to the first that isn't open or isn't on the map (x, y, open)."""
+    steps = rays.select("ray", F.posexplode("line").alias("step", "c")).select("ray", "step", "c.x", "c.y")
+    known = steps.join(cells.select("x", "y", "open"), ["x", "y"], "left")
+    stop = known.filter(~F.coalesce("open", F.lit(False))).groupBy("ray").agg(F.min("step").alias("_stop"))
+    return known.join(stop, "ray", "left").filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).select("x", "y").distinct()
+
+
+def hulls(points: DataFrame, key: str, parts: int = 8) -> DataFrame:
+    """Corners (key, i, u, v) of the convex hull of each key's points (u, v), counter-clockwise from the least.
+
+    A hull's corners are corners of the hulls of its parts, so a large key is dealt into parts first."""
+
+    def corners(pdf: pd.DataFrame) -> np.ndarray:
+        p = np.unique(pdf[["u", "v"]].to_numpy(float), axis=0)  # sorted
+        if len(p) < 3:
+            return p
+
+        def half(rows: np.ndarray) -> list:
+            out: list = []
+            for r in rows:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]):
+                    out.pop()
+                out.append(r)
+            return out[:-1]
+
+        return np.array(half(p) + half(p[::-1]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = corners(pdf)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(c), "i": np.arange(len(c)), "u": c[:, 0], "v": c[:, 1]})
+
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, i int, u double, v double"
+    own = points.select(key, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    first = own.withColumn("_part", F.pmod(F.xxhash64("u", "v"), F.lit(parts))).groupBy(key, "_part").applyInPandas(run, schema)
+    return first.groupBy(key).applyInPandas(run, schema)
+
+
+def boxes_kept(pixels: DataFrame, names: DataFrame, wanted: list[str], width: int, height: int, fill: float = 0.3, extent: float = 0.05) -> DataFrame:
+    """pixels (frame, instance, x, y), names (instance, name) -> frame, instance, n and the box x0, y0, x1, y1 of the wanted instances whose
+    box is at least `fill` full and `extent` of the image wide and high; the far edges of the box are left out, as an image's are."""
+    ids = names.filter(F.col("name").isin(*wanted)).select("instance").distinct()
+    own = pixels.join(ids, "instance", "left_semi")
+    box = own.groupBy("frame", "instance").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    b = box.select(F.col("frame").alias("_f"), F.col("instance").alias("_i"), "x0", "y0", "x1", "y1")
+    inner = own.join(b, (F.col("frame") == F.col("_f")) & (F.col("instance") == F.col("_i"))).filter((F.col("x") < F.col("x1")) & (F.col("y") < F.col("y1")))
+    n = inner.groupBy("frame", "instance").agg(F.count(F.lit(1)).alias("n"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    large = (F.col("x1") - F.col("x0") >= extent * width) & (F.col("y1") - F.col("y0") >= extent * height)
+    return box.join(n, ["frame", "instance"]).filter(large & (F.try_divide(F.col("n"), area) >= fill)).select("frame", "instance", "n", "x0", "y0", "x1", "y1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,54 @@ def type_counts(tree: DataFrame) -> DataFrame:
     v = F.col("value")
     kind = F.when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?[0-9]+$"), "int").when(v.rlike(r"^-?[0-9]*\.[0-9]+([eE][-+]?[0-9]+)?$"), "double").otherwise("string")
     return tree.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def marker_counts(markers: DataFrame) -> DataFrame:
+    """markers (task, link, name, key, point) -> task, links, sets and points: how many of each a task has."""
+    return markers.groupBy("task").agg(F.count_distinct("link").alias("links"), F.count_distinct("link", "name").alias("sets"), F.count(F.lit(1)).alias("points"))
+
+
+def marker_points(markers: DataFrame) -> DataFrame:
+    """All points of a tree of marker sets, keyed anew within each set in the order of their keys."""
+    return rekeyed(markers, ["task", "link", "name"], "key")
+
+
+def inferred(value: Column, key: Column) -> Column:
+    """What a JSON value is taken for: null, bool, int, double, string; arrays of numbers by their length as vector2, vector3, vector4,
+    quaternion (four numbers under a key that tells of a turn), matrix3, matrix4; else array, and group for an object."""
+    v = F.try_parse_json(value)
+    kind = F.schema_of_variant(v)
+    n = F.size(F.from_json(value, "ARRAY<STRING>"))
+    numbers = kind.rlike(r"^ARRAY<(BIGINT|DOUBLE|DECIMAL\(\d+,\s?\d+\))>$")
+    turn = F.lower(key).rlike("quat|rotat|orient")
+    array = F.when(~numbers, "array").when(n == 2, "vector2").when(n == 3, "vector3").when((n == 4) & turn, "quaternion").when(n == 4, "vector4").when(n == 9, "matrix3").when(n == 16, "matrix4").otherwise("array")
+    return (
+        F.when(v.isNull(), F.lit(None))
+        .when(kind == "VOID", "null")
+        .when(kind == "BOOLEAN", "bool")
+        .when(kind == "BIGINT", "int")
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "double")
+        .when(kind == "STRING", "string")
+        .when(kind.startswith("OBJECT"), "group")
+        .otherwise(array)
+    )
+
+
+def scalars(df: DataFrame, key: str, info: str, ignored: tuple[str, ...] = (), depth: int = 4, banned: tuple[str, ...] = ("top_down_map", "collisions.is_collision")) -> DataFrame:
+    """key, name, value: the scalars of a JSON object, nested names parted by '.'; numbers, booleans as 0 and 1, and lists of one number.
+
+    Strings aren't scalars; names in `ignored` or `banned` are left out with all below them.  Objects are opened `depth` deep."""
+    spark, skip = df.sparkSession, [*ignored, *banned]
+    rows = df.select(F.col(key).alias("_k"), F.lit("").alias("_name"), F.try_parse_json(F.col(info)).alias("_v"))
+    out = None
+    for _ in range(depth):
+        rows = spark.sql("SELECT _k, CASE WHEN _name = '' THEN e.key ELSE _name || '.' || e.key END AS _name, e.value AS _v FROM {rows}, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL", rows=rows)
+        rows = rows.filter(~F.col("_name").isin(skip))
+        kind = F.schema_of_variant("_v")
+        number = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get("_v", "$", "double")).when(kind == "BOOLEAN", F.try_variant_get("_v", "$", "boolean").cast("double"))
+        one = kind.rlike("^ARRAY<(BIGINT|DOUBLE|DECIMAL|FLOAT)") & F.try_variant_get("_v", "$[1]", "double").isNull()
+        found = rows.withColumn("value", F.coalesce(number, F.when(one, F.try_variant_get("_v", "$[0]", "double")))).filter("value IS NOT NULL")
+        found = found.select(F.col("_k").alias(key), F.col("_name").alias("name"), "value")
+        out = found if out is None else out.unionByName(found)
+        rows = rows.filter(kind.startswith("OBJECT"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import strings
@@ -42,10 +42,9 @@ def flt11_best_match(t: Tables) -> DataFrame:
     return episodes.best_match(t("customer"), "c_name", "#00000001").select("c_name")
 
 
-@query("SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part WHERE p_partkey < 2) x WHERE contains(p.p_name, x.w))")
+@query("SELECT p_partkey FROM part WHERE NOT (contains(p_name, 'ring') OR contains(p_name, 'small') OR contains(p_name, '7'))")
 def flt12_excluded_names(t: Tables) -> DataFrame:
-    bad = t("part").filter("p_partkey < 2").select(F.split_part("p_name", lit(" "), lit(1)).alias("w")).distinct()
-    return t("part").join(bad, F.contains("p_name", "w"), "left_anti").select("p_partkey")
+    return t("part").filter(~episodes.excluded(c("p_name"), ["ring", "small", "7"])).select("p_partkey")
 
 
 @query("SELECT event_id FROM events WHERE abs(user_id % 3 * 0.25) <= 0.5 AND value BETWEEN 1 AND 30 AND value / (event_id % 50 + 1) >= 1.1 AND user_id % 4 >= 1.5")
@@ -108,11 +107,16 @@ def smp1_sample(t: Tables) -> DataFrame:
     return episodes.sample(t("customer").select("c_custkey"), "c_custkey", 100, "a")
 
 
-@query("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('b:' || c_custkey), c_custkey) - 1 AS n, count(*) OVER () // 11 AS k FROM customer) SELECT c_custkey, (n // k)::INT AS split FROM r WHERE n < 11 * k")
+@query("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('b:' || c_custkey), c_custkey) - 1 AS n, count(*) OVER () // 11 AS k FROM customer) SELECT c_custkey, (n // k)::INT AS split, n % k AS position FROM r WHERE n < 11 * k")
 def smp2_splits(t: Tables) -> DataFrame:
     return episodes.splits(t("customer").select("c_custkey"), "c_custkey", 11, "b")
 
 
+@query("WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY md5('b:' || c_custkey), c_custkey) AS n, count(*) OVER () AS total FROM customer), f AS (SELECT *, min(n) OVER (PARTITION BY c_nationkey) AS first FROM r), g AS (SELECT c_custkey, row_number() OVER (ORDER BY first, n) - 1 AS n, total // 7 AS k, total % 7 AS big FROM f) SELECT c_custkey, (CASE WHEN n < big * (k + 1) THEN n // (k + 1) ELSE big + (n - big * (k + 1)) // k END)::INT AS split FROM g")
+def smp2_uneven_by_scene(t: Tables) -> DataFrame:
+    return episodes.splits(t("customer").select("c_custkey", "c_nationkey"), "c_custkey", 7, "b", uneven=True, scene="c_nationkey").select("c_custkey", "split")
+
+
 @query("WITH i AS (SELECT p_type, sum(p_size) AS w FROM part GROUP BY p_type), k AS (SELECT p_type, sum(w) OVER (ORDER BY p_type)::DOUBLE / sum(w) OVER ()::DOUBLE AS hi FROM i), r AS (SELECT p_type, coalesce(lag(hi) OVER (ORDER BY p_type), 0) AS lo, hi FROM k) SELECT event_id, p_type FROM (SELECT event_id, event_id % 997 / 997.0::DOUBLE AS u FROM events) JOIN r ON u >= lo AND u < hi")
 def smp3_weighted_pick(t: Tables) -> DataFrame:
     items = t("part").groupBy("p_type").agg(F.sum("p_size").cast("double").alias("w"))
@@ -146,9 +150,10 @@ def prt4_round_robin(t: Tables) -> DataFrame:
     return episodes.round_robin(t("nation").select("n_nationkey"), "n_nationkey", 4, "e", 100)
 
 
-@query("SELECT o_orderpriority, min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS items, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS position FROM orders GROUP BY o_orderpriority")
 def agg30_scene_groups(t: Tables) -> DataFrame:
-    return t("orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("first"), F.count(lit(1)).alias("n"))
+    out = episodes.collated(t("orders"), "o_orderpriority", "o_orderkey", "o_orderkey")
+    return out.select("o_orderpriority", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), c("position").cast("long").alias("position"))
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
@@ -166,10 +171,12 @@ def set3_difference(t: Tables) -> DataFrame:
     return t("customer").select("c_custkey").exceptAll(t("orders").select("o_custkey").distinct()).distinct()
 
 
-@query(r"WITH w AS (SELECT item_id, unnest(list_filter(list_transform(regexp_extract_all(replace(replace(lower(regexp_replace(text, '[^ -~]', '', 'g')), '''', ' '''), 's', ' s'), '[\w-]+|[^\w-]+'), lambda x: trim(x)), lambda x: x <> '')) AS token, unnest(range(10000)) AS pos FROM benchmark), c AS (SELECT token, count(*) AS n, min(item_id) AS doc FROM w WHERE token IS NOT NULL GROUP BY token HAVING count(*) >= 3) SELECT * FROM c")
+TOKENS = r"""WITH w AS (SELECT item_id, unnest(list_filter(list_transform(regexp_extract_all(replace(replace(lower(text), chr(39), ' ' || chr(39)), 's', ' s'), '[\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS token FROM benchmark)"""
+
+
+@query(TOKENS + " SELECT token, count(*) AS n, min(item_id) AS doc FROM w GROUP BY token HAVING count(*) >= 3")
 def agg11_vocabulary(t: Tables) -> DataFrame:
-    tokens = strings.tokenize(F.regexp_replace("text", "[^ -~]", ""))
-    return t("benchmark").select("item_id", F.explode(tokens).alias("token")).groupBy("token").agg(F.count(lit(1)).alias("n"), F.min("item_id").alias("doc")).filter("n >= 3")
+    return t("benchmark").select("item_id", F.explode(strings.tokenize(c("text"))).alias("token")).groupBy("token").agg(F.count(lit(1)).alias("n"), F.min("item_id").alias("doc")).filter("n >= 3")
 
 
 STEPS = "WITH s AS (SELECT user_id AS ep, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, event_type AS a, value AS v, value * 0.5 AS x, (event_id % 17)::DOUBLE AS y, (event_id % 23)::DOUBLE AS z FROM events)"
@@ -215,9 +222,9 @@ def win4_path_length(t: Tables) -> DataFrame:
     return walked(t).select("id", F.round("path", 5).alias("path"))
 
 
-@query(LENGTH + " SELECT id, round(CASE WHEN a = 'click' THEN 1 ELSE 0 END * CASE WHEN greatest(start, path) > 0 THEN start / greatest(start, path) END, 6) AS spl, round(greatest(0, 1 - CASE WHEN start <> 0 THEN v / start END) * CASE WHEN greatest(start, path) > 0 THEN start / greatest(start, path) END, 6) AS soft_spl FROM p WHERE start > 0.001")
+@query(LENGTH + " SELECT id, round(CASE WHEN a = 'click' THEN 1 ELSE 0 END * CASE WHEN greatest(start, path) > 0 THEN start / greatest(start, path) END, 6) AS spl, round(greatest(0, 1 - CASE WHEN start <> 0 THEN v / start END) * CASE WHEN greatest(start, path) > 0 THEN start / greatest(start, path) END, 6) AS soft_spl FROM p")
 def win5_spl(t: Tables) -> DataFrame:
-    s = walked(t).filter("start > 0.001")
+    s = walked(t)
     hit = F.when(c("a") == "click", 1.0).otherwise(0.0)
     return s.select("id", F.round(metrics.spl(hit, c("start"), c("path")), 6).alias("spl"), F.round(metrics.soft_spl(c("v"), c("start"), c("path")), 6).alias("soft_spl"))
 
@@ -243,16 +250,39 @@ def win9_latch(t: Tables) -> DataFrame:
     return steps(t).select("id", metrics.ever(c("v") > 40, by()).alias("ever"), metrics.first_time(c("v") > 40, by()).alias("first_time"))
 
 
+@query(STEPS + " SELECT id, CASE WHEN v > 40 AND row_number() OVER (PARTITION BY ep, a, v > 40 ORDER BY t) = 1 THEN 2.5 ELSE 0 END::DOUBLE AS reward FROM s")
+def win10_first_time_reward(t: Tables) -> DataFrame:
+    return steps(t).select("id", metrics.first_time_reward(c("v") > 40, metrics.over(["ep", "a"], ["t"]), 2.5).alias("reward"))
+
+
 @query(STEPS + " SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY ep, round_even(x * 2, 0) / 2, round_even(z * 2, 0) / 2 ORDER BY t) AS n FROM s) WHERE n = 1")
 def win11_first_visit(t: Tables) -> DataFrame:
     w = Window.partitionBy("ep", F.bround(c("x") * 2, 0) / 2, F.bround(c("z") * 2, 0) / 2).orderBy("t")
     return steps(t).withColumn("n", F.row_number().over(w)).filter("n = 1").select("id")
 
 
-@query(STEPS + f" SELECT id, round(least(greatest(0.01 * (v - coalesce(lag(v) {W}), 0)), 0), 0.2), 6) AS penalty FROM s")
+#: The force accumulator step by step; `level` is the force it compares with.
+FORCE = STEPS.replace("WITH s", "WITH RECURSIVE s") + """, f(ep, t, level, add, accum) AS (SELECT ep, t, v, 0.0::DOUBLE, 0.0::DOUBLE FROM s WHERE t = 1
+UNION ALL SELECT f.ep, s.t, CASE WHEN s.v - level > 2 OR s.v - level < 0 THEN s.v ELSE level END, CASE WHEN s.v - level > 2 OR s.v - level < 0 THEN s.v - level ELSE 0 END, accum + CASE WHEN s.v - level > 2 THEN s.v - level ELSE 0 END
+FROM f JOIN s ON s.ep = f.ep AND s.t = f.t + 1)"""
+
+
+def forces(t: Tables) -> DataFrame:
+    """ep, t, v, add, accum: what each step's force adds."""
+    g = steps(t).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("r"))
+    out = g.select("ep", F.posexplode(metrics.hysteresis(c("r"), 2.0)).alias("i", "f"))
+    return out.select("ep", (c("i") + 1).cast("long").alias("t"), "f.add", "f.accum")
+
+
+@query(FORCE + " SELECT ep, t, add, accum FROM f")
+def win12_force_hysteresis(t: Tables) -> DataFrame:
+    return forces(t)
+
+
+@query(FORCE + " SELECT ep, t, -greatest(0, least(0.01::DOUBLE * add, 0.2::DOUBLE)) - CASE WHEN accum > 60 THEN 10 ELSE 0 END AS reward FROM f")
 def win14_force_penalty(t: Tables) -> DataFrame:
-    rise = c("v") - F.coalesce(F.lag("v").over(by()), lit(0))
-    return steps(t).select("id", F.round(F.least(F.greatest(0.01 * rise, lit(0)), lit(0.2)), 6).alias("penalty"))
+    ended = F.when(c("accum") > 60, 10.0).otherwise(0.0)
+    return forces(t).select("ep", "t", (metrics.force_penalty(c("add"), 0.01, 0.2) - ended).alias("reward"))
 
 
 @query(STEPS + " SELECT id, round((v - avg(v) OVER (PARTITION BY ep)) / (sqrt(var_pop(v) OVER (PARTITION BY ep)) + 0.00001), 5) AS advantage FROM s")
@@ -284,29 +314,33 @@ def win21_fps(t: Tables) -> DataFrame:
     return steps(t).select("id", r(w5).alias("window_fps"), r(w).alias("total_fps"))
 
 
-@query(STEPS + ", k AS (SELECT ep, t, sum(v) AS v FROM s GROUP BY ALL) SELECT a.ep, a.t, round(sum(b.v * power(0.9, b.t - a.t)) + 0.0000001234, 5) AS ret FROM k a JOIN k b ON a.ep = b.ep AND b.t >= a.t GROUP BY ALL")
-def win15_discounted_return(t: Tables) -> DataFrame:
-    g = steps(t).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("r"))
-    out = metrics.discounted(c("r"), F.transform("r", lambda _: lit(1.0)), 0.9)
-    return g.select("ep", F.posexplode(out).alias("i", "ret")).select("ep", (c("i") + 1).cast("long").alias("t"), F.round(c("ret") + 0.0000001234, 5).alias("ret"))
+#: Steps counted from the end of each episode, so that a recursion can go backwards.
+BACK = STEPS.replace("WITH s", "WITH RECURSIVE s") + ", b AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY t DESC) AS k, CASE WHEN id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS m FROM s)"
 
 
-@query()
-def win15_gae(t: Tables) -> DataFrame:
-    g = steps(t).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", "v", "x"))).alias("r"))
-    out = metrics.gae(F.transform("r", lambda x: x["v"]), F.transform("r", lambda x: x["x"]), F.transform("r", lambda _: lit(1.0)), 0.99, 0.95)
-    return g.select("ep", F.posexplode(out).alias("t", "ret"))
+def mask() -> Column:
+    return F.when(c("id") % 5 == 0, 0.0).otherwise(1.0).alias("m")
 
 
-@query()
-def win12_force_hysteresis(t: Tables) -> DataFrame:
-    g = steps(t).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("r"))
-    return g.select("ep", F.round(metrics.hysteresis(c("r"), 2.0), 6).alias("total"))
+@query(BACK + ", r(ep, k, t, ret) AS (SELECT ep, k, t, v + 0.9::DOUBLE * 0 * m FROM b WHERE k = 1 UNION ALL SELECT r.ep, b.k, b.t, b.v + 0.9::DOUBLE * ret * b.m FROM r JOIN b ON b.ep = r.ep AND b.k = r.k + 1) SELECT ep, t, ret FROM r")
+def win15_discounted_return(t: Tables) -> DataFrame:
+    g = steps(t).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", "v", mask()))).alias("r"))
+    out = metrics.discounted(c("r.v"), c("r.m"), 0.9)
+    return g.select("ep", F.posexplode(out).alias("i", "ret")).select("ep", (c("i") + 1).cast("long").alias("t"), "ret")
+
+
+@query(BACK + """, r(ep, k, t, value, g) AS (SELECT ep, k, t, x, v + 0.99::DOUBLE * 0.0 * m - x + 0.99::DOUBLE * 0.95::DOUBLE * m * 0.0 FROM b WHERE k = 1
+UNION ALL SELECT r.ep, b.k, b.t, b.x, b.v + 0.99::DOUBLE * r.value * b.m - b.x + 0.99::DOUBLE * 0.95::DOUBLE * b.m * r.g FROM r JOIN b ON b.ep = r.ep AND b.k = r.k + 1) SELECT ep, t, round(g + value, 9) AS ret FROM r""")
+def win15_gae(t: Tables) -> DataFrame:
+    g = steps(t).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", "v", "x", mask()))).alias("r"))
+    out = metrics.gae(c("r.v"), c("r.x"), c("r.m"), 0.99, 0.95)
+    return g.select("ep", F.posexplode(out).alias("i", "ret")).select("ep", (c("i") + 1).cast("long").alias("t"), F.round("ret", 9).alias("ret"))
 
 
-@query("SELECT event_type, round(sum(value) / 10000, 6) AS mean FROM events GROUP BY event_type")
+@query("SELECT event_type, sum(value) / (SELECT count(*) FROM events)::DOUBLE AS mean FROM events GROUP BY event_type".replace("sum(value)", "sum(round(value * 1000)::BIGINT)"))
 def agg6_mean_of_all(t: Tables) -> DataFrame:
-    return metrics.mean_of_all(t("events"), "event_type", "value", 10000).withColumn("mean", F.round("mean", 6))
+    whole = t("events").withColumn("value", F.round(c("value") * 1000).cast("long"))  # whole numbers: sums don't depend on their order
+    return metrics.mean_of_all(whole, "event_type", "value")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -335,22 +369,21 @@ def agg15_distributed_moments(t: Tables) -> DataFrame:
     return metrics.distributed_moments(t("events"), "user_id", "value").select(F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
 
 
-@query("SELECT round(avg(value), 6) AS mean, round(var_pop(value), 5) AS var, count(*)::DOUBLE AS n FROM events")
-def agg16_merged_moments(t: Tables) -> DataFrame:
-    parts = t("events").groupBy("event_type").agg(F.count(lit(1)).cast("double").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
-    out = parts.agg(metrics.merge_moments(F.array_sort(F.collect_list(F.struct("n", "mean", "var")))).alias("m"))
-    return out.select(F.round("m.mean", 6).alias("mean"), F.round("m.var", 5).alias("var"), "m.n")
-
-
 @query(STEPS + ", k AS (SELECT ep, t, v, count(*) OVER (PARTITION BY ep) AS n FROM s) SELECT ep, round(sum(CASE WHEN t = 1 THEN 1 ELSE 0.05 END::DOUBLE * power(0.95, n - t) * v), 5) AS ema FROM k GROUP BY ep")
 def agg19_ema(t: Tables) -> DataFrame:
     g = steps(t).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("r"))
     return g.select("ep", F.round(metrics.ema(c("r")), 5).alias("ema"))
 
 
-@query("SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS rank FROM events")
+@query("WITH v AS (SELECT vec_id, embedding AS e, embedding[vec_id % 8 + 1] AS own FROM embeddings), r AS (SELECT vec_id, 1 + len(list_filter(e[1:8], lambda x: x > own)) AS rank FROM v) SELECT vec_id, rank::BIGINT AS rank, rank = 1 AS correct FROM r")
 def agg20_label_rank(t: Tables) -> DataFrame:
-    return t("events").select("event_id", F.rank().over(Window.partitionBy("user_id").orderBy(c("value").desc())).cast("long").alias("rank"))
+    return t("embeddings").select("vec_id", metrics.rank_of(F.slice("embedding", 1, 8), c("vec_id") % 8).alias("rank")).withColumn("correct", c("rank") == 1)
+
+
+@query("WITH v AS (SELECT label, embedding AS e, embedding[vec_id % 8 + 1] AS own FROM embeddings), r AS (SELECT label, 1 + len(list_filter(e[1:8], lambda x: x > own)) AS rank FROM v) SELECT label, avg(rank) AS mean_rank, avg((rank = 1)::INT) AS accuracy FROM r GROUP BY label")
+def agg20_accuracy(t: Tables) -> DataFrame:
+    rank = metrics.rank_of(F.slice("embedding", 1, 8), c("vec_id") % 8)
+    return t("embeddings").groupBy("label").agg(F.avg(rank).alias("mean_rank"), F.avg((rank == 1).cast("int")).alias("accuracy"))
 
 
 @query(STEPS + " SELECT ep, arg_max(v, t) AS final, round(arg_min(v, t) - arg_max(v, t), 6) AS gained, min(v) AS least, count(*) AS n, bool_or(a = 'click') AS stopped FROM s GROUP BY ep")
@@ -359,10 +392,10 @@ def agg21_trajectory_stats(t: Tables) -> DataFrame:
     return g.select("ep", "final", F.round(c("first") - c("final"), 6).alias("gained"), "least", "n", "stopped")
 
 
-@query(STEPS + ", k AS (SELECT ep, a, count(*) AS n, max(t) AS reached FROM s WHERE a <> 'error' GROUP BY ALL) SELECT ep, arg_max(a, n * 100000 - reached) AS mode FROM k GROUP BY ep")
+@query(STEPS + ", k AS (SELECT ep, a, count(*) AS n, max(t) AS reached FROM s WHERE a <> 'error' GROUP BY ALL) SELECT ep, a AS mode FROM k QUALIFY row_number() OVER (PARTITION BY ep ORDER BY n DESC, reached) = 1")
 def agg22_mode_first_reached(t: Tables) -> DataFrame:
     k = steps(t).filter("a <> 'error'").groupBy("ep", "a").agg(F.count(lit(1)).alias("n"), F.max("t").alias("reached"))
-    return k.groupBy("ep").agg(F.max_by("a", c("n") * 100000 - c("reached")).alias("mode"))
+    return k.groupBy("ep").agg(F.max_by("a", F.struct("n", -c("reached"))).alias("mode"))
 
 
 @query("SELECT event_type, min(value) AS least, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
@@ -381,12 +414,11 @@ def flat1_props(t: Tables) -> DataFrame:
     return flat.groupBy("event_type", (c("value").cast("long") % 10).alias("k")).agg(F.count(lit(1)).alias("n"))
 
 
-@query("SELECT user_id, round(avg((event_type = 'click')::INT), 6) AS follow, round(avg((value < 5)::INT), 6) AS close, min(CASE WHEN event_type = 'click' THEN event_id END) AS first_found FROM events GROUP BY user_id")
-def agg32_social_ratios(t: Tables) -> DataFrame:
-    share = lambda b: F.round(F.avg(b.cast("int")), 6)
-    return t("events").groupBy("user_id").agg(share(c("event_type") == "click").alias("follow"), share(c("value") < 5).alias("close"), F.min(F.when(c("event_type") == "click", c("event_id"))).alias("first_found"))
+SOCIAL = STEPS + f", k AS (SELECT *, v < 20 AS found, v < 8 AND a IN ('click', 'view') AS follows, v < 8 AND NOT a IN ('click', 'view') AS backs FROM s), f AS (SELECT *, bool_or(found) {W}) AS ever FROM k)"
 
 
-@query("SELECT user_id, avg((value > 1)::INT) <= 0.95 AS outdoor FROM events GROUP BY user_id")
-def agg33_outdoor_vote(t: Tables) -> DataFrame:
-    return t("events").groupBy("user_id").agg((F.avg((c("value") > 1).cast("int")) <= 0.95).alias("outdoor"))
+@query(SOCIAL + " SELECT ep, bool_or(found) AS found, coalesce(min(t) FILTER (found), 1500) AS first_step, round(count(*) FILTER (follows AND ever) / greatest(count(*) FILTER (ever), 1)::DOUBLE, 6) AS follow, round(count(*) FILTER (backs) / count(*)::DOUBLE, 6) AS backup, round(count(*) FILTER (follows) / count(*)::DOUBLE, 6) AS close, round(avg(CASE WHEN ever THEN v END), 6) AS distance, round(CASE WHEN bool_or(found) THEN 5 / greatest(5, min(t) FILTER (found))::DOUBLE ELSE 0 END, 6) AS spl FROM f GROUP BY ep")
+def agg32_social_ratios(t: Tables) -> DataFrame:
+    s = steps(t).withColumns({"found": c("v") < 20, "follows": (c("v") < 8) & c("a").isin("click", "view"), "backs": (c("v") < 8) & ~c("a").isin("click", "view"), "best": lit(5)})
+    out = metrics.social(s, "ep", "t", "v")
+    return out.select("ep", "found", "first_step", *[F.round(n, 6).alias(n) for n in ("follow", "backup", "close", "distance", "spl")])

@@ -57,7 +57,8 @@ def agg10_relative_profile(t: Tables) -> DataFrame:
 
 
 OBJECTS = "WITH o AS (SELECT p_partkey AS id, p_partkey % 50 AS frame, lower(p_type) AS label, p_size::DOUBLE AS percent, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey * 7 % 97) / 10.0::DOUBLE END AS d FROM part)"
-PREF = "CASE WHEN d IS NULL THEN 0.6 WHEN d <= 0 THEN 0.3 WHEN d BETWEEN 2 AND 5 THEN 1.0 WHEN d < 2 THEN 0.75 WHEN d <= 8 THEN 0.75 ELSE 0.3 END::DOUBLE"
+PREF = "CASE WHEN {0} IS NULL THEN 0.6 WHEN {0} <= 0 THEN 0.3 WHEN {0} >= 3 AND {0} <= 5 THEN 1.0 WHEN {0} >= 2 AND {0} <= 6 THEN 0.75 WHEN {0} >= 1 AND {0} <= 7 THEN 0.5 ELSE 0.3 END::DOUBLE"
+SEEN = PREF.format("nullif(d, 0)")
 
 
 def objects(t: Tables) -> DataFrame:
@@ -90,7 +91,7 @@ def flt5_pixel_area(t: Tables) -> DataFrame:
     return t("part").filter(c("p_size") / 100.0 >= 0.02).select("p_partkey", "p_size")
 
 
-@query(OBJECTS + f" SELECT id, {PREF} AS preference, CASE WHEN d IS NULL OR d <= 0 THEN NULL WHEN d < 1 THEN 'very close' WHEN d < 3 THEN 'near' WHEN d <= 5 THEN 'mid-range' WHEN d <= 6 THEN 'slightly far' ELSE 'far' END AS bucket FROM o")
+@query(OBJECTS + f" SELECT id, {PREF.format('d')} AS preference, CASE WHEN d IS NULL OR d <= 0 THEN NULL WHEN d < 1 THEN 'very close' WHEN d < 3 THEN 'near' WHEN d <= 5 THEN 'mid-range' WHEN d <= 6 THEN 'slightly far' ELSE 'far' END AS bucket FROM o")
 def prj4_distance_preference(t: Tables) -> DataFrame:
     return objects(t).select("id", frames.preference(c("d")).cast("double").alias("preference"), frames.bucket(c("d")).alias("bucket"))
 
@@ -100,9 +101,11 @@ def prj5_image_direction(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", frames.direction(F.get("embedding", lit(0)).cast("double"), F.get("embedding", lit(1)).cast("double")).alias("direction"))
 
 
-@query("SELECT DISTINCT event_type, CASE event_type WHEN 'left_of' THEN 'to the left of' ELSE replace(event_type, '_', ' ') END AS phrase FROM events")
+@query("""SELECT event_id, (['left_of', 'right_of', 'in_front_of', 'behind', 'beneath_of', 'on_top_of', 'above', 'next_to', 'far_from', 'touches'])[event_id % 10 + 1] AS relation,
+(['to the left of', 'to the right of', 'in front of', 'behind', 'below', 'on top of', 'above', 'next to', 'far from', 'touches'])[event_id % 10 + 1] AS phrase FROM events""")
 def prj3_relation_phrase(t: Tables) -> DataFrame:
-    return t("events").select("event_type", frames.phrase(c("event_type")).alias("phrase")).distinct()
+    names = F.array(*[lit(x) for x in (*frames.PHRASES, "far_from", "touches")])
+    return t("events").select("event_id", F.get(names, (c("event_id") % 10).cast("int")).alias("relation")).withColumn("phrase", frames.phrase(c("relation")))
 
 
 @query("SELECT p_partkey, CASE lower(trim(p_type)) WHEN 'economy' THEN 'budget' WHEN 'promo' THEN 'budget' ELSE lower(trim(p_type)) END AS p_type FROM part")
@@ -111,12 +114,12 @@ def prj2_canonical_label(t: Tables) -> DataFrame:
     return frames.canonical(t("part"), words, "p_type").select("p_partkey", "p_type")
 
 
-@query(OBJECTS + f", s AS (SELECT *, {PREF} AS p FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY percent * p DESC, p DESC, percent DESC, -coalesce(d, 0) DESC, id) AS rank FROM s) SELECT frame, id, rank::INT AS rank FROM k WHERE rank <= 6")
+@query(OBJECTS + f", s AS (SELECT *, {SEEN} AS p FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY percent * p DESC, p DESC, percent DESC, -coalesce(d, 0) DESC, id) AS rank FROM s) SELECT frame, id, rank::INT AS rank FROM k WHERE rank <= 6")
 def srt1_salience_top6(t: Tables) -> DataFrame:
     return frames.top_salient(objects(t), "frame", frames.salience_order(c("percent"), c("d"), c("id")), 6).select("frame", "id", "rank")
 
 
-REL = OBJECTS + f", w AS (SELECT label, count(*) / 1000.0::DOUBLE AS score FROM o WHERE id % 2 = 0 AND label < 'm' GROUP BY label), s AS (SELECT o.*, {PREF} AS p, coalesce(score, 0.2::DOUBLE) AS relevance FROM o LEFT JOIN w USING (label))"
+REL = OBJECTS + f", w AS (SELECT label, count(*) / 1000.0::DOUBLE AS score FROM o WHERE id % 2 = 0 AND label < 'm' GROUP BY label), s AS (SELECT o.*, {SEEN} AS p, coalesce(score, 0.2::DOUBLE) AS relevance FROM o LEFT JOIN w USING (label))"
 
 
 def relevant(t: Tables) -> DataFrame:
@@ -148,7 +151,8 @@ def points(t: Tables) -> DataFrame:
 
 
 RELATIONS = POINTS + """, p AS (SELECT a.frame, a.id AS i, b.id AS j, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM v a JOIN v b ON a.frame = b.frame AND a.id < b.id),
-r AS (SELECT frame, i, j, sqrt(dx * dx + dy * dy + dz * dz) AS d, CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END WHEN abs(dy) >= abs(dz) THEN CASE WHEN dy > 0 THEN 'on_top_of' ELSE 'below' END ELSE CASE WHEN dz > 0 THEN 'behind' ELSE 'in_front_of' END END AS relation FROM p)"""
+r AS (SELECT frame, i, j, sqrt(dx * dx + dy * dy + dz * dz) AS d, CASE WHEN abs(dy) > 0.25 AND abs(dy) > (abs(dx) + abs(dz)) / 1.2::DOUBLE THEN CASE WHEN dy > 0 THEN 'on_top_of' ELSE 'beneath_of' END
+WHEN abs(dx) > abs(dz) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END WHEN dz < 0 THEN 'in_front_of' ELSE 'behind' END AS relation FROM p)"""
 
 
 @query(RELATIONS + " SELECT frame, i, j, relation, round(d, 6) AS distance_m FROM r WHERE d <= 1.5")
@@ -164,8 +168,9 @@ def flt2_usable_relations(t: Tables) -> DataFrame:
 
 
 def clusters(t: Tables) -> DataFrame:
-    p = points(t).select("frame", F.concat(lit("l"), (c("id") % 3).cast("string")).alias("label"), c("id").alias("object_id"), (c("id") * 37 % 500 + 50).alias("pixel_count"), "x", "y", "z", F.abs("x").alias("distance"))
-    return frames.cluster(p, 3.0)
+    p = points(t).select("frame", F.concat(lit("l"), (c("id") % 3).cast("string")).alias("label"), c("id").alias("object_id"), (c("id") * 37 % 500 + 50).alias("pixel_count"), (c("id") % 10 / lit(100.0)).alias("percent"), "x", "y", "z", F.abs("x").alias("distance"))
+    box = lambda d: F.array(c("x") + d, c("y") + d, c("z") + d)
+    return frames.cluster(p.withColumns({"low": box(-0.5), "high": box(0.5)}), 1.0)
 
 
 @query()
@@ -175,8 +180,7 @@ def agg4_greedy_clusters(t: Tables) -> DataFrame:
 
 @query()
 def agg5_top_clusters(t: Tables) -> DataFrame:
-    top = frames.top_salient(clusters(t), "frame", [c("pixels").desc(), c("label"), c("cluster")], 5)
-    return top.withColumn("uid", F.format_string("%s_%02d", "label", c("rank")))
+    return frames.top_clusters(clusters(t), 5)
 
 
 @query(OBJECTS + """, s AS (SELECT id, frame, label || ' (' || percent::INT::VARCHAR || '%)' AS e, row_number() OVER (PARTITION BY frame ORDER BY percent DESC, id) AS n FROM o)
@@ -216,38 +220,93 @@ def join21_first_object(t: Tables) -> DataFrame:
     return catalogue.first_match(q, o, "request", ["room", "category"], ["c_custkey"]).select("room", "category", "c_custkey")
 
 
-@query("SELECT s_suppkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING' AND c_custkey < 40) AS found FROM supplier")
+@query("SELECT s_suppkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 5000) AS found FROM supplier")
 def join22_room_holds(t: Tables) -> DataFrame:
-    o = t("customer").filter("c_mktsegment = 'BUILDING' AND c_custkey < 40").select(c("c_nationkey").alias("s_nationkey"))
+    o = t("customer").filter("c_mktsegment = 'BUILDING' AND c_acctbal > 5000").select(c("c_nationkey").alias("s_nationkey"))
     return catalogue.exists(t("supplier"), o, ["s_nationkey"]).select("s_suppkey", "found")
 
 
-CATALOGUE = "WITH c AS (SELECT 'room' || c_nationkey % 5 AS room, c_mktsegment || c_nationkey AS category, count(*) AS n FROM customer WHERE c_custkey < 60 GROUP BY ALL), q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 'room' || o_orderkey % 7 END AS room, CASE WHEN o_orderkey % 2 > 0 THEN (['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'])[o_orderkey % 5 + 1] || o_orderkey % 25 END AS object FROM orders WHERE o_orderkey < 5000)"
+SEGMENTS = ("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD")
+CATALOGUE = """WITH c AS (SELECT lower(n_name) || '_' || c_nationkey % 2 AS room, c_mktsegment || c_custkey % 40 AS category, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+m AS (SELECT DISTINCT lower(n_name) || '_' || n_nationkey % 2 AS room, CASE WHEN n_nationkey % 3 = 0 THEN 'many' ELSE lower(n_name) END AS kind FROM nation),
+q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN CASE o_orderkey % 7 WHEN 0 THEN 'many' WHEN 1 THEN 'nowhere' WHEN 2 THEN lower(n_name) ELSE lower(n_name) || '_' || n_nationkey % 2 END END AS room,
+  CASE WHEN o_orderkey % 2 > 0 THEN (['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'])[o_orderkey % 5 + 1] || o_orderkey % 41 END AS object FROM orders JOIN nation ON o_custkey % 25 = n_nationkey),
+k AS (SELECT kind, count(*) AS rooms, min(room) AS only_room, list_sort(list(room)) AS of FROM m GROUP BY kind), p AS (SELECT category, count(*) AS rooms, min(room) AS only_room, list_sort(list(room)) AS ins FROM c GROUP BY category),
+j AS (SELECT q.*, coalesce(m.room, CASE WHEN k.rooms = 1 THEN k.only_room END) AS at, k.rooms AS kinds, of, p.rooms AS places, p.only_room, ins FROM q LEFT JOIN (SELECT DISTINCT room FROM m) m ON q.room = m.room LEFT JOIN k ON q.room = k.kind LEFT JOIN p ON q.object = p.category),
+r AS (SELECT j.*, CASE WHEN j.room IS NULL AND object IS NULL THEN 8 WHEN j.room IS NOT NULL AND at IS NULL THEN CASE WHEN kinds > 1 THEN 4 ELSE 7 END WHEN object IS NULL THEN 2
+  WHEN j.room IS NOT NULL THEN CASE WHEN c.n = 1 THEN 1 WHEN c.n > 1 THEN 6 ELSE 7 END WHEN places IS NULL THEN 7 WHEN places > 1 THEN 3 ELSE 5 END AS rule FROM j LEFT JOIN c ON c.room = at AND c.category = object)
+SELECT id, rule, CASE WHEN rule IN (1, 2, 6) THEN at WHEN rule = 5 THEN only_room END AS target_room, array_to_string(CASE rule WHEN 3 THEN ins WHEN 4 THEN of END, ',') AS candidates FROM r"""
 
 
-@query(CATALOGUE + """ SELECT id, CASE WHEN room IS NULL AND object IS NULL THEN 8 WHEN room IS NOT NULL AND room NOT IN (SELECT room FROM c) THEN 6
-WHEN object IS NOT NULL AND object NOT IN (SELECT category FROM c) THEN 7 WHEN EXISTS (SELECT 1 FROM c WHERE c.room = q.room AND c.category = q.object) THEN 1 WHEN object IS NULL THEN 2 WHEN room IS NOT NULL THEN 5
-WHEN (SELECT count(DISTINCT c.room) FROM c WHERE c.category = q.object) = 1 THEN 3 ELSE 4 END AS rule FROM q""")
+def house(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Counts of things in rooms, and the rooms with their kinds."""
+    room = F.concat(F.lower("n_name"), lit("_"), (c("n_nationkey") % 2).cast("string"))
+    n = t("nation").select("n_nationkey", room.alias("room"), F.when(c("n_nationkey") % 3 == 0, "many").otherwise(F.lower("n_name")).alias("kind"))
+    things = t("customer").join(n, c("c_nationkey") == c("n_nationkey")).select("room", F.concat("c_mktsegment", (c("c_custkey") % 40).cast("string")).alias("category"))
+    return things.groupBy("room", "category").agg(F.count(lit(1)).alias("n")), n.select("room", "kind")
+
+
+@query(CATALOGUE)
 def stm12_route_rule(t: Tables) -> DataFrame:
-    cat = t("customer").filter("c_custkey < 60").select(F.concat(lit("room"), (c("c_nationkey") % 5).cast("string")).alias("room"), F.concat("c_mktsegment", c("c_nationkey").cast("string")).alias("category")).groupBy("room", "category").agg(F.count(lit(1)).alias("n"))
-    k = c("o_orderkey")
-    names = F.array(*[lit(x) for x in ("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD")])
-    q = t("orders").filter("o_orderkey < 5000").select(k.alias("id"), F.when(k % 3 > 0, F.concat(lit("room"), (k % 7).cast("string"))).alias("room"), F.when(k % 2 > 0, F.concat(F.get(names, (k % 5).cast("int")), (k % 25).cast("string"))).alias("object"))
-    return catalogue.route(q, cat).select("id", "rule")
+    things, rooms = house(t)
+    k, names = c("o_orderkey"), F.array(*[lit(x) for x in SEGMENTS])
+    exact = F.concat(F.lower("n_name"), lit("_"), (c("n_nationkey") % 2).cast("string"))
+    room = F.when(k % 7 == 0, "many").when(k % 7 == 1, "nowhere").when(k % 7 == 2, F.lower("n_name")).otherwise(exact)
+    q = t("orders").join(t("nation"), c("o_custkey") % 25 == c("n_nationkey")).select(k.alias("id"), F.when(k % 3 > 0, room).alias("room"), F.when(k % 2 > 0, F.concat(F.get(names, (k % 5).cast("int")), (k % 41).cast("string"))).alias("object"))
+    return catalogue.route(q, things, rooms).select("id", "rule", "target_room", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("""SELECT conv_id, turn, nullif(regexp_extract(lower('Go to "' || left(text, 12) || '" now'), '"(.*?)"', 1), '') AS target FROM conversations WHERE text NOT LIKE '%"%'""")
+@query("""SELECT conv_id, turn, nullif(regexp_extract(lower('Go to "' || text || '" now'), '"(.*?)"', 1), '') AS target FROM conversations""")
 def prj9_quoted_target(t: Tables) -> DataFrame:
-    said = F.concat(lit('Go to "'), F.left("text", lit(12)), lit('" now'))
-    return t("conversations").filter(~c("text").contains('"')).select("conv_id", "turn", strings.quoted_target(said).alias("target"))
+    said = F.concat(lit('Go to "'), "text", lit('" now'))
+    return t("conversations").select("conv_id", "turn", strings.quoted_target(said).alias("target"))
+
+
+REPLIES = """WITH r AS (SELECT conv_id, turn, role, (conv_id + turn) % 11 AS k FROM conversations),
+x AS (SELECT conv_id, turn, k, CASE k WHEN 0 THEN role WHEN 9 THEN '9. Hall_1' WHEN 10 THEN '1. Hall_1 ' || role ELSE ' ' || k || ' . Hall_1, ' || role || ' ' END AS reply,
+  CASE WHEN k BETWEEN 1 AND 8 THEN k::INT END AS rule, 'Hall_1, ' || role AS body, role FROM r),
+g AS (SELECT conv_id, turn, reply, rule, CASE rule WHEN 1 THEN 'object_in_room' WHEN 2 THEN 'room_only' WHEN 3 THEN 'ambiguous_object_rooms' WHEN 4 THEN 'ambiguous_room' WHEN 5 THEN 'object_in_single_room' WHEN 6 THEN 'object_repeated_in_room' WHEN 7 THEN 'not_found' WHEN 8 THEN 'friendly_conversation' END AS kind,
+  CASE WHEN rule = 1 THEN 'Hall_1' WHEN rule IN (2, 5, 6) THEN body END AS room, CASE WHEN rule = 1 THEN role END AS object, CASE WHEN rule IN (3, 4, 7, 8) THEN body END AS message, CASE k WHEN 0 THEN 'format' WHEN 9 THEN 'rule' WHEN 10 THEN 'room, object' END AS error FROM x)"""
+
+
+def replies(t: Tables) -> DataFrame:
+    k = (c("conv_id") + c("turn")) % 11
+    told = F.concat(lit(" "), k.cast("string"), lit(" . Hall_1, "), c("role"), lit(" "))
+    text = F.when(k == 0, c("role")).when(k == 9, "9. Hall_1").when(k == 10, F.concat(lit("1. Hall_1 "), c("role"))).otherwise(told)
+    return t("conversations").select("conv_id", "turn", text.alias("reply"))
 
 
-@query("WITH r AS (SELECT conv_id, turn, turn % 9 + 1 AS k, role FROM conversations) SELECT conv_id, turn, CASE WHEN k <= 8 THEN k::INT END AS rule, CASE k WHEN 1 THEN 'object_in_room' WHEN 2 THEN 'room' WHEN 3 THEN 'object' WHEN 8 THEN 'chat' WHEN 9 THEN 'invalid' ELSE 'clarify' END AS kind, CASE WHEN k <= 2 THEN CASE k WHEN 1 THEN 'hall' ELSE 'hall, ' || role END END AS room, CASE k WHEN 1 THEN role WHEN 3 THEN 'hall, ' || role END AS object FROM r")
+@query(REPLIES + " SELECT conv_id, turn, rule, kind, room, object, message, error FROM g")
 def prj10_reply_goal(t: Tables) -> DataFrame:
-    reply = F.concat((c("turn") % 9 + 1).cast("string"), lit(". Hall, "), c("role"))
-    return t("conversations").select("conv_id", "turn", strings.reply_goal(reply).alias("g")).select("conv_id", "turn", "g.rule", "g.kind", "g.room", "g.object")
+    return replies(t).select("conv_id", "turn", strings.reply_goal(c("reply")).alias("g")).select("conv_id", "turn", "g.*")
 
 
-@query(OBJECTS + " SELECT id, label || CASE WHEN d IS NULL THEN '' ELSE ' at ' || CASE WHEN d < 3 THEN 'near' ELSE 'far' END END AS entry FROM o")
+DIALOG = """WITH h AS (SELECT p_brand AS room, p_type AS category, p_partkey AS ord, p_size / 10.0::DOUBLE AS x, p_size % 5 * 1.0::DOUBLE AS y, p_partkey % 7 * 1.0::DOUBLE AS z FROM part),
+q AS (SELECT o_orderkey AS request, o_orderkey % 9 AS k, lower(b.p_brand) AS room, b.p_type AS object, o_orderkey % 4 = 0 AS wrong FROM orders JOIN part b ON b.p_partkey = o_custkey),
+w AS (SELECT request, k, CASE k WHEN 0 THEN 'hello' ELSE k || '. ' || room || CASE WHEN wrong THEN 'x' ELSE '' END || CASE WHEN k = 1 THEN ', ' || upper(object) ELSE '' END END AS reply, CASE WHEN k > 0 THEN k::INT END AS rule, room, object, wrong FROM q),
+f AS (SELECT lower(room) AS room, NULL AS object, arg_min(x, ord) AS x, arg_min(y, ord) AS y, arg_min(z, ord) AS z FROM h GROUP BY lower(room) UNION ALL SELECT lower(room), lower(category), arg_min(x, ord), arg_min(y, ord), arg_min(z, ord) FROM h GROUP BY ALL)
+SELECT request, reply, rule, CASE WHEN k = 0 THEN 'invalid' WHEN k IN (3, 4, 7, 8) THEN 'say' WHEN f.x IS NULL THEN 'absent' ELSE 'go' END AS outcome, f.x, CASE WHEN f.y < 2 THEN 0.163378::DOUBLE ELSE f.y END AS y, f.z,
+  CASE WHEN k IN (3, 4, 7, 8) THEN w.room || CASE WHEN wrong THEN 'x' ELSE '' END END AS message
+FROM w LEFT JOIN f ON k IN (1, 2, 5, 6) AND NOT wrong AND f.room = w.room AND f.object IS NOT DISTINCT FROM CASE WHEN k = 1 THEN lower(w.object) END"""
+
+
+@query(DIALOG)
+def stm11_dialog(t: Tables) -> DataFrame:
+    p = t("part")
+    things = p.select(c("p_brand").alias("room"), c("p_type").alias("category"), c("p_partkey").alias("ordinal"), (c("p_size") / lit(10.0)).alias("x"), (c("p_size") % 5).cast("double").alias("y"), (c("p_partkey") % 7).cast("double").alias("z"))
+    k = c("o_orderkey") % 9
+    told = F.concat(k.cast("string"), lit(". "), F.lower("p_brand"), F.when(c("o_orderkey") % 4 == 0, "x").otherwise(""), F.when(k == 1, F.concat(lit(", "), F.upper("p_type"))).otherwise(""))
+    said = t("orders").join(p, c("o_custkey") == c("p_partkey")).select(c("o_orderkey").alias("request"), F.when(k == 0, "hello").otherwise(told).alias("reply"))
+    return catalogue.dialog(said, things)
+
+
+@query(OBJECTS + """ SELECT id, label || CASE WHEN percent > 0 OR d > 0 THEN ' (' || concat_ws(', ', CASE WHEN percent > 0 THEN printf('%.2f%% area', percent) END, CASE WHEN d > 0 THEN printf('%.1fm away', d) END,
+CASE WHEN d <= 0 THEN NULL WHEN d < 1 THEN 'very close' WHEN d < 3 THEN 'near' WHEN d <= 5 THEN 'mid-range' WHEN d <= 6 THEN 'slightly far' WHEN d > 6 THEN 'far' END) || ')' ELSE '' END AS entry FROM o""")
 def prj1_object_entry(t: Tables) -> DataFrame:
-    return objects(t).select("id", F.concat("label", F.when(c("d").isNull(), "").otherwise(F.concat(lit(" at "), F.when(c("d") < 3, "near").otherwise("far")))).alias("entry"))
+    return objects(t).select("id", frames.entry(c("label"), c("percent"), c("d")).alias("entry"))
+
+
+@query("WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v FROM embeddings), d AS (SELECT vec_id, CASE WHEN v > 0.3 THEN 'upper' WHEN v < -0.3 THEN 'lower' END AS a, CASE WHEN u < -0.3 THEN 'left' WHEN u > 0.3 THEN 'right' END AS b FROM v) SELECT vec_id, 'thing (' || coalesce(nullif(concat_ws('-', a, b), ''), 'center') || ')' AS entry FROM d")
+def prj1_placed_entry(t: Tables) -> DataFrame:
+    u, v = (F.get("embedding", lit(i)).cast("double") for i in (0, 1))
+    return t("embeddings").select("vec_id", frames.placed_entry(lit("thing"), u, v).alias("entry"))

@@ -102,16 +102,16 @@ def agg26_containment(t: Tables) -> DataFrame:
     return hits.groupBy("owner", "region").agg(F.count(lit(1)).alias("n")).filter("n > 2").select("owner", "region")
 
 
-@query("SELECT n_nationkey, 300.0::DOUBLE AS area FROM nation")
+@query(PLACES + " SELECT region AS n_nationkey, round(abs(sum(au * bv - bu * av)) / 2, 6) AS area FROM e GROUP BY region")
 def geo10_region_area(t: Tables) -> DataFrame:
-    return rooms(t).select(c("region").alias("n_nationkey"), F.round(g.polygon_area(c("loop")) - 60, 6).alias("area"))
+    return rooms(t).select(c("region").alias("n_nationkey"), F.round(g.polygon_area(c("loop")), 6).alias("area"))
 
 
-NEAR = PLACES + ", d AS (SELECT a.id AS a_id, b.id AS b_id, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) AS d FROM p a JOIN p b ON a.id <> b.id AND b.id % 3 = 0 AND abs(a.x - b.x) <= 6)"
+NEAR = PLACES + ", d AS (SELECT a.id AS a_id, b.id AS b_id, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) AS d FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 6)"
 
 
 def near(t: Tables) -> DataFrame:
-    return spatial.within(places(t), places(t).filter("id % 3 = 0"), 6.0).filter("a_id <> b_id")
+    return spatial.within(places(t), places(t), 6.0).filter("a_id <> b_id")
 
 
 @query(NEAR + ", m AS (SELECT *, min(d) OVER (PARTITION BY a_id) AS m FROM d WHERE d <= 6) SELECT a_id, b_id, round(d, 6) AS distance FROM m WHERE d <= m + 0.01")
@@ -124,12 +124,6 @@ def join27_same_parent_near(t: Tables) -> DataFrame:
     return near(t).filter("a_id % 5 = b_id % 5").select("a_id", "b_id", F.round("distance", 6).alias("distance"))
 
 
-@query(PLACES + " SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) ^ 2 + (a.z - b.z) ^ 2) <= 1.5 AND abs(a.y - b.y) <= 1")
-def join23_next_to(t: Tables) -> DataFrame:
-    pairs = spatial.within(places(t), places(t), 1.5, ("x", "z"))
-    return pairs.filter("a_id < b_id AND abs(a_y - b_y) <= 1").select(c("a_id").alias("i"), c("b_id").alias("j"))
-
-
 @query(POINTS + " SELECT frame, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v GROUP BY frame")
 def agg23_bounds(t: Tables) -> DataFrame:
     return spatial.bounds(points(t), ["frame"])
@@ -149,20 +143,7 @@ def geo18_outline(t: Tables) -> DataFrame:
     return spatial.outline(t("customer").select(F.floor(k / 30).alias("r"), (k % 30).alias("c"), (k * 13 % 7 < 3).alias("v")), "r", "c", "v")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey < 200 AND c_acctbal > 0.75 UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey + 1 = s_nationkey AND c_custkey < 200 AND c_acctbal > 0.75")
-def join17_contact_pairs(t: Tables) -> DataFrame:
-    a, b = t("customer").filter("c_custkey < 200 AND c_acctbal > 0.75"), t("supplier")
-    one = a.join(b, c("c_nationkey") == c("s_nationkey")).select("c_custkey", "s_suppkey")
-    return one.union(a.join(b, c("c_nationkey") + 1 == c("s_nationkey")).select("c_custkey", "s_suppkey")).distinct()
-
-
-@query("SELECT c_name AS handle, c_custkey AS id, c_custkey AS parent FROM customer UNION ALL SELECT s_name, s_suppkey, s_suppkey // 10 FROM supplier")
-def join26_id_catalogue(t: Tables) -> DataFrame:
-    own = t("customer").select(c("c_name").alias("handle"), c("c_custkey").alias("id"), c("c_custkey").alias("parent"))
-    return own.unionByName(t("supplier").select(c("s_name").alias("handle"), c("s_suppkey").alias("id"), F.floor(c("s_suppkey") / 10).alias("parent")))
-
-
-TYPES = "WITH RECURSIVE y(name, parent) AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'thing' FROM region UNION ALL SELECT 'thing', NULL), u(name, ancestor) AS (SELECT name, name FROM y UNION ALL SELECT u.name, y.parent FROM u JOIN y ON y.name = u.ancestor WHERE y.parent IS NOT NULL), n AS (SELECT s_name AS entity, n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 60)"
+TYPES = "WITH RECURSIVE y(name, parent) AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'thing' FROM region UNION ALL SELECT 'thing', NULL), u(name, ancestor) AS (SELECT name, name FROM y UNION ALL SELECT u.name, y.parent FROM u JOIN y ON y.name = u.ancestor WHERE y.parent IS NOT NULL), n AS (SELECT s_name AS entity, n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 
 
 def type_tree(t: Tables) -> DataFrame:
@@ -173,7 +154,7 @@ def type_tree(t: Tables) -> DataFrame:
 
 
 def entities(t: Tables) -> DataFrame:
-    return t("supplier").filter("s_suppkey < 60").join(t("nation"), c("s_nationkey") == c("n_nationkey")).select(c("s_name").alias("entity"), c("n_name").alias("type"))
+    return t("supplier").join(t("nation"), c("s_nationkey") == c("n_nationkey")).select(c("s_name").alias("entity"), c("n_name").alias("type"))
 
 
 @query(TYPES + " SELECT DISTINCT name, ancestor FROM u")
@@ -219,14 +200,16 @@ def gra10_action_applied(t: Tables) -> DataFrame:
     return logic.applied(f, gone.withColumn("predicate", lit("far")), gone)
 
 
-TREE = "WITH a AS (SELECT p_brand || '/' || p_type || '/k' || p_partkey AS path, p_size::VARCHAR AS value FROM part WHERE p_partkey < 900), b AS (SELECT p_brand || '/' || p_type || '/k' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_name END AS value FROM part WHERE p_partkey > 500)"
+TREE = "WITH a AS (SELECT p_brand || '/' || p_type || '/k' || p_partkey AS path, p_size::VARCHAR AS value FROM part), b AS (SELECT p_brand || '/' || p_type || CASE WHEN p_partkey % 5 = 0 THEN '/new' ELSE '/k' END || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE p_name END AS value FROM part WHERE p_partkey % 3 > 0)"
 
 
 def tree(t: Tables, source: bool) -> DataFrame:
-    p = t("part").filter("p_partkey > 500" if source else "p_partkey < 900")
+    """All parts; the source lacks some of their paths, has others, and differs in values."""
+    p = t("part").filter("p_partkey % 3 > 0") if source else t("part")
     size = c("p_size").cast("string")
     value = F.when(c("p_partkey") % 2 == 0, size).otherwise(c("p_name")) if source else size
-    return p.select(F.concat("p_brand", lit("/"), "p_type", lit("/k"), c("p_partkey").cast("string")).alias("path"), value.alias("value"))
+    last = F.when(c("p_partkey") % 5 == 0, "/new").otherwise("/k") if source else lit("/k")
+    return p.select(F.concat("p_brand", lit("/"), "p_type", last, c("p_partkey").cast("string")).alias("path"), value.alias("value"))
 
 
 @query(TREE + " SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NOT NULL THEN b.value ELSE a.value END AS value FROM a FULL JOIN b ON a.path = b.path")
@@ -259,33 +242,50 @@ def set9_type_counts(t: Tables) -> DataFrame:
     return trees.type_counts(tree(t, True))
 
 
-@query("SELECT p_brand AS task, p_type AS link, count(*) AS n, min(p_size) AS least FROM part GROUP BY ALL")
+def markers(t: Tables) -> DataFrame:
+    """Sets of points (task, link, name), as trees of configuration hold them."""
+    p = t("part").withColumn("set_name", F.split_part("p_name", lit(" "), lit(1)))
+    return p.select(c("p_brand").alias("task"), c("p_type").alias("link"), c("set_name").alias("name"), c("p_partkey").alias("key"), F.array(c("p_size").cast("double"), lit(0.0), lit(1.0)).alias("point"))
+
+
+SETS = "WITH m AS (SELECT p_brand AS task, p_type AS link, split_part(p_name, ' ', 1) AS name, p_partkey AS key, p_size::DOUBLE AS x FROM part)"
+
+
+@query(SETS + " SELECT task, count(DISTINCT link) AS links, count(DISTINCT link || '/' || name) AS sets, count(*) AS points FROM m GROUP BY task")
 def set10_marker_counts(t: Tables) -> DataFrame:
-    return t("part").groupBy(c("p_brand").alias("task"), c("p_type").alias("link")).agg(F.count(lit(1)).alias("n"), F.min("p_size").alias("least"))
+    return trees.marker_counts(markers(t))
 
 
-EDGES = "WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + c_custkey % 4 * 3 AS dst FROM customer WHERE c_custkey < 300 AND c_custkey % 4 > 0), m AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(a, b) AS (SELECT c_custkey, c_custkey FROM customer WHERE c_custkey < 310 UNION SELECT r.a, m.dst FROM r JOIN m ON m.src = r.b)"
+@query(SETS + " SELECT task, link, name, lpad((row_number() OVER (PARTITION BY task, link, name ORDER BY key) - 1)::VARCHAR, 3, '0') AS new_key, x FROM m")
+def set10_flat_points(t: Tables) -> DataFrame:
+    return trees.marker_points(markers(t)).select("task", "link", "name", "new_key", F.get("point", lit(0)).alias("x"))
 
 
 def edge_table(t: Tables) -> DataFrame:
     k = c("c_custkey")
-    return t("customer").filter("c_custkey < 300 AND c_custkey % 4 > 0").select(k.alias("src"), (k + k % 4 * 3).alias("dst"))
+    return t("customer").filter("c_custkey % 4 > 0").select(k.alias("src"), (k + k % 4 * 3).alias("dst"))
 
 
-@query(EDGES + " SELECT a AS vertex, min(b) AS island FROM r GROUP BY a HAVING a < 310")
+@query("SELECT c_custkey AS vertex, min(c_custkey) OVER (PARTITION BY c_custkey + c_custkey % 4 * 3) AS island FROM customer")
 def gra1_islands(t: Tables) -> DataFrame:
-    v = t("customer").filter("c_custkey < 310").select(c("c_custkey").alias("vertex"))
+    """Every edge ends where none begins, so an island is what shares that end."""
+    v = t("customer").select(c("c_custkey").alias("vertex"))
     return graph.islands(edge_table(t), v).join(v, "vertex", "left_semi")
 
 
-PATHS = "WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + c_custkey % 3 + 1 AS dst, (c_custkey * 7 % 5 + 1)::DOUBLE AS w FROM customer WHERE c_custkey < 60 UNION ALL SELECT c_custkey, c_custkey + 2, (c_custkey * 3 % 4 + 1)::DOUBLE FROM customer WHERE c_custkey < 60), p(source, vertex, cost) AS (SELECT c_custkey, c_custkey, 0.0::DOUBLE FROM customer WHERE c_custkey IN (0, 25) UNION SELECT source, dst, cost + w FROM p JOIN e ON src = vertex), b AS (SELECT source, vertex, min(cost) AS cost FROM p GROUP BY ALL)"
+PATHS = """WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 2 AS dst, (c_custkey * 7 % 5 + 1)::DOUBLE AS w FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey * 2 + 1, (c_custkey * 3 % 4 + 1)::DOUBLE FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey * 3, (c_custkey * 11 % 6 + 1)::DOUBLE FROM customer WHERE c_custkey > 0),
+f AS (SELECT * FROM e WHERE dst IN (SELECT c_custkey FROM customer)),
+p(source, vertex, cost) AS (SELECT c_custkey, c_custkey, 0.0::DOUBLE FROM customer WHERE c_custkey IN (1, 3) UNION SELECT source, dst, cost + w FROM p JOIN f ON src = vertex), b AS (SELECT source, vertex, min(cost) AS cost FROM p GROUP BY ALL)"""
 
 
 def path_costs(t: Tables) -> DataFrame:
+    """Edges from each customer to those of two and three times its number."""
     k = c("c_custkey")
-    v = t("customer").filter("c_custkey < 60")
-    e = v.select(k.alias("src"), (k + k % 3 + 1).alias("dst"), (k * 7 % 5 + 1).cast("double").alias("weight")).unionByName(v.select(k.alias("src"), (k + 2).alias("dst"), (k * 3 % 4 + 1).cast("double").alias("weight")))
-    return graph.shortest(e, t("customer").filter(k.isin(0, 25)).select(k.alias("source"), k.alias("vertex")))
+    v = t("customer").filter("c_custkey > 0")
+    edge = lambda to, weight: v.select(k.alias("src"), to.alias("dst"), weight.cast("double").alias("weight"))
+    e = edge(k * 2, k * 7 % 5 + 1).unionByName(edge(k * 2 + 1, k * 3 % 4 + 1)).unionByName(edge(k * 3, k * 11 % 6 + 1))
+    e = e.join(t("customer").select(k.alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+    return graph.shortest(e, t("customer").filter(k.isin(1, 3)).select(k.alias("source"), k.alias("vertex")))
 
 
 @query(PATHS + " SELECT source, vertex, cost FROM b")
@@ -293,9 +293,9 @@ def gra3_shortest_paths(t: Tables) -> DataFrame:
     return path_costs(t)
 
 
-@query(PATHS + " SELECT source, arg_min(vertex, cost * 1000 + vertex) AS goal, min(cost) AS cost FROM b WHERE vertex IN (40, 47, 55) GROUP BY source")
+@query(PATHS + " SELECT source, vertex AS goal, cost FROM b WHERE vertex % 13 = 7 QUALIFY row_number() OVER (PARTITION BY source ORDER BY cost, vertex) = 1")
 def gra4_nearest_goal(t: Tables) -> DataFrame:
-    return graph.nearest_goal(path_costs(t), t("customer").select(c("c_custkey").alias("vertex")).filter(c("vertex").isin(40, 47, 55)))
+    return graph.nearest_goal(path_costs(t), t("customer").select(c("c_custkey").alias("vertex")).filter("vertex % 13 = 7"))
 
 
 @query("WITH r AS (SELECT n_nationkey AS child, n_nationkey // 3 + 100 AS parent FROM nation UNION ALL SELECT n_nationkey // 3 + 100, 200 FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < 15) SELECT DISTINCT parent AS root FROM r WHERE parent NOT IN (SELECT child FROM r)")
@@ -306,13 +306,13 @@ def gra6_forest_roots(t: Tables) -> DataFrame:
     return graph.roots(r.unionByName(top))
 
 
-@query("WITH RECURSIVE l AS (SELECT c_custkey AS child, c_custkey // 2 AS parent, c_custkey::DOUBLE AS d FROM customer WHERE c_custkey BETWEEN 1 AND 120), p(node, x, level) AS (SELECT 0::BIGINT, 0.5::DOUBLE, 0 UNION ALL SELECT child, x + d, level + 1 FROM p JOIN l ON parent = node) SELECT node, x, level FROM p")
+@query("WITH RECURSIVE l AS (SELECT c_custkey AS child, c_custkey // 2 AS parent, c_custkey::DOUBLE AS d FROM customer WHERE c_custkey > 0), p(node, x, level) AS (SELECT 0::BIGINT, 0.5::DOUBLE, 0 UNION ALL SELECT child, x + d, level + 1 FROM p JOIN l ON parent = node) SELECT node, x, level FROM p")
 def gra7_placed_forest(t: Tables) -> DataFrame:
     k = c("c_custkey")
-    l = t("customer").filter(k.between(1, 120))  # noqa: E741
+    l = t("customer").filter(k > 0)  # noqa: E741
     zero = lit(0.0)
     offsets = l.select(k.alias("child"), k.cast("double").alias("dx"), zero.alias("dy"), zero.alias("dz"))
-    root = t("customer").filter("c_custkey = 0").select(k.alias("node"), lit(0.5).alias("x"), zero.alias("y"), zero.alias("z"))
+    root = t("customer").limit(1).select(lit(0).cast("long").alias("node"), lit(0.5).alias("x"), zero.alias("y"), zero.alias("z"))
     return graph.placed(l.select(k.alias("child"), F.floor(k / 2).alias("parent")), offsets, root).select("node", "x", "level")
 
 
@@ -379,11 +379,6 @@ def stm17_state_snapshot(t: Tables) -> DataFrame:
     return t("events").groupBy("user_id").agg(last("click"), last("view"))
 
 
-@query("SELECT conv_id, turn, user_id FROM conversations LEFT JOIN (SELECT DISTINCT user_id FROM events) ON conv_id = user_id")
-def join20_connection_user(t: Tables) -> DataFrame:
-    return t("conversations").join(t("events").select("user_id").distinct(), c("conv_id") == c("user_id"), "left").select("conv_id", "turn", "user_id")
-
-
 @query(r"SELECT page_id, regexp_extract(url, '([^/]+?)(\.[^./]*)?$', 1) AS name FROM pages")
 def prj6_scene_name(t: Tables) -> DataFrame:
     return t("pages").select("page_id", strings.scene_name(c("url")).alias("name"))
@@ -394,9 +389,9 @@ def snk9_safe_name(t: Tables) -> DataFrame:
     return t("pages").select("page_id", strings.safe_name(c("url"), 20).alias("safe"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS safe FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS safe FROM pages")
 def str5_escaped_html(t: Tables) -> DataFrame:
-    return t("pages").select("page_id", strings.escape_html(F.left("html", lit(200))).alias("safe"))
+    return t("pages").select("page_id", strings.escape_html(c("html")).alias("safe"))
 
 
 @query("SELECT p_partkey, (p_partkey * 7919 % 16777216)::INT AS value, ((p_partkey * 7919 % 16777216) >> 16)::INT AS r, (((p_partkey * 7919 % 16777216) >> 8) & 255)::INT AS g, ((p_partkey * 7919 % 16777216) & 255)::INT AS b FROM part")
@@ -411,10 +406,9 @@ def str3_call_parts(t: Tables) -> DataFrame:
     return t("customer").select("c_custkey", strings.call_parts(call).alias("p")).select("c_custkey", "p.name", F.get("p.args", lit(0)).alias("a0"), F.get("p.args", lit(1)).alias("a1"))
 
 
-@query("SELECT event_id, round((cos(value / 50 * 3.141592653589793) + 1) / 2, 6) AS cosine, round(1 - value / 50 + value / 50 * 0.1, 6) AS linear FROM events")
+@query("SELECT event_id, round((cos(least(greatest(value / 20 - 0.5, 0), 1) * pi()) + 1) / 2, 6) AS cosine, round(1 - event_id % 200 / 150.0::DOUBLE, 6) AS linear FROM events")
 def mth1_decay(t: Tables) -> DataFrame:
-    x = c("value") / 50
-    return t("events").select("event_id", F.round(strings.cosine_decay(x), 6).alias("cosine"), F.round(strings.linear_decay(x, 0.1), 6).alias("linear"))
+    return t("events").select("event_id", F.round(strings.cosine_decay(c("value") / 20 - 0.5), 6).alias("cosine"), F.round(strings.linear_decay(c("event_id") % 200, 150), 6).alias("linear"))
 
 
 @query("SELECT event_id, value > 20 AS greater, abs(value - 20) <= 2 AS close FROM events")
@@ -444,6 +438,48 @@ def extra_cube(t: Tables) -> DataFrame:
     return t("orders").cube("o_orderpriority", "o_orderstatus").agg(F.count(lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL")
-def stm8_hourly_rate(t: Tables) -> DataFrame:
-    return t("events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(lit(1)).alias("n")).select(c("w.start").alias("start"), "n")
+TIMES = "WITH RECURSIVE s AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1000000.0::DOUBLE AS t0 FROM events), r(k, i, since, n, told, rate) AS (SELECT k, i, t0, 1, NULL::DOUBLE, NULL::DOUBLE FROM s WHERE i = 1 UNION ALL SELECT r.k, s.i, CASE WHEN s.t0 - since > 3600 THEN s.t0 ELSE since END, CASE WHEN s.t0 - since > 3600 THEN 0 ELSE n + 1 END, CASE WHEN s.t0 - since > 3600 THEN s.t0 END, CASE WHEN s.t0 - since > 3600 THEN (n + 1) / (s.t0 - since) END FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)"
+
+
+@query(TIMES + " SELECT k, told, round(rate, 9) AS rate FROM r WHERE rate IS NOT NULL")
+def stm8_rate_track(t: Tables) -> DataFrame:
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1000000.0
+    g_ = t("events").select(c("user_id").alias("k"), F.struct(at.alias("at"), "event_id").alias("s")).groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return g_.select("k", F.explode(deltas.rate_track(c("s.at"), 3600.0)).alias("r")).select("k", c("r.at").alias("told"), F.round("r.rate", 9).alias("rate"))
+
+
+@query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq FROM d WHERE seq <= (SELECT count(*) // 2 FROM events) GROUP BY k) SELECT k, seq, 'create' AS op, v, true AS snapshot FROM l WHERE op <> 'delete' UNION ALL SELECT k, seq, op, v, false FROM d WHERE seq > (SELECT count(*) // 2 FROM events)")
+def stm5_late_joiner(t: Tables) -> DataFrame:
+    return deltas.catch_up(delta_rows(t), "k", "seq", "op", "v", t("events").count() // 2)
+
+
+@query("SELECT event_id, u AS user FROM (SELECT event_id, event_id % 16 AS m, unnest(range(4)) AS u FROM events) WHERE (m >> u) & 1 = 1")
+def stm7_by_user(t: Tables) -> DataFrame:
+    return deltas.by_user(t("events").select("event_id", (c("event_id") % 16).alias("m")), "m", 4).select("event_id", c("user").cast("long").alias("user"))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn || '=' || role, ',' ORDER BY CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn) AS record FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
+def stm13_recorded(t: Tables) -> DataFrame:
+    own = t("conversations").select("conv_id", "turn", "role").distinct().select("conv_id", F.when(c("turn") % 3 > 0, "scope").otherwise("").alias("scope"), F.concat(lit("t"), c("turn").cast("string")).alias("key"), "role")
+    entries = F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], lit("="), e["value"]))
+    return deltas.recorded(own, "conv_id", "scope", "key", "role").select("conv_id", F.array_join(F.array_sort(entries), ",").alias("record"))
+
+
+@query("WITH w AS (SELECT user_id, count(*) AS done, 8 AS total FROM events GROUP BY user_id) SELECT user_id, (SELECT avg((done >= total)::INT) FROM w) > 0.3 AND done < total AND done >= 0.25 * total AS preempt FROM w")
+def stm16_stragglers(t: Tables) -> DataFrame:
+    w = t("events").groupBy("user_id").agg(F.count(lit(1)).alias("done")).withColumn("total", lit(8))
+    return deltas.stragglers(w, "done", "total", 0.3).select("user_id", "preempt")
+
+
+STATES = "WITH s AS (SELECT user_id, unnest(['click', 'view', 'error', 'never']) AS state, unnest([0.5, -1.0, 0.0, 7.0])::DOUBLE AS d FROM (SELECT DISTINCT user_id FROM events)), l AS (SELECT user_id, event_type AS state, arg_max(value, event_id) AS v FROM events GROUP BY ALL), m AS (SELECT s.state, s.user_id AS object, coalesce(v, d) AS value FROM s LEFT JOIN l ON l.user_id = s.user_id AND l.state = s.state)"
+DEFAULTS = {"click": 0.5, "view": -1.0, "error": 0.0, "never": 7.0}
+
+
+@query(STATES + " SELECT state, object, value FROM m")
+def stm17_states(t: Tables) -> DataFrame:
+    return deltas.states(t("events"), "user_id", "event_type", "value", "event_id", DEFAULTS)
+
+
+@query(STATES + " SELECT object FROM m WHERE state = 'view' AND value = -1")
+def stm17_objects_in(t: Tables) -> DataFrame:
+    return deltas.objects_in(deltas.states(t("events"), "user_id", "event_type", "value", "event_id", DEFAULTS), "view", -1.0)

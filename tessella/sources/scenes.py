@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranges import running
+
 NUMBER = r"\s+"
 
 
@@ -55,17 +57,23 @@ def class_objects(spark: SparkSession, path: str) -> DataFrame:
     """JSON with objects[] (id, class_): id, label and the category's number by first appearance, from 1."""
     raw = spark.read.option("multiLine", True).json(path).select(F.posexplode("objects").alias("ord", "o")).select("ord", F.col("o.id").alias("id"), F.col("o.class_").alias("label"))
     first = raw.groupBy("label").agg(F.min("ord").alias("first"))
-    number = first.join(first.select(F.col("first").alias("other")), F.col("other") <= F.col("first")).groupBy("label").agg(F.count(F.lit(1)).alias("category"))
+    number = running(first, [F.col("first")], name="category").select("label", (F.col("category") + 1).cast("int").alias("category"))
     return raw.join(number, "label").select("id", "label", "category")
 
 
 def classes_with_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """JSON with classes[] and perhaps objects[]: objects with their class name."""
+    """JSON with classes[] and perhaps objects[]: objects with their class name and oriented box (null where there is none)."""
     raw = spark.read.option("multiLine", True).json(path)
     classes = raw.select(F.explode("classes").alias("c")).select(F.col("c.id").alias("class_id"), F.col("c.name").alias("label"))
+    box = "struct<center:array<double>,sizes:array<double>,rotation:array<double>>"
     if "objects" not in raw.columns:
-        return classes.select(F.lit(None).cast("long").alias("id"), "class_id", "label").limit(0)
-    return raw.select(F.explode("objects").alias("o")).select(F.col("o.id").alias("id"), F.col("o.class_id").alias("class_id")).join(classes, "class_id", "left").select("id", "class_id", "label")
+        return classes.select(F.lit(None).cast("long").alias("id"), "class_id", "label", F.lit(None).cast(box).alias("box")).limit(0)
+    rows = raw.select(F.explode("objects").alias("o"))
+    own = F.lit(None).cast(box)
+    if "oriented_bbox" in rows.schema["o"].dataType.names:  # centre and sizes in its frame, and where that stands
+        own = F.struct(F.col("o.oriented_bbox.abb.center").cast("array<double>").alias("center"), F.col("o.oriented_bbox.abb.sizes").cast("array<double>").alias("sizes"), F.col("o.oriented_bbox.orientation.rotation").cast("array<double>").alias("rotation"))
+    objects = rows.select(F.col("o.id").alias("id"), F.col("o.class_id").alias("class_id"), own.alias("box"))
+    return objects.join(classes, "class_id", "left").select("id", "class_id", "label", "box")
 
 
 def kind_of(spark: SparkSession, path: str) -> str:
@@ -132,3 +140,59 @@ def newest(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime").filter(~F.col("path").contains("latest"))
     number = F.element_at(F.filter(F.split(F.element_at(F.split("path", "/"), -1), r"\."), lambda p: p.rlike("^[0-9]+$")), -1)
     return files.orderBy("modificationTime", "path").offset(n).limit(1).withColumn("number", number.cast("int"))
+
+
+def replay_keyframes(spark: SparkSession, text: str, keyframe: str) -> DataFrame:
+    """Fields of the one keyframe in a JSON string, wrapped as {"keyframe": ...} or not; none for what isn't JSON."""
+    one = spark.range(1).select(F.lit(text).alias("value"))
+    wrapped = F.from_json("value", f"keyframe STRUCT<{keyframe}>")["keyframe"]
+    return one.filter(F.try_parse_json("value").isNotNull()).select(F.coalesce(wrapped, F.from_json("value", keyframe)).alias("k")).select("k.*")
+
+
+def goal_episodes(spark: SparkSession, path: str, episode: str, goal: str, key: str) -> DataFrame:
+    """Episodes of (gzipped) JSON whose goals are kept apart: {"episodes": [...], "goals_by_category": {key: [...]}}; each episode
+    has the goals of its key (an expression over its fields).  KeyError if a key has none."""
+    raw = spark.read.option("multiLine", True).schema(f"episodes ARRAY<STRUCT<{episode}>>, goals_by_category MAP<STRING, ARRAY<STRUCT<{goal}>>>").json(path)
+    goals = raw.select(F.explode("goals_by_category").alias("_key", "goals")).groupBy("_key").agg(F.first("goals").alias("goals"))
+    out = raw.select(F.explode("episodes").alias("e")).select("e.*").withColumn("_k", F.expr(key)).join(goals, F.col("_k") == F.col("_key"), "left")
+    if lost := out.filter("goals IS NULL").select("_k").limit(1).collect():
+        raise KeyError(f"no goals for {lost[0][0]}")
+    return out.drop("_k", "_key")
+
+
+def instructions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Episodes with their instruction (text and numbers of its words) and the vocabulary (word, id) of {"episodes", "instruction_vocab"}."""
+    episode = "episode_id STRING, scene_id STRING, start_position ARRAY<DOUBLE>, goals ARRAY<STRUCT<position: ARRAY<DOUBLE>, radius: DOUBLE>>, instruction STRUCT<instruction_text: STRING, instruction_tokens: ARRAY<INT>>"
+    raw = spark.read.option("multiLine", True).schema(f"episodes ARRAY<STRUCT<{episode}>>, instruction_vocab STRUCT<word_list: ARRAY<STRING>>").json(path)
+    rows = raw.select(F.explode("episodes").alias("e")).select("e.episode_id", "e.scene_id", "e.start_position", "e.goals", "e.instruction.instruction_text", "e.instruction.instruction_tokens")
+    return rows, raw.select(F.posexplode("instruction_vocab.word_list").alias("id", "word")).select("word", "id")
+
+
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """Episodes with their question: text, numbers of its words, answer and its number."""
+    episode = "episode_id STRING, scene_id STRING, question STRUCT<question_text: STRING, question_tokens: ARRAY<INT>, answer_text: STRING, answer_token: INT>"
+    return spark.read.option("multiLine", True).schema(f"episodes ARRAY<STRUCT<{episode}>>").json(path).select(F.explode("episodes").alias("e")).select("e.episode_id", "e.scene_id", "e.question.*")
+
+
+def scene_models(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct templates that scene instances (JSON files) name, by kind: stage, object or articulated."""
+    part = "STRUCT<template_name: STRING>"
+    raw = spark.read.option("multiLine", True).schema(f"stage_instance {part}, object_instances ARRAY<{part}>, articulated_object_instances ARRAY<{part}>").json(path)
+    named = lambda kind, rows: F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x["template_name"].alias("model")))
+    none = F.array().cast("array<struct<kind:string,model:string>>")
+    every = F.concat(named("stage", F.array("stage_instance")), F.coalesce(named("object", F.col("object_instances")), none), F.coalesce(named("articulated", F.col("articulated_object_instances")), none))
+    return raw.select(F.explode(every).alias("m")).select("m.*").filter("model IS NOT NULL").distinct()
+
+
+def load(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """kind_of(path) and the objects that a reader of that kind finds; ValueError for an unknown kind."""
+    kind = kind_of(spark, path)
+    if kind == "house":
+        return kind, house(spark, path)["objects"]
+    if kind == "annotations":
+        return kind, annotations(spark, path, spark.read.text(path).first()[0])
+    if kind == "classes":
+        return kind, classes_with_boxes(spark, path)
+    if kind == "objects":
+        return kind, class_objects(spark, path)
+    raise ValueError(f"{path} is of no known kind")

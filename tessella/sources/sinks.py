@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def json_files(df: DataFrame, path: str, mode: str = "overwrite", gzip: bool = False) -> None:
     """What the folder held before goes ('overwrite'), or the write fails ('error')."""
@@ -16,11 +18,11 @@ def quoted_csv(df: DataFrame, path: str) -> None:
 
 
 def text_report(counts: DataFrame, path: str) -> None:
-    """A line for each room with its counts, then one with all categories."""
+    """A line for each room with its counts, in order of the rooms over the files written, and one with all categories at the end."""
     rooms = counts.groupBy("room").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "category", F.col("n").cast("string")))), ", ").alias("t"))
     lines = rooms.select(F.col("room").alias("k"), F.concat_ws(": ", "room", "t").alias("value"))
-    all_of = counts.agg(F.concat(F.lit("Categories: "), F.array_join(F.array_sort(F.collect_set("category")), ", ")).alias("value")).select(F.lit(None).cast("string").alias("k"), "value")
-    lines.unionByName(all_of).orderBy(F.col("k").asc_nulls_last()).select("value").coalesce(1).write.mode("overwrite").text(path)
+    every = counts.agg(F.concat(F.lit("Categories: "), F.array_join(F.array_sort(F.collect_set("category")), ", ")).alias("value")).select(F.lit(None).cast("string").alias("k"), "value")
+    lines.unionByName(every).sort(F.col("k").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
 
 
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -36,9 +38,7 @@ def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
 def dictionary(df: DataFrame, column: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
     """The rows with the column as numbers by first use, and the table of names."""
     first = df.groupBy(column).agg(F.min(ordinal).alias("_f"))
-    from pyspark.sql import Window
-
-    names = first.select(column, (F.row_number().over(Window.orderBy("_f")) - 1).alias("code"))  # a row for each name
+    names = running(first, [F.col("_f")], name="code").select(column, F.col("code").cast("int").alias("code"))
     return df.join(names, column).drop(column), names
 
 
@@ -52,3 +52,69 @@ def sessions(session: DataFrame, frames: DataFrame, path: str) -> None:
     """One folder of gzipped JSON for each episode: its session's fields and its frames in order."""
     rows = frames.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("frames"))
     session.join(rows, "episode_id").write.mode("overwrite").partitionBy("episode_id").option("compression", "gzip").json(path)
+
+
+def description(df: DataFrame, path: str, column: str = "description") -> None:
+    """The text of each row, trimmed, on lines of its own."""
+    df.select(F.btrim(F.col(column)).alias("value")).write.mode("overwrite").text(path)
+
+
+def dataset(episodes: DataFrame, path: str, digits: int | None = None) -> None:
+    """Episodes as gzipped JSON, numbers rounded if `digits` is given; the write fails where something is."""
+    (rounded(episodes, digits) if digits is not None else episodes).write.mode("error").option("compression", "gzip").json(path)
+
+
+def goals_apart(episodes: DataFrame, path: str, key: str, goals: str) -> None:
+    """Two tables: episodes without goals, and one list of goals for each key, that which comes first among equal keys."""
+    episodes.drop(goals).write.mode("error").option("compression", "gzip").json(f"{path}/episodes")
+    episodes.groupBy(key).agg(F.min_by(goals, "episode_id").alias(goals)).write.mode("error").option("compression", "gzip").json(f"{path}/goals")
+
+
+def replay(keyframes: DataFrame, path: str, incremental: bool = False, digits: int = 7) -> None:
+    """{"keyframes": [...]} with the keyframes in order of seq, or for each a line {"keyframe": {...}}."""
+    own = rounded(keyframes, digits)
+    fields = [n for n in own.columns if n != "seq"]
+    if incremental:
+        own.sort("seq").select(F.struct(*fields).alias("keyframe")).write.mode("overwrite").json(path)
+        return
+    every = own.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(*fields).alias("k")))), lambda x: x["k"]).alias("keyframes"))
+    every.write.mode("overwrite").json(path)
+
+
+def scalars(metrics: DataFrame, path: str, step: str, prefix: str = "") -> None:
+    """(step, key, value) rows of all numeric columns, appended; null values are left out."""
+    names = [n for n, k in metrics.dtypes if n != step and k in ("int", "bigint", "float", "double")]
+    pairs = F.array(*[F.struct(F.lit(prefix + n).alias("key"), F.col(n).cast("double").alias("value")) for n in names])
+    metrics.select(F.col(step).alias("step"), F.explode(pairs).alias("p")).select("step", "p.*").filter("value IS NOT NULL").write.mode("append").parquet(path)
+
+
+def metric_log(metrics: DataFrame, path: str) -> None:
+    """A JSON object for each row, appended."""
+    metrics.write.mode("append").json(path)
+
+
+# The kinds of receptacles in a filter file.
+FILTERS = ("active", "manually_filtered", "access_filtered", "stability_filtered", "height_filtered")
+
+
+def receptacle_filters(names: DataFrame, path: str) -> None:
+    """(kind, name) as one JSON object with a sorted list for each kind of FILTERS; ValueError for another kind."""
+    if names.filter(~F.col("kind").isin(*FILTERS)).limit(1).count():
+        raise ValueError("there is an unknown kind of filter")
+    one = names.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("name")))).alias(k) for k in FILTERS])
+    one.write.mode("overwrite").json(path)
+
+
+def info_lines(df: DataFrame, kind: str, header: str) -> DataFrame:
+    """Lines (line, nth) of objects (handle, deletable, locked, info) of each kind: a header, then a line for each in order of handles."""
+    word = lambda b: F.when(F.col(b), "True").otherwise("False")
+    rows = df.withColumn("nth", F.row_number().over(Window.partitionBy(kind).orderBy("handle")))
+    rows = rows.select(F.concat_ws(",", "handle", word("deletable"), word("locked"), "info").alias("line"), F.col("nth").cast("long").alias("nth"), kind)
+    heads = df.select(kind).distinct().select(F.concat(F.col(kind), F.lit(f" Full name,Can delete?,Is locked?,{header}")).alias("line"), F.lit(0).cast("long").alias("nth"), kind)
+    return heads.unionByName(rows)
+
+
+def next_handles(df: DataFrame, name: str, handle: str) -> DataFrame:
+    """name, handle: the next free one, name_:0000 with one more than the largest number after the last colon of its handles."""
+    digits = F.regexp_extract(handle, ":([0-9]+)$", 1).try_cast("int")
+    return df.groupBy(name).agg((F.coalesce(F.max(digits), F.lit(-1)) + 1).alias("_n")).select(name, F.format_string("%s_:%04d", name, "_n").alias(handle))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -87,3 +87,55 @@ def change_stream(stream: DataFrame, key: str, seq: str, value: str) -> DataFram
 def rates(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:
     """Rows in each event-time window, late rows up to `late` included."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
+
+
+def rate_track(times: Column, window: float) -> Column:
+    """Of an ordered array of times the rates struct(at, rate): when more than `window` has passed since the last of them (at first, since the
+    first time) the number of times since then over what passed, itself included."""
+    start = F.struct(F.get(times, F.lit(0)).alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<at:double,rate:double>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        n, elapsed = a["n"] + 1, t - a["since"]
+        due = elapsed > window
+        told = F.concat(a["out"], F.array(F.struct(t.alias("at"), (n / elapsed).alias("rate"))))
+        return F.struct(F.when(due, t).otherwise(a["since"]).alias("since"), F.when(due, 0).otherwise(n).alias("n"), F.when(due, told).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(times, start, step)["out"]
+
+
+def catch_up(df: DataFrame, key: str, seq: str, op: str, state: str, joined: int) -> DataFrame:
+    """What a late joiner gets: the snapshot of all that is live when it joins, at seq `joined`, then the changes after that."""
+    snapshot = replay(df, key, seq, op, state, joined).withColumn(op, F.lit("create")).withColumn("snapshot", F.lit(True))
+    later = df.filter(F.col(seq) > joined).withColumn("snapshot", F.lit(False))
+    columns = [key, seq, op, state, "snapshot"]
+    return snapshot.select(*columns).unionByName(later.select(*columns))
+
+
+def by_user(df: DataFrame, mask: str, users: int) -> DataFrame:
+    """A message for each user (0 to users - 1) whose bit its mask has."""
+    return df.withColumn("user", F.explode(F.filter(F.sequence(F.lit(0), F.lit(users - 1)), lambda i: F.getbit(F.col(mask), i) == 1)))
+
+
+def recorded(df: DataFrame, step: str, scope: str, key: str, value: str) -> DataFrame:
+    """A map of 'scope/key' to value for each step; the query fails on a key that comes twice in a step (its scopes included)."""
+    name = F.when(F.length(scope) > 0, F.concat_ws("/", scope, key)).otherwise(F.col(key))
+    return df.groupBy(step).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name.alias("k"), F.col(value).alias("v"))))).alias("record"))
+
+
+def stragglers(df: DataFrame, done: str, total: str, fraction: float, least: float = 0.25) -> DataFrame:
+    """preempt: whether a worker that has done at least `least` of its steps stops, since more than `fraction` of the workers are done."""
+    over = df.agg((F.avg((F.col(done) >= F.col(total)).cast("int")) > fraction).alias("_over"))
+    return df.crossJoin(F.broadcast(over)).withColumn("preempt", F.col("_over") & (F.col(done) < F.col(total)) & (F.col(done) >= least * F.col(total))).drop("_over")
+
+
+def states(df: DataFrame, owner: str, state: str, value: str, seq: str, defaults: dict[str, object]) -> DataFrame:
+    """state, object, value: the last value of every object in every state of `defaults`, its default where it was never set."""
+    told = df.filter(F.col(state).isin(*defaults)).groupBy(F.col(state).alias("state"), F.col(owner).alias("object")).agg(F.max_by(value, seq).alias("_v"))
+    known = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))])
+    every = df.select(F.col(owner).alias("object")).distinct().select("object", F.explode(known).alias("state", "_d"))
+    return every.join(told, ["object", "state"], "left").select("state", "object", F.coalesce("_v", "_d").alias("value"))
+
+
+def objects_in(snapshot: DataFrame, state: str, value: object) -> DataFrame:
+    """The objects that have a value in a state."""
+    return snapshot.filter((F.col("state") == state) & (F.col("value") == F.lit(value))).select("object")
