@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-#: The key of the queries; whoever keeps real pseudonyms passes a secret one.
-KEY = b"pseudonyms of the example queries"
+#: The key of the queries; whoever keeps real pseudonyms passes a secret one, in the pipeline by the session's setting KEY_SETTING.
+KEY, KEY_SETTING = b"pseudonyms of the example queries", "spark.tessella.pii.key"
 ROUNDS = 8
 # The character classes that a pseudonym keeps, place by place.
 DIGITS, LOWERS, UPPERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -23,22 +24,44 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    |(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[0-9a-f]{32,128}|(?:password|passwd|secret|api_key|token)\s?[=:]\s?["']?[A-Za-z0-9_+/.-]*[A-Za-z0-9]{8}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:password|passwd|secret|api_key|token)\s?[=:]\s?["']?[A-Za-z0-9_+/.-]*[A-Za-z0-9]{8}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,255}|sk-[A-Za-z0-9_-]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255})(?![A-Za-z0-9])
+        |-----BEGIN\ (?:[A-Z]+\ )*PRIVATE\ KEY-----[A-Za-z0-9+/=\s]+-----END\ (?:[A-Z]+\ )*PRIVATE\ KEY-----)
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
-    |(?P<phone>(?<![0-9])(?:\+1[ -]?)?(?:\([0-9]{3}\)\ ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9]))
+    |(?P<phone>(?<![0-9])(?:\+1[ -]?)?(?:\([0-9]{3}\)\ ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])|(?<![0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-    |(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]))
+    |(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9]))
     |(?P<date>(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]))""",
     re.X | re.A,
 )
 #: Each kind on its own, and cards written without separators or in the usual groups.
 EACH = {k: re.compile(x, re.X | re.A) for k, x in zip(KINDS, re.split(r"\n\s*\|(?=\(\?P<)", PATTERN.pattern), strict=True)}
+# Leading digits of cards with the lengths that they have.
+ISSUERS = (
+    (range(4, 5), (13, 16, 19)),
+    (range(34, 35), (15,)),
+    (range(36, 37), (14, 16, 19)),
+    (range(37, 38), (15,)),
+    (range(38, 40), (14, 16, 19)),
+    (range(50, 51), range(13, 20)),
+    (range(51, 56), (16,)),
+    (range(56, 59), range(13, 20)),
+    (range(62, 63), range(16, 20)),
+    (range(65, 66), (16, 19)),
+    (range(67, 68), range(13, 20)),
+    (range(300, 306), (14, 16, 19)),
+    (range(644, 650), (16, 19)),
+    (range(2221, 2721), (16,)),
+    (range(3528, 3590), range(16, 20)),
+    (range(6011, 6012), (16, 19)),
+)
 USUAL_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", re.A)
 #: Kinds that the card pattern can take in, and those of which a shorter end may be valid; the character that can't follow them.
 INSIDE_CARD, OPEN_ENDED = ("phone", "ssn", "date"), {"iban": re.compile("[A-Za-z0-9]"), "card": re.compile("[0-9]")}
+# Telephone codes of two digits; those that begin with 1 or 7 have one, all others three.
+COUNTRIES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A text without any of these can hold none of the kinds.
-TRIGGER = re.compile(r"[0-9@=:]|AKIA|ASIA|[a-f]{32}|gh[pousr]_")
+TRIGGER = re.compile(r"[0-9@=:]|AKIA|ASIA|[a-f]{32}|[A-F]{32}|gh[pousr]_|github_pat_|sk-|xox[abprs]-|-----BEGIN")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -50,7 +73,11 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            digest = hashlib.blake2b(b"%d" % r + tweak.encode() + b"\0" + right.to_bytes(width, "big"), key=hashlib.sha256(key).digest(), digest_size=max(8, width)).digest()
+            message = b"%d" % r + tweak.encode() + b"\0" + right.to_bytes(width, "big")
+            if width <= 64:
+                digest = hashlib.blake2b(message, key=hashlib.sha256(key).digest(), digest_size=max(8, width)).digest()
+            else:  # a half wider than that function's output
+                digest = hashlib.shake_256(hashlib.sha256(key).digest() + message).digest(width)
             left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
         value = (left << half) | right
         if value < size:
@@ -97,12 +124,15 @@ def email(s: str, key: bytes) -> str:
 
 
 def secret(s: str, key: bytes) -> str:
-    if re.fullmatch("[0-9a-f]+", s):
-        return permute_text(s, key, "hex", lambda _, c: HEX)
-    lead = re.match(r"AKIA|ASIA|gh[pousr]_|[a-z_]+\s?[=:]\s?[\"']?", s)[0]
+    hexadecimal = lambda x: HEX if re.fullmatch("[0-9a-f]+", x) else HEX.upper() if re.fullmatch("[0-9A-F]+", x) else None
+    if found := hexadecimal(s):
+        return permute_text(s, key, "hex" if found == HEX else "HEX", lambda _, c: found)
+    if s.startswith("-----"):  # line by line, what frames it left as it is
+        return "".join(x if x.startswith("-----") else permute_text(x, key, "pem", alphanumeric) for x in re.split(r"(-----[A-Z ]+-----|\n)", s))
+    lead = re.match(r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|[a-z_]+\s?[=:]\s?[\"']?", s)[0]
     body = s[len(lead) :]
-    if re.fullmatch("[0-9a-f]+", body):
-        return lead + permute_text(body, key, "hex", lambda _, c: HEX)
+    if found := hexadecimal(body):
+        return lead + permute_text(body, key, "hex" if found == HEX else "HEX", lambda _, c: found)
     if lead in ("AKIA", "ASIA"):
         return lead + permute_text(body, key, "key", lambda _, c: UPPERS + DIGITS)
     return lead + permute_text(body, key, "secret", alphanumeric)
@@ -116,17 +146,39 @@ def iban(s: str, key: bytes) -> str | None:
     return f"{s[:2]}{98 - number(body + s[:2] + '00') % 97:02d}{body}"
 
 
-def card(s: str, key: bytes) -> str | None:
-    number = re.sub("[ -]", "", s)
-    if luhn(number[:-1]) != int(number[-1]):
-        return None
-    body = permute_text(s[:-1], key, "card", digits)
-    return body + str(luhn(re.sub("[ -]", "", body)))
+def issued(number: str) -> bool:
+    """Whether cards with these leading digits and this length are issued."""
+    return any(len(number) in sizes and int(number[: len(str(lead[0]))]) in lead for lead, sizes in ISSUERS)
 
 
-def phone(s: str, key: bytes) -> str:
-    lead = re.match(r"\+1[ -]?|", s)[0]
-    return lead + permute_text(s[len(lead) :], key, "phone", digits)
+def card(s: str, key: bytes) -> str | None:
+    bare = lambda x: re.sub("[ -]", "", x)
+    number = bare(s)
+    if luhn(number[:-1]) != int(number[-1]) or not issued(number):
+        return None
+    while True:  # walks among issued numbers, which stays a permutation
+        s = permute_text(s[:-1], key, "card", digits)
+        s += str(luhn(bare(s)))
+        if issued(bare(s)):
+            return s
+
+
+def phone(s: str, key: bytes) -> str | None:
+    """Numbers of ten digits, with +1 or without, share a stand-in in all their forms, possible ones a possible one; numbers of
+    other countries (8 to 15 digits in all) keep the country's code."""
+    bare = lambda x: re.sub("[^0-9]", "", x)
+    if s[0] == "+" and (len(bare(s)) != 11 or s[1] != "1"):
+        code = 1 if s[1] in "17" else 2 if bare(s)[:2] in COUNTRIES else 3
+        lead = re.match(rf"\+(?:[^0-9]*[0-9]){{{code}}}", s)[0]
+        return lead + permute_text(s[len(lead) :], key, f"phone{bare(lead)}", digits)
+    lead = re.match(r"\+1[ .-]?|", s)[0]
+    body = s[len(lead) :]
+    possible = lambda x: re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", bare(x)) is not None
+    kind = possible(body)
+    while True:
+        body = permute_text(body, key, "phone", digits)
+        if possible(body) == kind:
+            return lead + body
 
 
 def ssn(s: str, key: bytes) -> str | None:
@@ -140,6 +192,15 @@ def ssn(s: str, key: bytes) -> str | None:
 
 
 def ip(s: str, key: bytes) -> str | None:
+    """IPv4 addresses, and IPv6 ones of at least four groups, whose stand-in is in the usual short form."""
+    if ":" in s:
+        if len(re.findall("[0-9A-Fa-f]+", s)) < 4:
+            return None
+        try:
+            value = int(ipaddress.IPv6Address(s))
+        except ValueError:
+            return None
+        return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ip6")))
     parts = [int(x) for x in s.split(".")]
     if max(parts) > 255:
         return None
@@ -147,14 +208,15 @@ def ip(s: str, key: bytes) -> str | None:
 
 
 def date(s: str, key: bytes) -> str | None:
-    """ISO dates, and month/day/year or else day/month/year, within 1900 to 2099; the order of the parts stays."""
+    """ISO dates, and month/day/year or else day/month/year, within 1900 to 2099; the order of the parts stays, and a day has one
+    stand-in in all forms."""
     for form in ("%Y-%m-%d",) if "-" in s else ("%m/%d/%Y", "%d/%m/%Y"):
         try:
             day = datetime.datetime.strptime(s, form).date().toordinal()
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            other = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, form))
+            other = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
             return other.strftime(form)
     return None
 
@@ -221,11 +283,18 @@ def mask(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*parts, text[done:]]), found
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, KEY where none is set."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else KEY
+
+
 def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
     """docs with the values in `text` replaced; n_<kind> and n_pii are added if `counts` (they replace columns of these names).
 
     A null text stays null with counts of 0.  Each kind is one keyed permutation of its format, so equal values get
-    equal stand-ins in all documents and different values different ones.  n_chars, if there, follows the new text."""
+    equal stand-ins in all documents and different values different ones.  n_chars, if there, follows the new text.  Empty texts
+    stay, rows that repeat are alike afterwards, an empty table gives an empty one; no row moves, so no group can be hot."""
     extra = [f"n_{k}" for k in KINDS] + ["n_pii"] if counts else []
     names = [c for c in docs.columns if c not in extra]
     docs = docs.select(*[docs[c] for c in names])
