@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import let, narrow, windows
+from .store import cut
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Items of at most so many words in all are broadcast; beyond, Spark shuffles both sides.
 BROADCAST_WORDS = 2_000_000
+#: So many ids of contaminated documents are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -46,11 +49,12 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
 
     Shingles are sets of k words after normalisation; an item of m < k words is one shingle of m words, looked for among
     the documents' runs of m words.  Items or documents without words give no row.  doc_id and item_id may repeat: the
-    result has a row for each pair of ids, of the largest containment.
+    result has a row for each pair of ids, of the largest containment; empty tables give none.  Other columns aren't read.
 
     Search: a document's hashes up to the largest value in any sketch meet the sketches by equality (a broadcast of
     at most `broadcast_words` words of items, else a join that AQE splits where skewed).  Verification: the texts of
-    candidates are shingled again, and the shingles themselves, not hashes, are intersected."""
+    candidates are shingled again, once each, and the shingles themselves, not hashes, are intersected.  Candidates with
+    at most `broadcast_words` words of items in all are broadcast to the texts; beyond that both sides are shuffled."""
     items = sketches(bench, threshold, k)
     facts = items.agg(F.sum(F.size("shingles") * F.col("width")).alias("words"), F.collect_set("width").alias("widths"), F.max(F.array_max("sketch")).alias("top")).first()
     empty = not facts["widths"]
@@ -60,17 +64,24 @@ def search(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: i
     probe = let(tokens(F.col("text")), lambda w: F.concat(*[F.filter(windows(w, n), lambda h: h <= F.lit(facts["top"])) for n in widths])) if not empty else F.array().cast("array<bigint>")
     keys = hint(items.select(F.col("item_id").alias("_item"), F.explode("sketch").alias("_k")))
     found = own.select(F.col("doc_id").alias("_doc"), F.explode(probe).alias("_h")).join(keys, F.col("_h") == F.col("_k")).select("_doc", "_item").distinct()
-    # one row for each candidate document, then its text once, then its items
-    texts = own.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    body = texts.join(hint(items.select(F.col("item_id").alias("_id"), "width", F.col("shingles").alias("_s"))), F.col("_item").eqNullSafe(F.col("_id")))
-    shared = let(tokens(F.col("text")), lambda w: F.size(F.array_intersect(F.col("_s"), F.coalesce(*[F.when(F.col("width") == n, shingles(w, n)) for n in range(1, k + 1)]))))
-    out = body.select("doc_id", F.col("_item").alias("item_id"), shared.cast("long").alias("n_shared"), F.size("_s").cast("long").alias("n_item"))
-    out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
-    best = F.max(F.struct("containment", "n_shared", "n_item")).alias("_b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_b.n_shared", "_b.n_item", "_b.containment")
+    found = cut(found)
+    # each candidate document with its items meets its text once; only these rows move if they are few, which is checked
+    wanted = found.join(hint(items.select(F.col("item_id").alias("_id"), "width", F.col("shingles").alias("_s"))), F.col("_item").eqNullSafe(F.col("_id")))
+    held = wanted.agg(F.sum(F.size("_s") * F.col("width"))).first()[0] or 0
+    wanted = wanted.groupBy("_doc").agg(F.collect_list(F.struct(F.col("_item").alias("item_id"), "width", F.col("_s").alias("s"))).alias("_items"))
+    texts = own.join(F.broadcast(wanted) if held <= broadcast_words else wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    by_width = lambda w: F.map_from_entries(F.array(*[F.struct(F.lit(n), shingles(w, n)) for n in widths or [k]]))
+    count = lambda sets: F.transform("_items", lambda i: F.struct(i["item_id"].alias("item_id"), F.size(F.array_intersect(i["s"], sets[i["width"]])).cast("long").alias("n_shared"), F.size(i["s"]).cast("long").alias("n_item")))
+    hits = let(tokens(F.col("text")), lambda w: let(by_width(w), count))
+    out = texts.select("doc_id", F.explode(F.filter(hits, lambda h: h["n_shared"] >= F.lit(threshold) * h["n_item"] - 1e-9)).alias("_h"))
+    best = F.max(F.struct((F.col("_h.n_shared") / F.col("_h.n_item")).alias("containment"), "_h.n_shared", "_h.n_item")).alias("_b")
+    return out.groupBy("doc_id", F.col("_h.item_id").alias("item_id")).agg(best).select("doc_id", "item_id", "_b.n_shared", "_b.n_item", "_b.containment")
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """The documents that contain no benchmark item; rows with a null doc_id are judged together."""
-    bad = search(docs, bench, threshold, k).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that contain no benchmark item; rows that share a doc_id, or have none, are judged together.
+
+    Null and empty texts contain none and stay; an empty benchmark removes nothing."""
+    bad = cut(search(docs, bench, threshold, k).select(F.col("doc_id").alias("_bad")).distinct())
+    few = bad.count() <= BROADCAST_IDS  # else the documents are shuffled
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
