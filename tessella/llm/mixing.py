@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import narrow, words
+from .store import cut
 
 WEIGHTS = (1, 2, 3)
 #: At most so many passes over a source.
 EPOCHS = 3
 #: Rows of a source in one range of random keys; what one task sorts and sums.
 RANGE_ROWS = 2_000
+#: Hexadecimal digits by which a level of ranges is longer than the one above it.
+STEP = 3
 SEED = "mix"
 
 
@@ -48,6 +51,25 @@ def key_of(doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def range_starts(sums: DataFrame, digits: int, step: int = STEP) -> DataFrame:
+    """source, _range, _sum -> source, _range, _start: the sum of the source's ranges before this one.
+
+    Level by level: a range's start is that of its parent, `step` digits shorter, plus the sums of its siblings before it, so no
+    window has more than 16 ** step rows, however many ranges a source has."""
+    parent = lambda d: F.substring("_range", 1, d)
+    starts = None
+    for top in range(0, digits, step):
+        low = min(top + step, digits)
+        level = sums.groupBy("source", parent(top).alias("_p"), parent(low).alias("_r")).agg(F.sum("_sum").alias("_sum"))
+        before = Window.partitionBy("source", "_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select("source", "_p", F.col("_r").alias("_range"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+        if starts is not None:
+            up = starts.select(F.col("source").alias("_s"), F.col("_range").alias("_q"), F.col("_start").alias("_more"))
+            level = level.join(up, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).withColumn("_start", F.col("_start") + F.col("_more"))
+        starts = level.select("source", "_range", "_start")
+    return starts
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row.
 
@@ -55,11 +77,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     effect).  Of its target a source takes whole epochs, and of the rest the words up to the exact budget in that order:
     the document on the edge gives a part of its words.  The order is cut into ranges of keys, each small enough for one
     task also in a hot source; the prefix sum of a row is that of its range plus that within it.  A null text has size 0
-    and takes 0; a null source is a source of its own; sources of size 0 have target 0."""
+    and takes 0; a null source is a source of its own; sources of size 0 have target 0.  An empty table gives an empty one; other columns
+    aren't read."""
     size = F.size(words(F.col("text"))).cast("long")
     sized = narrow(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size"), key_of(F.col("doc_id")).alias("_key"))
-    from .store import cut
-
     sized = cut(sized)  # narrow rows: the texts are read and split once
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     most = per.agg(F.max("_rows")).first()[0] or 1
@@ -69,8 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).cast("long")
     budget = budget.withColumn("_whole", F.least(whole, F.lit(epochs)).cast("long")).withColumn("_rest", F.floor(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
     sums = sized.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    starts = range_starts(sums, digits)
     b = budget.select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_rest")
     starts = starts.join(b, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "source_size", "target", "_whole", "_rest", "_start")
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
