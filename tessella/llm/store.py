@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,37 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+def uri(spark: SparkSession) -> str:
+    """folder() as an address that says in which store it is."""
+    where = folder(spark)
+    return where if "://" in where else "file://" + where.removeprefix("file:")
+
+
+def afresh(df: DataFrame) -> DataFrame:
+    """The rows of a checkpoint as a table of unknown size.
+
+    A checkpoint passes on the size that the optimiser guessed for its plan, and guesses for joins are products: after some
+    rounds of an iteration they are numbers of millions of digits, which fill the driver's memory and take it minutes."""
+    spark, rows = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; later stages survive lost executors without recomputing it."""
     spark = df.sparkSession
     where = folder(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    return afresh(df.checkpoint())
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier steps left behind.
+
+    Spark drops shuffle files, broadcasts and checkpoints only after the driver's JVM has collected the objects that stand for
+    them, which a job of many steps may never make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

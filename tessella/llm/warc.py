@@ -5,16 +5,17 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .native import narrow
-from .store import folder
+from .store import cut, uri
 
 # Fixed values of the formats.
 ZSTD_MAGIC, SKIPPABLE, DICT_MAGIC = 0xFD2FB528, range(0x184D2A50, 0x184D2A60), 0x184D2A5D
@@ -29,6 +30,8 @@ ARCHIVE_BYTES = 8 << 20
 #: The dictionary of an archive is trained on at most so many of its own records, and has at most so many bytes.
 DICT_RECORDS, DICT_BYTES = 256, 16 << 10
 FEED = 64 << 10
+#: So many digests of repeated payloads are broadcast.
+BROADCAST_DIGESTS = 200_000
 
 
 @dataclass
@@ -154,27 +157,46 @@ def read_archive(data: bytes) -> Iterator[Record]:
         yield parse(frame)
 
 
-ARCHIVES = pa.schema([("archive", pa.string()), ("content", pa.binary())])
+ARCHIVES = pa.schema([("archive", pa.string()), ("bytes", pa.int64())])
 RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+def info_record(name: str) -> bytes:
+    """What an archive says of itself."""
+    headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return serialise(headers, b"format: WARC File Format 1.1\r\n")
 
-    def flush() -> pa.RecordBatch:
-        content = write_archive(held)
-        return pa.record_batch([[hashlib.sha1(content).hexdigest() + ".warc.zst"], [content]], schema=ARCHIVES)
 
-    for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            for x in batch.slice(a, 64).to_pylist():
-                held.append(page_record(x["page_id"], x["url"], x["html"].encode(), x["digest"], x["refers_to"]))
-                size += len(x["html"])
-                if size >= ARCHIVE_BYTES:
-                    yield flush()
-                    held, size = [], 0
-    if held:
-        yield flush()
+def _write(folder: str) -> Callable:
+    """Archives as files of the shared folder, by any store that pyarrow knows; a row tells of each.
+
+    A file gets its name when it is complete; one that a lost task leaves behind is in no row and so is never read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+
+        def flush(held: list[bytes]) -> pa.RecordBatch:
+            name = f"{hashlib.sha1(b''.join(held)).hexdigest()}-{uuid.uuid4().hex}.warc.zst"
+            content = write_archive([info_record(name), *held])
+            with store.open_output_stream(f"{root}/{name}.part", compression=None) as out:
+                out.write(content)
+            store.move(f"{root}/{name}.part", f"{root}/{name}")
+            return pa.record_batch([[f"{folder}/{name}"], [len(content)]], schema=ARCHIVES)
+
+        held, size = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                for x in batch.slice(a, 64).to_pylist():
+                    held.append(page_record(x["page_id"], x["url"], x["html"].encode(), x["digest"], x["refers_to"]))
+                    size += len(x["html"])
+                    if size >= ARCHIVE_BYTES:
+                        yield flush(held)
+                        held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def _number(urn: str) -> int | None:
@@ -183,11 +205,16 @@ def _number(urn: str) -> int | None:
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column("content"):
+        for path in batch.column("archive").to_pylist():
+            store, at = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(at, compression=None) as source:
+                content = source.read()
             rows = []
-            for r in read_archive(content.as_py()):
-                http, _ = r.http()
+            for r in read_archive(content):
                 h = r.headers
+                if h["warc-type"] not in ("response", "revisit"):
+                    continue
+                http, _ = r.http()
                 rows.append({"page_id": _number(h["warc-record-id"]), "url": h.get("warc-target-uri"), "payload_bytes": int(http["content-length"]), "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": _number(h.get("warc-refers-to", ""))})
                 if len(rows) >= 2000:
                     yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
@@ -196,31 +223,35 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORDS)
 
 
-def archive(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """pages (page_id, url, html) -> archive, content: Zstandard WARC archives of about ARCHIVE_BYTES of payload.
+def archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """pages (page_id, url, html) -> archive, bytes: the Zstandard WARC files written below `path`, of about ARCHIVE_BYTES of payload.
 
     Of pages with equal payloads of at least `revisit_bytes` bytes the one with the largest page_id is the response and
     the others revisit it; rows that repeat this page_id are responses too, rows without page_id are revisits, and where
-    no row has a page_id all are responses.  A null html is an empty payload.  Payloads meet by digest: one pre-aggregated
-    row for each digest that repeats, joined back with AQE's split of skewed keys."""
+    no row has a page_id all are responses.  A null html is an empty payload, and however long one is, it is one record.  An empty
+    table writes no archive; other columns aren't read.  Payloads meet by digest: one pre-aggregated row for each digest that
+    repeats, broadcast if there are few (which is counted), else joined with AQE's split of skewed keys; smaller pages don't
+    take part."""
     html = F.coalesce(F.col("html"), F.lit(""))
     own = narrow(pages, "page_id", "url", "html").select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"))
-    reps = own.filter(F.octet_length("html") >= revisit_bytes).groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    reps = reps.filter((F.col("_n") > 1) & F.col("_top").isNotNull()).drop("_n")
-    out = own.join(reps, F.col("digest") == F.col("_d"), "left")
+    large = F.octet_length("html") >= revisit_bytes
+    reps = own.filter(large).groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    reps = cut(reps.filter((F.col("_n") > 1) & F.col("_top").isNotNull()).drop("_n"))
+    hint = F.broadcast if reps.count() <= BROADCAST_DIGESTS else (lambda x: x)
+    out = own.filter(large).join(hint(reps), F.col("digest") == F.col("_d"), "left").drop("_d").unionByName(own.filter(~large).withColumn("_top", F.lit(None).cast(reps.schema["_top"].dataType)))
     refers = F.when(F.col("_top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_top"))), F.col("_top"))
-    return out.select("page_id", "url", "html", "digest", refers.cast("long").alias("refers_to")).mapInArrow(_pack, "archive string, content binary")
+    out = out.select("page_id", "url", "html", "digest", refers.cast("long").alias("refers_to"))
+    return cut(out.mapInArrow(_write(path), "archive string, bytes long"))  # so that no archive is written twice
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """content -> page_id, url, payload_bytes, payload_digest, record_type, refers_to of every page record.
-
-    Also takes the rows of spark.read.format("binaryFile").  A broken archive raises ValueError."""
-    return archives.select("content").mapInArrow(_unpack, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """archive (a path in each row) -> page_id, url, payload_bytes, payload_digest, record_type, refers_to of
+    every page record.  A broken archive raises ValueError."""
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = archives.select("archive").repartition(tasks)
+    return paths.mapInArrow(_unpack, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write the archives to the shared folder and read them back."""
-    path = f"{folder(spark)}/warc-{uuid.uuid4().hex}"
-    archive(pages).write.parquet(path)
-    return read(spark.read.parquet(path))
+    return read(archive(pages, f"{uri(spark)}/warc-{uuid.uuid4().hex}"))
