@@ -189,14 +189,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, learnt from labels outside the held-out quarter."""
+    """doc_id, held_out, score, predicted for every row of docs, learnt from labels outside the held-out quarter.
+
+    A null or empty text, or one without words, scores as the share of toxic labels; rows that repeat score alike; a very long
+    text is scored whole, bag by bag; an empty table gives an empty one.  Only doc_id and text of docs are read."""
     model = learn(docs, labels.filter(~held_out(labels["doc_id"])))
     out = score(narrow(docs, "doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs that aren't predicted toxic."""
+    """The rows of docs, with all their columns, that aren't predicted toxic; null and empty texts score as the share of toxic labels."""
     model = learn(docs, labels.filter(~held_out(labels["doc_id"])))
     names = docs.columns
     return score(docs, model, "_toxic_score").filter(F.col("_toxic_score") < cut).select(*names)
