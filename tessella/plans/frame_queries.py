@@ -232,10 +232,10 @@ m AS (SELECT DISTINCT lower(n_name) || '_' || n_nationkey % 2 AS room, CASE WHEN
 q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN CASE o_orderkey % 7 WHEN 0 THEN 'many' WHEN 1 THEN 'nowhere' WHEN 2 THEN lower(n_name) ELSE lower(n_name) || '_' || n_nationkey % 2 END END AS room,
   CASE WHEN o_orderkey % 2 > 0 THEN (['BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'])[o_orderkey % 5 + 1] || o_orderkey % 41 END AS object FROM orders JOIN nation ON o_custkey % 25 = n_nationkey),
 k AS (SELECT kind, count(*) AS rooms, min(room) AS only_room, list_sort(list(room)) AS of FROM m GROUP BY kind), p AS (SELECT category, count(*) AS rooms, min(room) AS only_room, list_sort(list(room)) AS ins FROM c GROUP BY category),
-j AS (SELECT q.*, coalesce(m.room, CASE WHEN k.rooms = 1 THEN k.only_room END) AS at, k.rooms AS kinds, of, p.rooms AS places, p.only_room, ins FROM q LEFT JOIN (SELECT DISTINCT room FROM m) m ON q.room = m.room LEFT JOIN k ON q.room = k.kind LEFT JOIN p ON q.object = p.category),
-r AS (SELECT j.*, CASE WHEN j.room IS NULL AND object IS NULL THEN 8 WHEN j.room IS NOT NULL AND at IS NULL THEN CASE WHEN kinds > 1 THEN 4 ELSE 7 END WHEN object IS NULL THEN 2
-  WHEN j.room IS NOT NULL THEN CASE WHEN c.n = 1 THEN 1 WHEN c.n > 1 THEN 6 ELSE 7 END WHEN places IS NULL THEN 7 WHEN places > 1 THEN 3 ELSE 5 END AS rule FROM j LEFT JOIN c ON c.room = at AND c.category = object)
-SELECT id, rule, CASE WHEN rule IN (1, 2, 6) THEN at WHEN rule = 5 THEN only_room END AS target_room, array_to_string(CASE rule WHEN 3 THEN ins WHEN 4 THEN of END, ',') AS candidates FROM r"""
+j AS (SELECT q.*, coalesce(m.room, CASE WHEN k.rooms = 1 THEN k.only_room END) AS spot, k.rooms AS kinds, of, p.rooms AS places, p.only_room, ins FROM q LEFT JOIN (SELECT DISTINCT room FROM m) m ON q.room = m.room LEFT JOIN k ON q.room = k.kind LEFT JOIN p ON q.object = p.category),
+r AS (SELECT j.*, CASE WHEN j.room IS NULL AND object IS NULL THEN 8 WHEN j.room IS NOT NULL AND spot IS NULL THEN CASE WHEN kinds > 1 THEN 4 ELSE 7 END WHEN object IS NULL THEN 2
+  WHEN j.room IS NOT NULL THEN CASE WHEN c.n = 1 THEN 1 WHEN c.n > 1 THEN 6 ELSE 7 END WHEN places IS NULL THEN 7 WHEN places > 1 THEN 3 ELSE 5 END AS rule FROM j LEFT JOIN c ON c.room = spot AND c.category = object)
+SELECT id, rule, CASE WHEN rule IN (1, 2, 6) THEN spot WHEN rule = 5 THEN only_room END AS target_room, array_to_string(CASE rule WHEN 3 THEN ins WHEN 4 THEN of END, ',') AS candidates FROM r"""
 
 
 def house(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -99,7 +99,7 @@ def box_pairs(t: Tables) -> DataFrame:
     still = g.quat(lit(0.0), lit(0.0), lit(0.0), lit(1.0))
     pairs = spatial.within(boxes(t), boxes(t), 4.0, ("x", "z")).filter("a_id < b_id")
     side = lambda s: (F.array(f"{s}_x", f"{s}_y", f"{s}_z"), F.array(f"{s}_hx", f"{s}_hy", f"{s}_hz"), still)
-    return pairs.withColumns({"gap": g.box_gap(*side("a"), *side("b"), 1), "beside": g.next_to(*side("a"), *side("b"), 0.5)})
+    return pairs.withColumns({"gap": g.box_gap(*side("a"), *side("b"), 1), "beside": g.next_to(*side("a"), *side("b"), 2.0)})
 
 
 @query(BOXES + " SELECT i, j, round(gap, 6) AS gap FROM s")
@@ -107,7 +107,7 @@ def geo14_box_gap(t: Tables) -> DataFrame:
     return box_pairs(t).filter("gap IS NOT NULL").select(c("a_id").alias("i"), c("b_id").alias("j"), F.round("gap", 6).alias("gap"))
 
 
-@query(BOXES + " SELECT i, j FROM s WHERE gap <= 0.5 AND abs(ya - yb) <= 1.1")
+@query(BOXES + " SELECT i, j FROM s WHERE gap <= 2.0 AND abs(ya - yb) <= 1.1")
 def join23_next_to(t: Tables) -> DataFrame:
     return box_pairs(t).filter("beside").select(c("a_id").alias("i"), c("b_id").alias("j"))
 
@@ -223,8 +223,8 @@ def flt17_navigable(t: Tables) -> DataFrame:
     return spatial.navigable(places(t), spatial.snapped(places(t), mesh(t), 8.0), 1.0, 4.0).select("id")
 
 
-@query(PLACES + """, o AS (SELECT *, id % 9 AS support, id % 5 * 0.05::DOUBLE AS gap FROM p), q AS (SELECT s_name AS name, s_suppkey % 6 AS support, s_suppkey * 53 % 1000 / 10.0::DOUBLE AS x, (s_suppkey % 3)::DOUBLE AS y, s_suppkey * 29 % 1000 / 10.0::DOUBLE AS z FROM supplier),
-d AS (SELECT id, name, sqrt((o.x - q.x) ^ 2 + (o.y - q.y) ^ 2 + (o.z - q.z) ^ 2) AS d FROM o JOIN q USING (support)), m AS (SELECT id, name, d, min(d) OVER (PARTITION BY id) AS least FROM d WHERE d < 15),
+@query(PLACES + """, o AS (SELECT *, id % 9 AS support, id % 5 * 0.05::DOUBLE AS gap FROM p), w AS (SELECT s_name AS name, s_suppkey % 6 AS support, s_suppkey * 53 % 1000 / 10.0::DOUBLE AS x, (s_suppkey % 3)::DOUBLE AS y, s_suppkey * 29 % 1000 / 10.0::DOUBLE AS z FROM supplier),
+d AS (SELECT id, name, sqrt((o.x - w.x) ^ 2 + (o.y - w.y) ^ 2 + (o.z - w.z) ^ 2) AS d FROM o JOIN w USING (support)), m AS (SELECT id, name, d, min(d) OVER (PARTITION BY id) AS least FROM d WHERE d < 15),
 n AS (SELECT id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n FROM m WHERE d <= least + 1 GROUP BY id), g AS (SELECT id, arg_min(region, (region % 3 + 1) * 1000 + region) AS region FROM h GROUP BY id)
 SELECT o.id, CASE WHEN names IS NOT NULL THEN names WHEN support >= 6 AND gap < 0.15 THEN 'floor,' || coalesce(region::VARCHAR, 'unknown_region') ELSE region::VARCHAR END AS place, CASE WHEN n IS NOT NULL THEN 1.0::DOUBLE / n ELSE 1 END AS confidence FROM o LEFT JOIN n ON o.id = n.id LEFT JOIN g ON o.id = g.id""")
 def join11_placement_cascade(t: Tables) -> DataFrame:
