@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 #: Java and SQL form of a word: a run without ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"

@@ -26,7 +26,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "kept")
+    return forest.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def _op1() -> str:
     return rf"""
 WITH t(license_id, n, lo, hi, g) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT r, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[\x20\x09\x0B-\x0D]*\n'), [text]))) AS u FROM d),
+u AS (SELECT r, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '{license_scan.BLANK}'), [text]))) AS u FROM d),
 w AS (SELECT r, doc_id, u, list_filter(regexp_split_to_array(lower(u), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u),
 b AS (SELECT r, doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b, len(b) AS s FROM w WHERE len(w) > 1),
 m AS (SELECT r, doc_id, u, license_id, max(2.0::DOUBLE * len(list_intersect(g, b)) / (n + s)) AS dice FROM b JOIN t ON s BETWEEN lo AND hi GROUP BY ALL)
@@ -74,7 +74,11 @@ SELECT doc_id, license_id, max(dice) AS dice, count(*)::BIGINT AS n_units FROM m
 
 
 def _op2() -> str:
-    phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in quality.BOILERPLATE)
+    held = [f"contains(n, ' {p} ')::INT" for p in quality.BOILERPLATE]
+    count, size = " + ".join(held), " + ".join(f"{len(p.split())} * {h}" for p, h in zip(quality.BOILERPLATE, held, strict=True))
+    words = lambda x: f"len(list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda y: y <> ''))"
+    # a blank after each separator may open the next: it is doubled, since there is no looking ahead here
+    items = rf"len(regexp_extract_all(regexp_replace(l, '([\x20\x09])', '\1\1', 'g'), '[\x20\x09][{quality.SEPARATORS}]+[\x20\x09]'))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, doc_id, text, {WORDS} AS w,
@@ -83,10 +87,11 @@ k AS (SELECT r, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM a WHERE l
 g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM k),
 t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, sum(least(5, coalesce(i - p, 5)))::BIGINT AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM t) GROUP BY r),
+m AS (SELECT r, j, l, {items} AS k, ' ' || trim(regexp_replace(lower(l), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS n FROM (SELECT r, unnest(ls) AS l, unnest(range(len(ls))) AS j FROM a)),
 l AS (SELECT r, j, l, (2 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > length(l) - length(replace(l, ' ', '')) + 1
   OR 2 * (length(l) - length(replace(l, '!!', '!'))) > length(l) - length(replace(l, ' ', '')) + 1
-  OR length(l) - length(replace(l, ' | ', '| ')) >= 3 OR (length(l) <= {quality.PHRASE_CHARS} AND ({phrases}))) AS bad
-  FROM (SELECT r, unnest(ls) AS l, unnest(range(len(ls))) AS j FROM a)),
+  OR (k >= {quality.LEAST_SEPARATORS} AND {words("l")} - k <= {quality.ITEM_WORDS} * (k + 1))
+  OR (length(l) <= {quality.PHRASE_CHARS} AND ({count} >= 2 OR ({count} = 1 AND 2 * ({size}) >= length(n) - length(replace(n, ' ', '')) - 1)))) AS bad FROM m),
 b AS (SELECT r, sum(len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')))::BIGINT AS lost FROM l WHERE bad GROUP BY r),
 s AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
@@ -132,10 +137,8 @@ p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AN
 l AS (SELECT p.a, p.b FROM p JOIN s x ON x.r = p.a JOIN s y ON y.r = p.b WHERE 100 * n >= {forest.PERCENT} * (len(x.s) + len(y.s) - n)),
 m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c(r, q) AS (SELECT r, r FROM s UNION SELECT c.r, m.b FROM c JOIN m ON m.a = c.q),
-k AS (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON t.r = c.q GROUP BY c.r),
-v AS (SELECT r, doc_id, s, md5(array_to_string(list_sort(s), chr(10))) AS h FROM s),
-g AS (SELECT x.h, count(DISTINCT y.h) AS n FROM m JOIN v x ON x.r = m.a JOIN v y ON y.r = m.b WHERE x.h <> y.h GROUP BY x.h)
-SELECT v.doc_id, len(v.s)::BIGINT AS n_shingles, component_id, coalesce(g.n, 0)::BIGINT AS n_links, v.doc_id = component_id AS kept FROM v JOIN k USING (r) LEFT JOIN g USING (h)"""
+k AS (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN s t ON t.r = c.q GROUP BY c.r)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN k USING (r)"""
 
 OP10 = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -153,5 +156,20 @@ k AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(s), 0)::BIGINT AS n
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM k"""
 
 
+#: Bytes as pairs of hexadecimal digits; windows are taken from chunks, since a long text's middle is dear to reach.
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n FROM d),
+k AS (SELECT r, a, n, substr(h, 2 * a + 1, 2 * 1199) AS s FROM (SELECT r, h, n, unnest(range(0, greatest(n - 199, 0), 1000)) AS a FROM n)),
+w AS (SELECT r, a + i AS i, md5(substr(s, 2 * i + 1, 400)) AS g FROM (SELECT r, a, s, unnest(range(0, least(1000, n - 199 - a))) AS i FROM k)),
+t AS (SELECT r, i FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+b AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM t),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM b) GROUP BY r, run),
+p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM s),
+q AS (SELECT r, count(*) AS spans, sum(z - a) AS removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k, max(z) AS past FROM p JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN past IS NULL THEN h ELSE k || substr(h, 2 * past + 1) END)) AS kept_sha256 FROM n LEFT JOIN q USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op9_substring": OP9, "op10_warc": OP10}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op8_suffix_array": OP8, "op9_substring": OP9, "op10_warc": OP10}

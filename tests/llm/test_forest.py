@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.llm import forest
 
 from .data import documents, empty, prose, rows
@@ -60,17 +62,24 @@ def test_crowd(spark, crowd):
     assert got == brute(crowd)
 
 
-def test_hot_regions_are_split(spark, crowd):
+def test_blocks_are_bounded(spark, crowd, monkeypatch):
+    """Crowds are told apart to any size asked for, and every member is in a block; those who speak join the blocks again."""
     df = spark.createDataFrame(crowd, "doc_id long, text string")
-    from pyspark.sql import functions as F
-
+    monkeypatch.setattr(forest, "MEMBERS", 20)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in forest.clusters(df).collect())
+    assert got == brute(crowd)
     signed = df.withColumn("_text_hash", F.xxhash64("text")).mapInArrow(forest._sign, forest.SIGNED)
-    pairs = forest.candidates(signed.select("node", "n_shingles", "signature"), region=20)
-    assert pairs.count() < 150 * 149 / 2
-    ids = {bytes(r.node): r.doc_id for r in signed.collect()}
-    linked = {(min(ids[bytes(r.a)], ids[bytes(r.b)]), max(ids[bytes(r.a)], ids[bytes(r.b)])) for r in pairs.collect()}
-    assert len({x for p in linked for x in p if x < 150}) == 150
-    assert all((1000 + 3 * i, 1001 + 3 * i) in linked for i in range(30))
+    members = signed.select("node", "n_shingles", "lead", F.lit(b"c").alias("crowd"), F.lit(True).alias("large"))
+    held = forest.blocks(members)
+    assert held.select("node").distinct().count() == signed.select("node").distinct().count()
+    assert max(r["count"] for r in held.groupBy("block").count().collect()) <= 20 * 2  # dealt by hash at the end
+
+
+def test_rows_without_words_stay_whatever_repeats(spark):
+    plain = [(1, None), (2, ""), (2, ""), (None, None), (3, " "), (4, "one two"), (None, "four")]
+    for more in ([], [(9, "some words here"), (9, "some words here")], [(9, "Some words here"), (9, "some words here")]):
+        out = Counter((r.doc_id, r.text) for r in forest.deduplicate(spark.createDataFrame(plain + more, "doc_id long, text string")).collect())
+        assert not Counter(plain) - out and sum(out.values()) == len(plain) + bool(more)
 
 
 def test_deduplicate(spark):
@@ -98,28 +107,27 @@ def test_links_inside_a_crowd(spark, monkeypatch):
             copy[k] = f"v{i}x{k}"
         table.append((1000 + i, " ".join(copy)))
     sets = [shingle_set(t) for _, t in table]
-    links = Counter()
-    for i, a in enumerate(sets):
-        for j in range(i):
-            share = len(a & sets[j]) / len(a | sets[j])
-            if share >= 0.85:
-                assert share < 0.9
-                links.update((table[i][0], table[j][0]))
-    assert sum(links.values()) >= 80
+    shares = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(x >= 0.85 for x in shares) >= 40 and all(x < 0.9 for x in shares)
     df = spark.createDataFrame(table, "doc_id long, text string")
-    for block in (forest.BLOCK, 20_000):  # in one block, and in several
+    want = brute(table)
+    for members, block in ((forest.MEMBERS, forest.BLOCK), (30, 20_000)):  # in one block, and in several
         monkeypatch.setattr(forest, "BLOCK", block)
-        out = forest.clusters(df).collect()
-        assert {r.doc_id: r.n_links for r in out} == {d: links[d] for d, _ in table}
-        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(table)
+        monkeypatch.setattr(forest, "MEMBERS", members)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in forest.clusters(df).collect()) == want
 
 
-def test_links_of_a_large_group(spark, crowd):
-    sets = [shingle_set(t) for _, t in crowd]
-    links = Counter()
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a != sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
-                links.update((crowd[i][0], crowd[j][0]))
-    df = spark.createDataFrame(crowd, "doc_id long, text string")
-    assert {r.doc_id: r.n_links for r in forest.clusters(df).collect()} == {d: links[d] for d, _ in crowd}
+def test_pages_of_one_template(spark, monkeypatch):
+    """Thousands of pages alike at about 0.78 with pairs at 0.86 to 0.9: every pair is found, though no task may hold more than 100."""
+    rng, head = random.Random(8), prose(70, 190).split()
+    table = []
+    for i in range(1200):
+        own = [f"i{i}w{k}" for k in range(22)]
+        table.append((i, " ".join(head + own)))
+        if i % 12 == 0:
+            table.append((10_000 + i, " ".join(head + own[: rng.randint(10, 14)] + [f"z{i}w{k}" for k in range(8)])))
+    monkeypatch.setattr(forest, "MEMBERS", 100)
+    sets = {d: shingle_set(t) for d, t in table}
+    assert all(0.85 <= len(sets[i] & sets[10_000 + i]) / len(sets[i] | sets[10_000 + i]) < 0.95 for i in range(0, 1200, 12))
+    out = {r.doc_id: r.component_id for r in forest.clusters(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert out == {d: d % 10_000 for d, _ in table}

@@ -35,8 +35,16 @@ def test_quality_rules(spark):
     assert quality.assess(empty(spark)).count() == 0
 
 
+def test_line_rules(spark):
+    fails = ["Home > News > Sport > Travel > Jobs", "Startseite » Themen » Archiv » Kontakt", "Powered by WordPress", "We use cookies: read our cookie policy and privacy policy", "Alle Rechte vorbehalten.", "En savoir plus", "Política de privacidad", "a | b | c | d"]
+    stays = ["The mill was powered by water for more than a hundred years.", "Anyone may read more of his letters in the archive of the town.", "Either a or b / c may follow, as the second part of this book tells.", "Das Impressum nennt den Verlag und seine Anschrift.", "It was said > 3 times that the long and winding road > all others is closed > for most of the year to everyone."]
+    text = "\n".join(fails + stays)
+    got = quality.assess(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.clean_text == "\n".join(stays)
+
+
 def test_license(spark):
-    header = license_scan.TEMPLATES[1][1]
+    header = license_scan.TEMPLATES[3][1]
     df = spark.createDataFrame([(1, "x y z\nreleased  UNDER the mit licence, Released under the MIT license"), (2, f"intro\n\n{header}\n\nrest of it"), (3, "Released under the MIT License."), (3, "Released under the MIT License."), (4, None), (5, "")], "doc_id long, text string")
     got = Counter((r.doc_id, r.license_id, round(r.dice, 3)) for r in license_scan.scan(df).collect())
     assert got[2, "Apache-2.0", 1.0] == 1 and got[3, "MIT", 1.0] == 2 and not any(k[0] in (4, 5) for k in got)
@@ -44,6 +52,23 @@ def test_license(spark):
     assert {r.doc_id for r in license_scan.scan(documents(spark, True)).collect()} == {13}
 
 
+def test_whole_licences(spark):
+    """Complete texts, in one paragraph, in several, and behind the marks of a comment with blank comment lines."""
+    own = license_scan
+    mit = ["Copyright (c) 2020 A. Body", own._MIT_GRANT, own._MIT_NOTICE, own._MIT_DISCLAIMER]
+    bsd = ["Copyright 2021, A. Body. All rights reserved.", own._BSD_GRANT, own._BSD_ONE, own._BSD_TWO, own._BSD_THREE, own._BSD_DISCLAIMER]
+    gnu = [own._LGPL_2, own._GNU_WARRANTY]
+    code = "\n\nint main() {\n    return 0;\n}\n"
+    comment = lambda parts, mark: f"\n{mark}\n".join(f"{mark} {p}" for p in parts)
+    table = [(1, " ".join(mit)), (2, "\n\n".join(mit) + code), (3, comment(mit, "#") + code), (4, comment(bsd, "//") + code), (5, " ".join(bsd)), (6, comment(gnu, " *") + code), (7, own._AGPL_3), (8, f"{own._GPL_2} {own._GNU_WARRANTY}"), (9, " ".join(bsd[:4] + bsd[5:])), (10, f"{own._ISC_GRANT}\n\n{own._ISC_DISCLAIMER}"), (11, "The license of the software is to be found elsewhere, without any warranty or other conditions.")]
+    got = {}
+    for r in own.scan(spark.createDataFrame(table, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.license_id] = r.dice
+    best = {d: max(x, key=x.get) for d, x in got.items()}
+    assert best == {1: "MIT", 2: "MIT", 3: "MIT", 4: "BSD-3-Clause", 5: "BSD-3-Clause", 6: "LGPL-2.1", 7: "AGPL-3.0", 8: "GPL-2.0", 9: "BSD-2-Clause", 10: "ISC"}
+    assert got[3]["MIT"] == 1.0 and got[1]["MIT"] > 0.9
+
+
 def test_license_gate_loses_nothing(spark):
     known = [(n, g, len(g), *license_scan.bounds(len(g), 0.8)) for n, t in license_scan.TEMPLATES if (g := license_scan.grams(license_scan.normal(t)))]
     keys = license_scan.needed(known, 0.8, [license_scan.normal(t) for _, t in license_scan.TEMPLATES])
@@ -101,6 +126,18 @@ def test_mixing(spark):
     assert {(r.taken, r.target) for r in mixing.mix(only).collect()} == {(0, 0.0)}
 
 
+def test_range_starts(spark):
+    """Level by level as in one window, whatever the digits of a level."""
+    import random
+
+    rng = random.Random(1)
+    table = [(s, f"{i:04x}"[:4], rng.randint(0, 50)) for s in ("a", None) for i in rng.sample(range(1 << 16), 300)]
+    df = spark.createDataFrame(table, "source string, _range string, _sum long")
+    want = Counter((s, r, sum(v for t, q, v in table if t == s and q < r)) for s, r, _ in table)
+    for step in (1, 3, 4):
+        assert Counter((x.source, x._range, x._start) for x in mixing.range_starts(df, 4, step).collect()) == want
+
+
 def test_mixing_caps_are_shared_out(spark):
     per = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 20), (None, 500)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(per).collect()}

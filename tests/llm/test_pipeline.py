@@ -1,9 +1,13 @@
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
-from tessella.llm import queries
+from tessella.llm import pii, queries
 
 from .data import SCHEMA, documents, prose, rows
+from .test_forest import brute, shingle_set
+from .test_native import contained
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,6 +41,29 @@ def test_stages(spark, folder, tmp_path):
     assert not {3, 4} & clean and {0, 5} <= clean
     assert all("ann.lee" not in (r.text or "") for r in left["pii"])
     assert len(left["mixing"]) == len(left["pii"])
+    # each stage against brute force on its own input
+    worded = lambda name: [r for r in left[name] if shingle_set(r.text)]
+    blank = lambda name: Counter((r.doc_id, r.text) for r in left[name] if not shingle_set(r.text))
+    groups = {k[2] if k[2] is not None else ("alone", k[0]) for k in brute([(r.doc_id, r.text) for r in left["toxicity"]], 80) if k[1]}
+    assert len(worded("near_dedup")) == len(groups) and blank("near_dedup") == blank("toxicity")
+    item = prose(2, 60)
+    found = {r.doc_id for r in left["near_dedup"] if contained(r.text, item)[0] >= 0.8 * contained(r.text, item)[1]}
+    assert Counter(r for r in left["decontamination"]) == Counter(r for r in left["near_dedup"] if r.doc_id not in found)
+    assert Counter((r.doc_id, r.text) for r in left["pii"]) == Counter((r.doc_id, r.text and pii.mask(r.text, pii.KEY)[0]) for r in left["decontamination"])
+    sizes = Counter((r.doc_id, len((r.text or "").split())) for r in left["pii"])
+    assert Counter((r.doc_id, r["size"]) for r in left["mixing"]) == sizes and all(r.taken <= 3 * r["size"] for r in left["mixing"])
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    """No labels, no benchmark, no documents; and clashing names."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = documents(spark, True).filter("doc_id IN (3, 6, 7)")
+    for docs, n in ((documents(spark).limit(0), 0), (few, 3)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() == n, name
+            assert name == "mixing" or out.columns == docs.columns
 
 
 def test_run(spark, folder):
