@@ -344,10 +344,19 @@ def split_crowds(members: DataFrame, bodies: DataFrame, label: DataFrame, percen
         tidy(members.sparkSession)
         more = cut(confirmed(pairs, bodies, percent))
         if more.limit(1).count():
-            return components(links.union(more), label)
+            return joined(found, now.select("node", F.col("label").alias("name")), more, label)
     return found
 
 
+def joined(found: DataFrame, names: DataFrame, more: DataFrame, label: DataFrame) -> DataFrame:
+    """found (node, label) after `more` links: only the groups (names: node, name) that these connect are gone through again."""
+    end = lambda c: names.select(F.col("node").alias(c), F.col("name").alias(f"_{c}"))
+    edges = cut(more.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    top = components(edges, label).select(F.col("node").alias("_t"), "label")
+    moved = cut(names.join(top, F.col("name") == F.col("_t")).select("node", "label"))
+    return found.join(moved.select("node"), "node", "left_anti").unionByName(moved)
+
+
 def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, _text_hash, _node, _head: a row for each row of docs.
 
