@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, forest, license_scan, mixing, pii, quality, substring, suffix, toxicity, warc
+from . import decontam, forest, license_scan, mixing, pii, quality, resample, substring, suffix, toxicity, warc
 from .store import table
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -53,8 +53,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_minhash_forest, op5_mixing, op6_toxicity, op7_pii, op8_suffix_array, op9_substring, op10_warc)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_minhash_forest, op5_mixing, op6_toxicity, op7_pii, op8_suffix_array, op9_substring, op10_warc, op11_resampling)}
 
 
 def _op1() -> str:
@@ -171,5 +175,25 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
   sha256(unhex(CASE WHEN past IS NULL THEN h ELSE k || substr(h, 2 * past + 1) END)) AS kept_sha256 FROM n LEFT JOIN q USING (r)"""
 
 
+#: The check sum's table by its rule, bytes as pairs of hexadecimal digits.
+OP11 = rf"""
+WITH t AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1))) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+x AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{resample.UPPER}', '{resample.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM x),
+f AS (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % {resample.BUCKETS} AS b FROM u CROSS JOIN t),
+g AS (SELECT side, r, b FROM f JOIN c USING (f)),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM g GROUP BY b),
+z AS (SELECT sum(s)::DOUBLE + {resample.BUCKETS} AS s, sum(t)::DOUBLE + {resample.BUCKETS} AS t FROM n),
+l AS (SELECT b, floor(1000 * ln(((n.t + 1)::DOUBLE * z.s) / ((n.s + 1)::DOUBLE * z.t)))::BIGINT AS gain FROM n CROSS JOIN z),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM g JOIN l USING (b) WHERE side = 0 GROUP BY r),
+k AS (SELECT doc_id, len(w) AS n, (len(w) + greatest(len(w) - 1, 0))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (r) WHERE side = 0),
+o AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score, n >= {resample.LEAST_WORDS} AS may FROM k),
+p AS (SELECT *, CASE WHEN may THEN row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id NULLS FIRST) END AS p, count(*) FILTER (may) OVER () AS total FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= {resample.PERCENT} * total // 100 THEN p::BIGINT END AS rank FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op8_suffix_array": OP8, "op9_substring": OP9, "op10_warc": OP10}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op8_suffix_array": OP8, "op9_substring": OP9, "op10_warc": OP10, "op11_resampling": OP11}
