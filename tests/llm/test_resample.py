@@ -65,7 +65,7 @@ def test_target_counts(spark):
     """Documents that talk like the target come first in the mean."""
     table = [(i, prose(100 + i, 40) if i % 4 else " ".join(["alpha beta gamma delta"] * 10)) for i in range(400)]
     docs = spark.createDataFrame(table, "doc_id long, text string")
-    out = resample.resample(docs, spark.createDataFrame([("alpha beta gamma delta epsilon",)], "text string")).filter("rank IS NOT NULL").collect()
+    out = resample.resample(docs, spark.createDataFrame([("alpha beta gamma delta " * 50,)] * 200, "text string")).filter("rank IS NOT NULL").collect()
     assert len(out) == 100 and sum(r.doc_id % 4 == 0 for r in out) > 60
 
 
