@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, forest, license_scan, mixing, pii, quality, resample, substring, suffix, toxicity, warc
-from .store import table
+from . import codes, decontam, forest, license_scan, lines, mixing, pii, quality, resample, substring, suffix, toxicity, warc
+from .store import cut, table
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -57,8 +59,20 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.train(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
+    out = codes.by_label(cut(coded))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_minhash_forest, op5_mixing, op6_toxicity, op7_pii, op8_suffix_array, op9_substring, op10_warc, op11_resampling)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_decontamination, op4_minhash_forest, op5_mixing, op6_toxicity, op7_pii, op8_suffix_array, op9_substring, op10_warc, op11_resampling, op12_vector_codes, op13_line_dedup)}
 
 
 def _op1() -> str:
@@ -195,5 +209,32 @@ p AS (SELECT *, CASE WHEN may THEN row_number() OVER (PARTITION BY may ORDER BY
 SELECT doc_id, n_features, weight, score, CASE WHEN p <= {resample.PERCENT} * total // 100 THEN p::BIGINT END AS rank FROM p"""
 
 
+def _op12() -> str:
+    per = f"(len(x) // {codes.PARTS})"
+    out = [
+        f"""v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT r, p, x[p * {per} + 1:(p + 1) * {per}] AS x FROM v, (SELECT unnest(range({codes.PARTS})) AS p))",
+        f"c0 AS MATERIALIZED (SELECT p, e, p.x AS y FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v ORDER BY vec_id, x LIMIT {codes.ENTRIES}) USING (r))",
+    ]
+    for i in range(codes.ROUNDS + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, p, e, d, x FROM (SELECT r, p.p, e, x, d, row_number() OVER (PARTITION BY r, p.p ORDER BY d, e) AS k
+  FROM (SELECT r, p.p, e, x, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{i} USING (p)) AS p) WHERE k = 1)""")
+        out.append(f"""c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, y) AS y FROM c{i} LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS m FROM (SELECT p, e, j, floor(sum(v)::DOUBLE / count(*))::BIGINT AS m
+  FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS j FROM a{i}) GROUP BY p, e, j) GROUP BY p, e) USING (p, e))""")
+    return f"""WITH {", ".join(out[:-1])},
+s AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS h FROM c{codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN s USING (r) CROSS JOIN h"""
+
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, j, l, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{resample.UPPER}', '{resample.LOWER}') AS k FROM (SELECT r, unnest(ls) AS l, unnest(range(len(ls))) AS j FROM d)),
+f AS (SELECT k FROM l WHERE length(k) >= {lines.LEAST_CHARS} GROUP BY k HAVING count(DISTINCT r) >= {lines.LEAST_DOCS}),
+k AS (SELECT r, count(*) FILTER (f.k IS NOT NULL) AS n, string_agg(l, chr(10) ORDER BY j) FILTER (f.k IS NULL) AS t FROM l LEFT JOIN f USING (k) GROUP BY r)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, n::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op8_suffix_array": OP8, "op9_substring": OP9, "op10_warc": OP10, "op11_resampling": OP11}
+    return {"op1_license_scan": _op1(), "op2_quality_rules": _op2(), "op3_decontamination": _op3(), "op4_minhash_forest": OP4, "op5_mixing": OP5, "op8_suffix_array": OP8, "op9_substring": OP9, "op10_warc": OP10, "op11_resampling": OP11, "op12_vector_codes": _op12(), "op13_line_dedup": OP13}
