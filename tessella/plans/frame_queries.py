@@ -35,7 +35,7 @@ def win18_event_order(t: Tables) -> DataFrame:
 
 @query(EVENTS + " SELECT a.thread, a.position AS parent, b.position AS child FROM o a JOIN o b ON a.thread = b.thread AND b.position > a.position AND b.s BETWEEN a.s AND a.e")
 def join12_nested_events(t: Tables) -> DataFrame:
-    return profile.nested(profile.event_order(profile_events(t))).select("thread", c("parent").cast("long").alias("parent"), c("child").cast("long").alias("child"))
+    return profile.nested(profile_events(t))
 
 
 ALIGNED = SUMMARY + ", p AS (SELECT name, thread % 3 AS g, sum(e - s)::BIGINT AS v FROM r WHERE thread % 3 < 2 AND NOT (thread % 3 = 1 AND name = 'error') GROUP BY ALL), j AS (SELECT coalesce(x.name, y.name) AS name, x.v AS v0, y.v AS v1 FROM (SELECT * FROM p WHERE g = 0) x FULL JOIN (SELECT * FROM p WHERE g = 1) y ON x.name = y.name)"
