@@ -9,6 +9,7 @@ computes the same hashes, and a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Java and SQL form of a word: a run without ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -85,6 +88,15 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start]) ^ (end - start).astype(U64))
 
 
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words.  Sums modulo 2**64 can't tell long words apart that are built by doubling (ab, abba, abbabaab, ...), so
+    words of more than LONG bytes get a cryptographic hash."""
+    h = range_hash(prefix(buf), start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (n + 1 values)."""
     n = len(buf)
@@ -118,7 +130,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
     With fewer words than k the whole sequence is one shingle; without words there is none."""
     start, end, first = words(buf, off)
-    h = range_hash(prefix(buf), start, end)
+    h = word_hash(buf, start, end)
     count = np.diff(first)
     w = window_hash(h, k)
     doc_of = np.repeat(np.arange(len(count)), np.maximum(count - k + 1, 0))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, _BASE, _INVERSE, column, mix, passes, powers, prefix, range_hash, segments, window_hash, words
+from .kernels import U64, _BASE, _INVERSE, column, mix, passes, powers, prefix, range_hash, segments, window_hash, word_hash, words
 from .native import narrow
 from .store import cut
 
@@ -47,14 +47,14 @@ class Unit:
 
     def cut(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """document, start, windows, minimiser's distance from the start, minimiser, segment hash; starts count within the document."""
-        sums = prefix(buf)
         if self.word:
             start, end, first = words(buf, off)
-            h = range_hash(sums, start, end)
+            h = word_hash(buf, start, end)
             grams = window_hash(h, self.k)
             sums = np.zeros(len(h) + 1, U64)
             np.cumsum(h * powers(_BASE, len(h)), out=sums[1:])
         else:
+            sums = prefix(buf)
             first = off
             at = np.arange(max(len(buf) - self.k + 1, 0))
             grams = range_hash(sums, at, at + self.k)
