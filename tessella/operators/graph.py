@@ -84,24 +84,34 @@ def same_kind_edges(edges: DataFrame, kinds: DataFrame, vertex: str, kind: str)
 def plans(start: DataFrame, actions: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
     """Breadth-first search over sets of facts: state, plan (names of actions) and length of the shortest plans that reach the goals.
 
-    start (facts array<string>), actions (name, needs, adds, removes: arrays of strings), goals (fact).  A state is its sorted
-    set of facts; each is visited once, by the first plan in order of names; states after `depth` actions aren't expanded.
-    Every round is a join of the states reached last with the actions (a few, broadcast) and an anti join with all before."""
-    sorted_ = lambda c: F.array_sort(F.array_distinct(c))
-    wanted = goals.agg(F.collect_set("fact").alias("_goal"))  # one row: what a plan is asked for
-    front = cut(start.select(sorted_(F.col("facts")).alias("state"), F.array().cast("array<string>").alias("plan")).distinct())
-    seen, found = front.select("state"), None
+    start (facts array<string>), actions (name, needs, adds, removes: arrays of strings), goals (fact); with a column problem in start
+    and goals, many searches at once, each of which ends with its own first plans.  A state is its sorted set of facts; a problem visits each
+    once, by the first plan in order of names; states after `depth` actions aren't expanded.  Every round is an equi-join of the states
+    reached last with the actions that need one of their facts, and an anti join with all states before."""
+    many, sorted_ = "problem" in start.columns, lambda c: F.array_sort(F.array_distinct(c))
+    keyed = lambda df: df if many else df.withColumn("problem", F.lit(0))
+    none = F.array().cast("array<string>")
+    wanted = cut(keyed(goals).groupBy(F.col("problem").alias("_p")).agg(F.collect_set("fact").alias("_goal")))
+    able = cut(actions.select("name", "needs", "adds", "removes", F.coalesce(F.get("needs", F.lit(0)), F.lit("")).alias("_first")))
+    front = cut(keyed(start).select("problem", sorted_(F.col("facts")).alias("state"), none.alias("plan")).distinct())
+    seen, found = front.select("problem", "state"), []
     for length in range(depth + 1):
-        done = front.crossJoin(F.broadcast(wanted)).filter(F.size(F.array_except("_goal", "state")) == 0).select("state", "plan", F.lit(length).alias("length"))
-        done = cut(done)
-        if done.limit(1).count() or length == depth:
-            found = done
+        met = front.join(wanted, F.col("problem").eqNullSafe(F.col("_p")), "left")
+        found.append(cut(met.filter(F.size(F.array_except(F.coalesce("_goal", none), "state")) == 0).select("problem", "state", "plan", F.lit(length).alias("length"))))
+        if length == depth:
             break
-        step = front.crossJoin(F.broadcast(actions)).filter(F.size(F.array_except("needs", "state")) == 0)
-        step = step.select(sorted_(F.array_union(F.array_except("state", "removes"), F.col("adds"))).alias("state"), F.concat("plan", F.array("name")).alias("plan"))
-        front = cut(step.groupBy("state").agg(F.min("plan").alias("plan")).join(seen, "state", "left_anti"))
+        over = found[-1].select(F.col("problem").alias("_p")).distinct()
+        step = front.join(over, F.col("problem").eqNullSafe(F.col("_p")), "left_anti")
+        step = step.withColumn("_fact", F.explode(F.concat("state", F.array(F.lit(""))))).join(able, F.col("_fact") == F.col("_first"))
+        step = step.filter(F.size(F.array_except("needs", "state")) == 0)
+        step = step.select("problem", sorted_(F.array_union(F.array_except("state", "removes"), F.col("adds"))).alias("state"), F.concat("plan", F.array("name")).alias("plan"))
+        before = seen.select(F.col("problem").alias("_p"), F.col("state").alias("_s"))
+        fresh = step.groupBy("problem", "state").agg(F.min("plan").alias("plan"))
+        front = cut(fresh.join(before, F.col("problem").eqNullSafe(F.col("_p")) & (F.col("state") == F.col("_s")), "left_anti"))
         if not front.limit(1).count():
-            found = done
             break
-        seen = cut(seen.union(front.select("state")))
-    return found
+        seen = cut(seen.union(front.select("problem", "state")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out if many else out.drop("problem")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-KINDS = ("measure", "sensor", "transformer", "predicate", "generator", "dataset", "task")
+KINDS = ("measure", "sensor", "transformer", "predicate", "generator", "dataset", "task", "noise", "move", "control")
 
 
 @dataclass

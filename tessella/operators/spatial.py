@@ -28,9 +28,11 @@ def region_weights(hits: DataFrame, point: str, area: str) -> DataFrame:
     return hits.withColumn("weight", F.when(n == 1, 1.0).otherwise(1 - F.col(area) / total))
 
 
-def votes(hits: DataFrame, owner: str, region: str, keypoints: Column) -> DataFrame:
-    """Share of an owner's keypoints in each region; a keypoint in several votes for each."""
-    return hits.groupBy(owner, region).agg((F.count(F.lit(1)) / F.first(keypoints)).alias("share"))
+def votes(hits: DataFrame, keypoints: DataFrame, owner: str, region: str) -> DataFrame:
+    """Share of an owner's keypoints (all of them, a row each) in each region; a keypoint in several votes for each."""
+    per = keypoints.groupBy(F.col(owner).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    won = hits.groupBy(owner, region).agg(F.count(F.lit(1)).alias("_k"))
+    return won.join(per, F.col(owner).eqNullSafe(F.col("_o"))).select(owner, region, (F.col("_k") / F.col("_n")).alias("share"))
 
 
 def within(a: DataFrame, b: DataFrame, radius: float, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -138,12 +140,14 @@ def by_colour(vertices: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def raster(regions: DataFrame, cell: float, y: float) -> DataFrame:
-    """Grid cells (row, col) of edge `cell` whose centre lies in a region at height y, with the regions' smallest id."""
-    span = regions.agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("z0", F.min), ("z1", F.max))])
-    grid = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    cells = span.select(F.explode(grid("z0", "z1")).alias("row"), "x0", "x1").select("row", F.explode(grid("x0", "x1")).alias("col"))
-    centres = cells.withColumns({"x": (F.col("col") + 0.5) * cell, "z": (F.col("row") + 0.5) * cell, "y": F.lit(float(y))})
-    return in_regions(centres, regions, max(cell, 1.0)).groupBy("row", "col").agg(F.min("region").alias("region"))
+    """Grid cells (row, col) of edge `cell` whose centre lies in a region at height y, with the regions' smallest id.
+
+    Each region makes the cells of its own box alone, row by row; nothing is made where there is none."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+    rows = regions.filter(F.lit(float(y)).between(F.col("y0"), F.col("y1"))).withColumn("row", F.explode(span("z0", "z1")))
+    cells = rows.withColumn("col", F.explode(span("x0", "x1"))).withColumns({"x": (F.col("col") + 0.5) * cell, "z": (F.col("row") + 0.5) * cell})
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("z").between(F.col("z0"), F.col("z1"))
+    return cells.filter(inside & in_polygon(F.col("x"), F.col("z"), F.col("loop"))).groupBy("row", "col").agg(F.min("region").alias("region"))
 
 
 def seen(rays: DataFrame, cells: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from . import episode_queries, frame_queries, more_queries, registry, sensor_queries, world_queries
+from . import drawn_queries, episode_queries, frame_queries, more_queries, registry, sensor_queries, world_queries
 
-__all__ = ["episode_queries", "frame_queries", "more_queries", "oracle_sql", "queries", "sensor_queries", "world_queries"]
+__all__ = ["drawn_queries", "episode_queries", "frame_queries", "more_queries", "oracle_sql", "queries", "sensor_queries", "world_queries"]
 
 
 def queries() -> dict:

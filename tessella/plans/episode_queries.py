@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import episodes, metrics
+from ..operators import episodes, metrics, scans
 from .registry import Tables, query
 
 c, lit = F.col, F.lit
@@ -268,10 +268,8 @@ FROM f JOIN s ON s.ep = f.ep AND s.t = f.t + 1)"""
 
 
 def forces(t: Tables) -> DataFrame:
-    """ep, t, v, add, accum: what each step's force adds."""
-    g = steps(t).groupBy("ep").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("r"))
-    out = g.select("ep", F.posexplode(metrics.hysteresis(c("r"), 2.0)).alias("i", "f"))
-    return out.select("ep", (c("i") + 1).cast("long").alias("t"), "f.add", "f.accum")
+    """ep, t, add, accum: what each step's force adds."""
+    return scans.scanned(steps(t), "ep", c("t"), [c("v")], scans.hysteresis(2.0), "t")
 
 
 @query(FORCE + " SELECT ep, t, add, accum FROM f")
@@ -324,17 +322,15 @@ def mask() -> Column:
 
 @query(BACK + ", r(ep, k, t, ret) AS (SELECT ep, k, t, v + 0.9::DOUBLE * 0 * m FROM b WHERE k = 1 UNION ALL SELECT r.ep, b.k, b.t, b.v + 0.9::DOUBLE * ret * b.m FROM r JOIN b ON b.ep = r.ep AND b.k = r.k + 1) SELECT ep, t, ret FROM r")
 def win15_discounted_return(t: Tables) -> DataFrame:
-    g = steps(t).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", "v", mask()))).alias("r"))
-    out = metrics.discounted(c("r.v"), c("r.m"), 0.9)
-    return g.select("ep", F.posexplode(out).alias("i", "ret")).select("ep", (c("i") + 1).cast("long").alias("t"), "ret")
+    out = scans.scanned(steps(t), "ep", -c("t"), [c("v"), mask()], scans.discounted(0.9), "back")
+    return out.select("ep", (-c("back")).alias("t"), "ret")
 
 
 @query(BACK + """, r(ep, k, t, value, g) AS (SELECT ep, k, t, x, v + 0.99::DOUBLE * 0.0 * m - x + 0.99::DOUBLE * 0.95::DOUBLE * m * 0.0 FROM b WHERE k = 1
 UNION ALL SELECT r.ep, b.k, b.t, b.x, b.v + 0.99::DOUBLE * r.value * b.m - b.x + 0.99::DOUBLE * 0.95::DOUBLE * b.m * r.g FROM r JOIN b ON b.ep = r.ep AND b.k = r.k + 1) SELECT ep, t, round(g + value, 9) AS ret FROM r""")
 def win15_gae(t: Tables) -> DataFrame:
-    g = steps(t).groupBy("ep").agg(F.array_sort(F.collect_list(F.struct("t", "v", "x", mask()))).alias("r"))
-    out = metrics.gae(c("r.v"), c("r.x"), c("r.m"), 0.99, 0.95)
-    return g.select("ep", F.posexplode(out).alias("i", "ret")).select("ep", (c("i") + 1).cast("long").alias("t"), F.round("ret", 9).alias("ret"))
+    out = scans.scanned(steps(t), "ep", -c("t"), [c("v"), c("x"), mask()], scans.advantages(0.99, 0.95), "back")
+    return out.select("ep", (-c("back")).alias("t"), F.round("ret", 9).alias("ret"))
 
 
 @query("SELECT event_type, sum(value) / (SELECT count(*) FROM events)::DOUBLE AS mean FROM events GROUP BY event_type".replace("sum(value)", "sum(round(value * 1000)::BIGINT)"))

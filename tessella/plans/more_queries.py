@@ -216,19 +216,26 @@ def str4_short_names(t: Tables) -> DataFrame:
     return t("pages").select("page_id", strings.short_name(c("url")).alias("name"), strings.base_and_ext(c("url")).alias("b")).select("page_id", "name", "b.base", "b.ext")
 
 
-def kitchen(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A start, a few moves, and what is wanted: a cup from the shelf on the table, and to be back."""
-    spark = t("region").sparkSession
-    start = t("region").limit(1).select(F.array(lit("at shelf"), lit("cup shelf"), lit("free hand")).alias("facts"))
-    actions = spark.createDataFrame([("go shelf", ["at table"], ["at shelf"], ["at table"]), ("go table", ["at shelf"], ["at table"], ["at shelf"]), ("pick", ["at shelf", "cup shelf", "free hand"], ["cup hand"], ["cup shelf", "free hand"]), ("place", ["at table", "cup hand"], ["cup table", "free hand"], ["cup hand"])], "name string, needs array<string>, adds array<string>, removes array<string>")
-    goals = spark.createDataFrame([("cup table",), ("at shelf",)], "fact string")
-    return start, actions, goals
-
-
-@query("SELECT 'pick; go table; place; go shelf' AS plan, 4::BIGINT AS length, 'at shelf, cup table, free hand' AS state")
+def errands(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each supplier stands in a nation and is to fetch a key from another one to a third, along three ways out of each."""
+    at = lambda k: F.concat(lit("at "), F.pmod(k, lit(25)).cast("string"))
+    key = lambda k: F.concat(lit("key "), F.pmod(k, lit(25)).cast("string"))
+    s, n, none = c("s_suppkey"), c("n_nationkey"), F.array().cast("array<string>")
+    start = t("supplier").select(s.alias("problem"), F.array(at(c("s_nationkey")), key(c("s_nationkey") * 3 + 1)).alias("facts"))
+    goals = t("supplier").select(s.alias("problem"), F.explode(F.array(lit("have"), at(s * 7))).alias("fact"))
+    ways = t("nation").withColumn("to", F.explode(F.array(n + 1, n + 5, n + 11)))
+    go = ways.select(F.concat(lit("go "), F.pmod(c("to"), lit(25)).cast("string")).alias("name"), F.array(at(n)).alias("needs"), F.array(at(c("to"))).alias("adds"), F.array(at(n)).alias("removes"))
+    pick = t("nation").select(lit("pick").alias("name"), F.array(key(n), at(n)).alias("needs"), F.array(lit("have")).alias("adds"), F.array(key(n)).alias("removes"))
+    rest = t("region").limit(1).select(lit("rest").alias("name"), none.alias("needs"), none.alias("adds"), none.alias("removes"))
+    return start, go.unionByName(pick).unionByName(rest), goals
+
+
+@query("""WITH RECURSIVE w(x, n) AS (SELECT 0, 0 UNION SELECT (x + s) % 25, n + 1 FROM w, (SELECT unnest([1, 5, 11]) AS s) WHERE n < 7), d AS (SELECT x, min(n) AS n FROM w GROUP BY x),
+s AS (SELECT s_suppkey AS problem, s_nationkey % 25 AS a, (s_nationkey * 3 + 1) % 25 AS k, s_suppkey * 7 % 25 AS g FROM supplier)
+SELECT problem, (p.n + 1 + q.n)::BIGINT AS length, 'at ' || g || ', have' AS state FROM s JOIN d p ON p.x = (k - a + 25) % 25 JOIN d q ON q.x = (g - k + 25) % 25""")
 def gra9_plan(t: Tables) -> DataFrame:
-    start, actions, goals = kitchen(t)
-    return graph.plans(start, actions, goals, 6).select(F.array_join("plan", "; ").alias("plan"), c("length").cast("long").alias("length"), F.array_join("state", ", ").alias("state"))
+    start, actions, goals = errands(t)
+    return graph.plans(start, actions, goals, 12).select("problem", c("length").cast("long").alias("length"), F.array_join("state", ", ").alias("state"))
 
 
 @query(STEPS + " SELECT id, t AS steps, t * 2 AS doubled, t * 2 + 1 AS odd FROM s")

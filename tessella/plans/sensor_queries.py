@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import rewards, spatial
+from ..operators import patches, rewards, spatial
 from ..operators.registry import Registry
 from .episode_queries import STEPS, W, by, steps
 from .frame_queries import POINTS, points
@@ -143,13 +143,24 @@ def geo19_seen_cells(t: Tables) -> DataFrame:
     return spatial.seen(rays(t), cells).select(c("x").cast("long").alias("x"), c("y").cast("long").alias("y"))
 
 
-@query(PLACES.split("h AS")[0].rstrip().rstrip(",") + """, o AS (SELECT floor(min(u - 12) / 2)::BIGINT AS c0, floor(max(u + 12) / 2)::BIGINT AS c1, floor(min(v - 10) / 2)::BIGINT AS r0, floor(max(v + 10) / 2)::BIGINT AS r1 FROM r),
+LINKED = """, links AS (SELECT a.i AS a, b.i AS b FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.v = b.v),
+reach(i, j) AS (SELECT i, i FROM g UNION SELECT reach.i, links.b FROM reach JOIN links ON links.a = reach.j), tops AS (SELECT i, min(j) AS first FROM reach GROUP BY i)"""
+RASTER = PLACES.split("h AS")[0].rstrip().rstrip(",") + """, o AS (SELECT floor(min(u - 12) / 2)::BIGINT AS c0, floor(max(u + 12) / 2)::BIGINT AS c1, floor(min(v - 10) / 2)::BIGINT AS r0, floor(max(v + 10) / 2)::BIGINT AS r1 FROM r),
 k AS (SELECT unnest(range(r0, r1 + 1)) AS row, c0, c1 FROM o), n AS (SELECT row, unnest(range(c0, c1 + 1)) AS col FROM k), m AS (SELECT row, col, (col + 0.5) * 2::DOUBLE AS x, (row + 0.5) * 2::DOUBLE AS z FROM n),
-h AS (SELECT row, col, region FROM m JOIN e ON x BETWEEN u - 12 AND u + 12 AND z BETWEEN v - 10 AND v + 10 GROUP BY row, col, region HAVING sum(((av > z) <> (bv > z) AND x < (bu - au) * (z - av) / nullif(bv - av, 0) + au)::INT) % 2 = 1) SELECT row, col, min(region) AS region FROM h GROUP BY row, col""")
+h AS (SELECT row, col, region FROM m JOIN e ON x BETWEEN u - 12 AND u + 12 AND z BETWEEN v - 10 AND v + 10 GROUP BY row, col, region HAVING sum(((av > z) <> (bv > z) AND x < (bu - au) * (z - av) / nullif(bv - av, 0) + au)::INT) % 2 = 1), w AS (SELECT row, col, min(region) AS region FROM h GROUP BY row, col)"""
+
+
+@query(RASTER + " SELECT row, col, region FROM w")
 def geo20_raster(t: Tables) -> DataFrame:
     return spatial.raster(rooms(t), 2.0, 1.0).select("row", "col", "region")
 
 
+@query(("WITH RECURSIVE " + RASTER.removeprefix("WITH ") + ", g AS (SELECT row * 100000 + col AS i, row AS r, col AS c, 1 AS v FROM w)" + LINKED) + " SELECT r AS row, c AS col, first AS island FROM g JOIN tops USING (i)")
+def geo20_islands(t: Tables) -> DataFrame:
+    cells = spatial.raster(rooms(t), 2.0, 1.0).withColumn("colour", lit(1))
+    return patches.coloured(cells, 16).select("row", "col", (c("patch_row") * 100000 + c("patch_col")).alias("island"))
+
+
 @query(PLACES + " SELECT id, y - 0.5 >= 0 AND y - 0.5 < 1.5 AS here FROM p")
 def geo21_floor_band(t: Tables) -> DataFrame:
     return places(t).select("id", g.on_floor(c("y"), lit(0.5), 1.5).alias("here"))
@@ -345,16 +356,22 @@ def udf8_generator(t: Tables) -> DataFrame:
     return OWN.generated(points(t).select("id", "x"), "episodes_of", "episode long, goal double")
 
 
-@query(CELLS + ", e AS (SELECT a.r * 30 + a.c AS a, b.r * 30 + b.c AS b FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.v = b.v) SELECT a AS vertex, count(*) AS n FROM e GROUP BY a")
-def gra2_like_neighbours(t: Tables) -> DataFrame:
-    from ..operators import graph
-
+@query("WITH RECURSIVE g AS (SELECT c_custkey AS i, c_custkey // 30 AS r, c_custkey % 30 AS c, c_custkey * 13 % 7 < 3 AS v FROM customer)" + LINKED + " SELECT first // 30 AS patch_row, first % 30 AS patch_col, any_value(v) AS colour, count(*) AS n, min(r) AS row0, max(r) AS row1, min(c) AS col0, max(c) AS col1 FROM g JOIN tops USING (i) GROUP BY first")
+def gra2_coloured_patches(t: Tables) -> DataFrame:
     k = c("c_custkey")
-    cells = t("customer").select(k.alias("vertex"), (k * 13 % 7 < 3).alias("v"))
-    r = t("customer").select(k.alias("src"), F.explode(F.array(F.when(k % 30 < 29, k + 1), k + 30)).alias("dst")).filter("dst IS NOT NULL")
-    edges = graph.same_kind_edges(r, cells, "vertex", "v")
-    both = edges.union(edges.select("dst", "src"))
-    return both.groupBy(c("src").alias("vertex")).agg(F.count(lit(1)).alias("n"))
+    cells = t("customer").select(F.floor(k / 30).alias("row"), (k % 30).alias("col"), (k * 13 % 7 < 3).alias("colour"))
+    return patches.measured(patches.coloured(cells, 16))
+
+
+@query("""WITH RECURSIVE v AS (SELECT p_partkey AS i, p_partkey % 3 AS colour, (p_partkey * 7 % 100)::DOUBLE AS x, p_size::DOUBLE AS y, (p_partkey * 3 % 90)::DOUBLE AS z FROM part), e AS (SELECT i AS a, i + 3 * (i % 5) AS b FROM v WHERE i % 9 > 1 UNION ALL SELECT i, i * 2 FROM v UNION ALL SELECT i, i + 1 FROM v),
+l AS (SELECT a, b FROM e JOIN v x ON x.i = a JOIN v y ON y.i = b WHERE x.colour = y.colour AND a <> b), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+q(i, j) AS (SELECT i, i FROM v UNION SELECT q.i, s.b FROM q JOIN s ON s.a = q.j), m AS (SELECT i, min(j) AS component FROM q GROUP BY i)
+SELECT component, any_value(colour) AS colour, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v JOIN m USING (i) GROUP BY component""")
+def gra2_mesh_components(t: Tables) -> DataFrame:
+    k = c("p_partkey")
+    vertices = t("part").select(k.alias("vertex"), (k % 3).alias("colour"), (k * 7 % 100).cast("double").alias("x"), c("p_size").cast("double").alias("y"), (k * 3 % 90).cast("double").alias("z"))
+    edges = t("part").select(k.alias("src"), F.explode(F.array(F.when(k % 9 > 1, k + 3 * (k % 5)), k * 2, k + 1)).alias("dst")).filter("dst IS NOT NULL")
+    return patches.on_mesh(vertices, edges)
 
 
 @query("SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS nth FROM events")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import strings
-from ..operators import graph, logic, spatial, trees
+from ..operators import graph, logic, scans, spatial, trees
 from ..sources import sinks
 from ..streaming import deltas
 from .frame_queries import POINTS, points
@@ -90,10 +90,10 @@ def join8_region_weights(t: Tables) -> DataFrame:
     return spatial.region_weights(hits, "id", "area").select("id", "region", F.round("weight", 6).alias("weight"))
 
 
-@query(PLACES + " SELECT id % 20 AS owner, region, round(count(*) / 75.0::DOUBLE, 6) AS share FROM h GROUP BY ALL")
+@query(PLACES + ", n AS (SELECT id % 20 AS owner, count(*) AS n FROM p GROUP BY ALL) SELECT owner, region, round(count(*) / any_value(n), 6) AS share FROM h JOIN n ON h.id % 20 = owner GROUP BY ALL")
 def agg25_room_votes(t: Tables) -> DataFrame:
-    hits = spatial.in_regions(places(t), rooms(t), 10.0).withColumn("owner", c("id") % 20)
-    return spatial.votes(hits, "owner", "region", lit(75.0)).select("owner", "region", F.round("share", 6).alias("share"))
+    own = places(t).withColumn("owner", c("id") % 20)
+    return spatial.votes(spatial.in_regions(own, rooms(t), 10.0), own, "owner", "region").select("owner", "region", F.round("share", 6).alias("share"))
 
 
 @query(PLACES + " SELECT id % 20 AS owner, region FROM h GROUP BY ALL HAVING count(*) > 2")
@@ -262,15 +262,18 @@ def set10_flat_points(t: Tables) -> DataFrame:
 
 
 def edge_table(t: Tables) -> DataFrame:
+    """Chains of up to 37 customers that also skip, so that islands are many steps across and have loops."""
     k = c("c_custkey")
-    return t("customer").filter("c_custkey % 4 > 0").select(k.alias("src"), (k + k % 4 * 3).alias("dst"))
+    next_ = t("customer").filter("c_custkey % 37 > 0").select((k + 1).alias("src"), k.alias("dst"))
+    skip = t("customer").filter("c_custkey % 37 > 2 AND c_custkey % 5 = 0").select(k.alias("src"), (k - 2).alias("dst"))
+    return next_.unionByName(skip).join(t("customer").select(k.alias("src")), "src", "left_semi")
 
 
-@query("SELECT c_custkey AS vertex, min(c_custkey) OVER (PARTITION BY c_custkey + c_custkey % 4 * 3) AS island FROM customer")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey + 1 AS a, c_custkey AS b FROM customer WHERE c_custkey % 37 > 0 UNION ALL SELECT c_custkey, c_custkey - 2 FROM customer WHERE c_custkey % 37 > 2 AND c_custkey % 5 = 0),
+l AS (SELECT a, b FROM e WHERE a IN (SELECT c_custkey FROM customer)), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(i, j) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT r.i, s.b FROM r JOIN s ON s.a = r.j) SELECT i AS vertex, min(j) AS island FROM r GROUP BY i""")
 def gra1_islands(t: Tables) -> DataFrame:
-    """Every edge ends where none begins, so an island is what shares that end."""
-    v = t("customer").select(c("c_custkey").alias("vertex"))
-    return graph.islands(edge_table(t), v).join(v, "vertex", "left_semi")
+    return graph.islands(edge_table(t), t("customer").select(c("c_custkey").alias("vertex")))
 
 
 PATHS = """WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 2 AS dst, (c_custkey * 7 % 5 + 1)::DOUBLE AS w FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey * 2 + 1, (c_custkey * 3 % 4 + 1)::DOUBLE FROM customer WHERE c_custkey > 0 UNION ALL SELECT c_custkey, c_custkey * 3, (c_custkey * 11 % 6 + 1)::DOUBLE FROM customer WHERE c_custkey > 0),
@@ -329,14 +332,14 @@ def stm1_changes(t: Tables) -> DataFrame:
     return deltas.changes(delta_rows(t), "k", "seq", "s").select("k", "seq", "s")
 
 
-@query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq FROM d WHERE seq <= 5000 GROUP BY k) SELECT k, v, seq FROM l WHERE op <> 'delete'")
+@query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq FROM d WHERE seq <= (SELECT count(*) // 2 FROM events) GROUP BY k) SELECT k, v, seq FROM l WHERE op <> 'delete'")
 def stm2_replay(t: Tables) -> DataFrame:
-    return deltas.replay(delta_rows(t), "k", "seq", "op", "v", 5000)
+    return deltas.replay(delta_rows(t), "k", "seq", "op", "v", t("events").count() // 2)
 
 
-@query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq, bool_or(op = 'create') AS made FROM d WHERE seq > 5000 GROUP BY k) SELECT k, op, CASE WHEN op <> 'delete' THEN v END AS v, seq FROM l WHERE NOT (op = 'delete' AND made)")
+@query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq, bool_or(op = 'create') AS made FROM d WHERE seq > (SELECT count(*) // 2 FROM events) GROUP BY k) SELECT k, op, CASE WHEN op <> 'delete' THEN v END AS v, seq FROM l WHERE NOT (op = 'delete' AND made)")
 def stm3_consolidated(t: Tables) -> DataFrame:
-    return deltas.consolidated(delta_rows(t).filter("seq > 5000"), "k", "seq", "op", "v")
+    return deltas.consolidated(delta_rows(t).filter(c("seq") > t("events").count() // 2), "k", "seq", "op", "v")
 
 
 @query(CHANGES + " SELECT k, arg_max(CASE WHEN s <> 'view' THEN s END, CASE WHEN s <> 'view' THEN seq END) AS a, arg_max(v, seq) AS b FROM d GROUP BY k")
@@ -355,10 +358,10 @@ def join25_nth_recent(t: Tables) -> DataFrame:
     return deltas.history(delta_rows(t), "k", "seq").filter("age = 2").select("k", "seq")
 
 
-@query(CHANGES + " SELECT k, seq FROM d WHERE op = 'update' AND k IN (SELECT k FROM d WHERE op = 'create' AND seq < 200)")
+@query(CHANGES + " SELECT k, seq FROM d WHERE op = 'update' AND k IN (SELECT k FROM d WHERE op = 'create' AND seq <= (SELECT count(*) // 2 FROM events))")
 def join19_live_updates(t: Tables) -> DataFrame:
     d = delta_rows(t)
-    return deltas.known(d.filter("op = 'update'"), d.filter("op = 'create' AND seq < 200"), "k").select("k", "seq")
+    return deltas.known(d.filter("op = 'update'"), d.filter((c("op") == "create") & (c("seq") <= t("events").count() // 2)), "k").select("k", "seq")
 
 
 @query("WITH d AS (SELECT user_id AS k, event_id AS seq, (['down', 'up', 'scroll'])[event_id % 3 + 1] AS kind, event_type AS button, value AS amount FROM events), l AS (SELECT k, button, arg_max(kind, seq) AS kind FROM d WHERE kind <> 'scroll' GROUP BY ALL), h AS (SELECT k, string_agg(button, ',' ORDER BY button) AS held FROM l WHERE kind = 'down' GROUP BY k) SELECT d.k, round(sum(CASE WHEN kind = 'scroll' THEN amount ELSE 0 END), 6) AS scroll, any_value(held) AS held FROM d LEFT JOIN h ON d.k = h.k GROUP BY d.k")
@@ -441,11 +444,27 @@ def extra_cube(t: Tables) -> DataFrame:
 TIMES = "WITH RECURSIVE s AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1000000.0::DOUBLE AS t0 FROM events), r(k, i, since, n, told, rate) AS (SELECT k, i, t0, 1, NULL::DOUBLE, NULL::DOUBLE FROM s WHERE i = 1 UNION ALL SELECT r.k, s.i, CASE WHEN s.t0 - since > 3600 THEN s.t0 ELSE since END, CASE WHEN s.t0 - since > 3600 THEN 0 ELSE n + 1 END, CASE WHEN s.t0 - since > 3600 THEN s.t0 END, CASE WHEN s.t0 - since > 3600 THEN (n + 1) / (s.t0 - since) END FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)"
 
 
+def clocked(t: Tables) -> DataFrame:
+    """k, i, at: the seconds of each user's events in order."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1000000.0
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select(c("user_id").alias("k"), F.row_number().over(w).cast("long").alias("i"), at.alias("at"))
+
+
 @query(TIMES + " SELECT k, told, round(rate, 9) AS rate FROM r WHERE rate IS NOT NULL")
 def stm8_rate_track(t: Tables) -> DataFrame:
-    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1000000.0
-    g_ = t("events").select(c("user_id").alias("k"), F.struct(at.alias("at"), "event_id").alias("s")).groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return g_.select("k", F.explode(deltas.rate_track(c("s.at"), 3600.0)).alias("r")).select("k", c("r.at").alias("told"), F.round("r.rate", 9).alias("rate"))
+    out = scans.scanned(clocked(t), "k", c("i"), [c("at")], scans.rates(3600.0), "i")
+    return out.select("k", c("at").alias("told"), F.round("rate", 9).alias("rate"))
+
+
+LIMITED = TIMES.split(", r(k, i, since")[0] + """, r(k, i, t0, clock, go) AS (SELECT k, i, t0, t0 + 600, t0 + 600.0::DOUBLE FROM s WHERE i = 1
+UNION ALL SELECT k, i, t0, greatest(clock, now - 1200) + 600, now + greatest(0::DOUBLE, 600 - (now - greatest(clock, now - 1200))) FROM (SELECT r.k, s.i, s.t0, clock, greatest(s.t0, go) AS now FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1))"""
+
+
+@query(LIMITED + " SELECT k, i, round(go, 5) AS released FROM r")
+def stm9_limited(t: Tables) -> DataFrame:
+    out = scans.scanned(clocked(t), "k", c("i"), [c("at")], scans.limited(600.0), "i")
+    return out.select("k", "i", F.round("released", 5).alias("released"))
 
 
 @query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq FROM d WHERE seq <= (SELECT count(*) // 2 FROM events) GROUP BY k) SELECT k, seq, 'create' AS op, v, true AS snapshot FROM l WHERE op <> 'delete' UNION ALL SELECT k, seq, op, v, false FROM d WHERE seq > (SELECT count(*) // 2 FROM events)")
@@ -458,9 +477,9 @@ def stm7_by_user(t: Tables) -> DataFrame:
     return deltas.by_user(t("events").select("event_id", (c("event_id") % 16).alias("m")), "m", 4).select("event_id", c("user").cast("long").alias("user"))
 
 
-@query("SELECT conv_id, string_agg(CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn || '=' || role, ',' ORDER BY CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn) AS record FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn || '=' || role, ',' ORDER BY CASE WHEN turn % 3 > 0 THEN 'scope/' ELSE '' END || 't' || turn) AS record FROM conversations GROUP BY conv_id")
 def stm13_recorded(t: Tables) -> DataFrame:
-    own = t("conversations").select("conv_id", "turn", "role").distinct().select("conv_id", F.when(c("turn") % 3 > 0, "scope").otherwise("").alias("scope"), F.concat(lit("t"), c("turn").cast("string")).alias("key"), "role")
+    own = t("conversations").select("conv_id", F.when(c("turn") % 3 > 0, "scope").otherwise("").alias("scope"), F.concat(lit("t"), c("turn").cast("string")).alias("key"), "role")
     entries = F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], lit("="), e["value"]))
     return deltas.recorded(own, "conv_id", "scope", "key", "role").select("conv_id", F.array_join(F.array_sort(entries), ",").alias("record"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from ..operators.ranges import running
 
@@ -25,14 +29,38 @@ def text_report(counts: DataFrame, path: str) -> None:
     lines.unionByName(every).sort(F.col("k").asc_nulls_last()).select("value").write.mode("overwrite").text(path)
 
 
+def _fixed(value: Column, kind: DataType, digits: int) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.round(value, digits)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _fixed(x, kind.elementType, digits))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _fixed(x, kind.valueType, digits))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_fixed(value[f.name], f.dataType, digits).alias(f.name) for f in kind]))
+    return value
+
+
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
-    """All doubles, alone or in arrays, rounded."""
-    def fix(name: str, kind: str) -> Column:
-        if kind in ("double", "float"):
-            return F.round(name, digits).alias(name)
-        return F.transform(name, lambda x: F.round(x, digits)).alias(name) if kind in ("array<double>", "array<float>") else F.col(name)
+    """All doubles rounded, however deep they lie in arrays, maps and structs."""
+    return df.select(*[_fixed(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name) for f in df.schema])
+
+
+def _whole(rows: DataFrame, name: str, marks: tuple[str, str], path: str, mode: str) -> None:
+    """Lines of JSON (a column value) as gzipped files of one object each, {"name": [line, line, ...]} or with other marks: a file for each
+    task, written line by line.  Tasks without lines write an object with none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = f'{{"{name}": {marks[0]}'
+        for batch in batches:
+            out = []
+            for value in batch.column("value").to_pylist():
+                out.append(lead + value)
+                lead = ","
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+        yield pa.record_batch([[("" if lead == "," else lead) + marks[1] + "}"]], names=["value"])
 
-    return df.select(*[fix(n, k) for n, k in df.dtypes])
+    rows.select("value").mapInArrow(run, "value string").write.mode(mode).option("compression", "gzip").text(path)
 
 
 def dictionary(df: DataFrame, column: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -60,14 +88,19 @@ def description(df: DataFrame, path: str, column: str = "description") -> None:
 
 
 def dataset(episodes: DataFrame, path: str, digits: int | None = None) -> None:
-    """Episodes as gzipped JSON, numbers rounded if `digits` is given; the write fails where something is."""
-    (rounded(episodes, digits) if digits is not None else episodes).write.mode("error").option("compression", "gzip").json(path)
+    """Episodes as gzipped JSON files {"episodes": [...]}, which scenes.episodes reads back; numbers rounded if `digits` is given.  The write
+    fails where something is."""
+    own = rounded(episodes, digits) if digits is not None else episodes
+    _whole(own.select(F.to_json(F.struct("*")).alias("value")), "episodes", ("[", "]"), path, "error")
 
 
 def goals_apart(episodes: DataFrame, path: str, key: str, goals: str) -> None:
-    """Two tables: episodes without goals, and one list of goals for each key, that which comes first among equal keys."""
-    episodes.drop(goals).write.mode("error").option("compression", "gzip").json(f"{path}/episodes")
-    episodes.groupBy(key).agg(F.min_by(goals, "episode_id").alias(goals)).write.mode("error").option("compression", "gzip").json(f"{path}/goals")
+    """Files {"episodes": [...]} without goals and files {"goals_by_category": {...}} with one list for each key, that of the first
+    episode among equal keys; scenes.goal_episodes reads them back.  The write fails where something is."""
+    dataset(episodes.drop(goals), path)
+    first = episodes.groupBy(key).agg(F.min_by(goals, "episode_id").alias("_g"))
+    lines = F.concat(F.regexp_extract(F.to_json(F.array(F.col(key).cast("string"))), r"^\[(.*)\]$", 1), F.lit(": "), F.to_json("_g"))
+    _whole(first.select(lines.alias("value")), "goals_by_category", ("{", "}"), path, "append")
 
 
 def replay(keyframes: DataFrame, path: str, incremental: bool = False, digits: int = 7) -> None:

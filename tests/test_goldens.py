@@ -278,9 +278,6 @@ def test_datasets_and_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "f")).first().active == ["a", "b"]
     with pytest.raises(ValueError):
         sinks.receptacle_filters(spark.createDataFrame([("odd", "b")], "kind string, name string"), str(tmp_path / "g"))
-    episodes_ = spark.createDataFrame([(1, "k", [1, 2]), (2, "k", [3])], "episode_id int, goals_key string, goals array<int>")
-    sinks.goals_apart(episodes_, str(tmp_path / "d"), "goals_key", "goals")
-    assert spark.read.json(str(tmp_path / "d/goals")).first().goals == [1, 2] and spark.read.json(str(tmp_path / "d/episodes")).columns == ["episode_id", "goals_key"]
     sinks.description(spark.createDataFrame([(" Go on. ",)], "description string"), str(tmp_path / "t"))
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["Go on."]
 
