@@ -101,12 +101,19 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float | None
         for d in AXES:  # the first cell of either side says where a pair is made
             near = near.withColumn(f"_p{d}", F.floor((F.col(d) - radius) / F.col("_edge"))).withColumn(f"_c{d}", F.explode(span(F.col(d) - radius, F.col(d) + radius)))
             laid = laid.withColumn(f"_f{d}", F.floor(F.col(f"_lo{d}") / F.col("_edge"))).withColumn(f"_m{d}", F.explode(span(F.col(f"_lo{d}"), F.col(f"_hi{d}"))))
-        once = [F.col(f"_c{d}") == F.greatest(f"_p{d}", f"_f{d}") for d in AXES]
-        reach = [(F.col(f"_lo{d}") <= F.col(d) + radius) & (F.col(f"_hi{d}") >= F.col(d) - radius) for d in AXES]
-        same = [F.col(f"_c{d}") == F.col(f"_m{d}") for d in AXES]
-        pairs = near.drop("_edge").join(laid.drop("_edge"), reduce(lambda x, y: x & y, [F.col("_grid") == F.col("_g"), *same, *once, *reach]))
-        pairs = closest(pairs.select(*AXES, "triangle", *CORNERS)).filter(F.col("_d2") <= (SAFE * radius) ** 2)
-        best = pairs.groupBy(*AXES).agg(F.min(F.struct("_d2", "triangle", *[f"snap_{d}" for d in AXES])).alias("_best"))
+        # one predicate of each kind: the optimiser's search for what equal columns imply grows fast with their number
+        place = lambda x: F.struct(*[F.col(f"{x}{d}").alias(d) for d in AXES])
+        here = F.struct(F.col("_grid").alias("g"), place("_c").alias("c")).alias("_here")
+        there = F.struct(F.col("_g").alias("g"), place("_m").alias("c")).alias("_there")
+        once = F.array(*[F.col(f"_here.c.{d}") for d in AXES]) == F.array(*[F.greatest(f"_p{d}", f"_f{d}") for d in AXES])
+        reach = F.greatest(*[x for d in AXES for x in (F.col(f"_lo{d}") - F.col(d), F.col(d) - F.col(f"_hi{d}"))]) <= radius
+        near = near.select(*AXES, *[f"_p{d}" for d in AXES], here)
+        laid = laid.select("triangle", *CORNERS, *[f"_{n}{d}" for d in AXES for n in ("lo", "hi", "f")], there)
+        pairs = near.join(laid, F.col("_here") == F.col("_there")).filter(once & reach)
+        pairs = closest(pairs.select(*AXES, "triangle", *CORNERS))
+        # within the aggregate: a filter would be pushed below and written out once for each use of each part of the formula
+        found = F.when(F.col("_d2") <= (SAFE * radius) ** 2, F.struct("_d2", "triangle", *[f"snap_{d}" for d in AXES]))
+        best = pairs.groupBy(*AXES).agg(F.min(found).alias("_best")).filter("_best IS NOT NULL")
         done.append(cut(best))
         todo = cut(todo.join(done[-1], list(AXES), "left_anti"))
         if not todo.limit(1).count():
