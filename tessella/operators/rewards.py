@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from .metrics import so_far
+from .scans import Fold, State
 
 
 def progress(distance: Column, w: WindowSpec, digits: int | None = None) -> Column:
@@ -63,3 +66,48 @@ def placing(to_goal: Column, to_rest: Column, has: Column, at_goal: Column, w: W
     moved = F.when(right, 0.0).otherwise(F.round(F.coalesce(past - distance, F.lit(0.0)), 3))
     counts = distance >= F.when(away, least).otherwise(0.0)
     return F.when(right, place).when(first, -drop).otherwise(0.0) + F.when(counts, scale * moved).otherwise(0.0)
+
+
+def articulated(goal: float, state: float, grasp: float, wrong: float, there: float, rest: float, marker: float) -> Fold:
+    """Reward of moving a joint to `goal`, over the steps of an episode; values (joint, holds, right, to_marker, to_rest, arrived).
+
+    `state` for each unit that the joint comes nearer while it hasn't arrived; once, at the first grip of something, `grasp` if it is the right
+    handle and minus `wrong` if not; `there` at the first step at which it has arrived, and `rest` for each unit that the gripper then
+    comes nearer to its resting place; else, with nothing held, `marker` for each unit nearer to the handle.  What is held at the first step
+    counts as gripped before."""
+
+    def step(kept: State, row: tuple) -> tuple[State, tuple]:
+        joint, holds, right, to_marker, to_rest, arrived = row
+        was, gripped, from_marker, from_rest, done = (joint, holds, to_marker, to_rest, 0.0) if math.isnan(kept[0]) else kept
+        reward = 0.0 if arrived else state * (abs(was - goal) - abs(joint - goal))
+        if holds and not gripped:
+            reward += grasp if right else -wrong
+        if arrived:
+            reward += (0.0 if done else there) + rest * (from_rest - to_rest)
+        elif not holds:
+            reward += marker * (from_marker - to_marker)
+        return (joint, max(gripped, holds), to_marker, to_rest, max(done, arrived)), (reward,)
+
+    return Fold((math.nan, 0.0, 0.0, 0.0, 0.0), step, "reward double")
+
+
+def moving(targets: int, distance: float, pick: float, place: float, near: float) -> Fold:
+    """Reward of bringing objects to their goals one after the other; values (held: the number of the object in the gripper or -1, then the
+    distance of each object to its goal, then that of the gripper to each object).
+
+    The object of the stage counts alone: `distance` for each unit that it comes nearer to its goal while held, else that the gripper comes nearer to
+    it; `pick` once for each object; `place` when it lies within `near` of its goal, which begins the next stage, after the last the first again."""
+
+    def step(kept: State, row: tuple) -> tuple[State, tuple]:
+        held, to_goal, to_object = row[0], row[1 : 1 + targets], row[1 + targets :]
+        fresh, now = math.isnan(kept[1]), int(kept[0])
+        from_goal, from_object = (to_goal[now], to_object[now]) if fresh else kept[1:3]
+        holding, given = held == now, int(kept[4])
+        reward = distance * (from_goal - to_goal[now] if holding else from_object - to_object[now])
+        if holding and not kept[3] and not given >> now & 1:
+            reward, given = reward + pick, given | 1 << now
+        if to_goal[now] < near and not holding:
+            reward, now = reward + place, (now + 1) % targets
+        return (float(now), to_goal[now], to_object[now], float(holding), float(given)), (reward,)
+
+    return Fold((0.0, math.nan, 0.0, 0.0, 0.0), step, "reward double")

@@ -35,13 +35,22 @@ def votes(hits: DataFrame, keypoints: DataFrame, owner: str, region: str) -> Dat
     return won.join(per, F.col(owner).eqNullSafe(F.col("_o"))).select(owner, region, (F.col("_k") / F.col("_n")).alias("share"))
 
 
-def within(a: DataFrame, b: DataFrame, radius: float, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Pairs of a and b (their columns prefixed a_ and b_) at most `radius` apart, by a grid of cells of that edge."""
+def contained(hits: DataFrame, owner: str, region: str, centre: str, threshold: int) -> DataFrame:
+    """hits: a row for each keypoint of an owner in a region, `centre` telling its middle -> the pairs with more than `threshold` keypoints, or with
+    the middle, in the region."""
+    votes_ = hits.groupBy(owner, region).agg(F.count(F.lit(1)).alias("n"), F.max(centre).alias("_c"))
+    return votes_.filter((F.col("n") > threshold) | F.col("_c")).select(owner, region, "n")
+
+
+def within(a: DataFrame, b: DataFrame, radius: float, dims: tuple[str, ...] = ("x", "y", "z"), on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a and b (their columns prefixed a_ and b_) at most `radius` apart and equal in `on`, by a grid of cells of that edge."""
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], *[F.floor(F.col(d) / radius).alias(f"_k{d}") for d in dims])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], *[F.floor(F.col(d) / radius).alias(f"_m{d}") for d in dims])
     for d in dims:
         right = right.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_m{d}", F.col(f"_m{d}") + F.col("_o")).drop("_o")
     cond = F.lit(True)
+    for c in on:
+        cond = cond & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     gap = F.lit(0.0)
     for d in dims:
         cond = cond & (F.col(f"_k{d}") == F.col(f"_m{d}"))
@@ -106,9 +115,8 @@ def placement(objects: DataFrame, receptacles: DataFrame, regions: DataFrame, ce
     The nearest receptacles (name, support, x, y, z) of the supporting object within `far`, nearly equal ones sharing the
     confidence; without any there, and with a support that has no receptacles, 'floor,<region>' on the floor; else the
     region, of several the smallest; else nothing (null)."""
-    near = objects.join(receptacles.select("name", F.col("support").alias("_s"), *[F.col(c).alias(f"_{c}") for c in "xyz"]), F.col("support") == F.col("_s"))
-    gap = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "yz"), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))))
-    near = nearest(near.withColumn("distance", gap).filter(F.col("distance") < far), "id", tie)
+    near = within(objects.select("id", "support", "x", "y", "z"), receptacles.select("name", "support", "x", "y", "z"), far, on=("support",))
+    near = nearest(near.filter(F.col("distance") < far).select(F.col("a_id").alias("id"), F.col("b_name").alias("name"), "distance"), "id", tie)
     held = near.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("_names"))
     has = receptacles.select(F.col("support").alias("_h")).distinct()
     home = in_regions(objects, regions, cell).groupBy("id").agg(F.min_by("region", F.struct("area", "region")).alias("_region"))
@@ -150,12 +158,27 @@ def raster(regions: DataFrame, cell: float, y: float) -> DataFrame:
     return cells.filter(inside & in_polygon(F.col("x"), F.col("z"), F.col("loop"))).groupBy("row", "col").agg(F.min("region").alias("region"))
 
 
-def seen(rays: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells (x, y) that any ray (ray, line: cells in order) shows: up to the first that isn't open or isn't on the map (x, y, open)."""
-    steps = rays.select("ray", F.posexplode("line").alias("step", "c")).select("ray", "step", "c.x", "c.y")
+def crossed(rays: DataFrame) -> DataFrame:
+    """rays (ray, x0, y0, x1, y1: cells) -> ray, step, x, y: all cells that the line between the two centres touches (geometry.supercover), a row
+    each; steps ascend along the line, not all of them taken."""
+    dx, dy = F.abs(F.col("x1") - F.col("x0")).cast("long"), F.abs(F.col("y1") - F.col("y0")).cast("long")
+    sign = lambda a, b: F.when(F.col(b) < F.col(a), -1).otherwise(1)
+    own = rays.select("ray", "x0", "y0", dx.alias("_dx"), dy.alias("_dy"), sign("x0", "x1").alias("_sx"), sign("y0", "y1").alias("_sy"))
+    own = own.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_dx"))))
+    wide, across = F.nullif(2 * F.col("_dx"), F.lit(0)), 2 * F.col("_i") * F.col("_dy")
+    low = F.greatest(F.lit(0), F.coalesce(F.ceil((across - F.col("_dy") - F.col("_dx")) / wide), F.lit(0))).cast("long")
+    high = F.least(F.col("_dy"), F.coalesce(F.floor((across + F.col("_dy") + F.col("_dx")) / wide), F.col("_dy"))).cast("long")
+    own = own.withColumns({"_low": low, "_high": high}).withColumn("_j", F.explode(F.sequence("_low", "_high")))
+    step = F.col("_i") * (F.col("_dy") + 1) + F.col("_j")
+    return own.select("ray", step.alias("step"), (F.col("x0") + F.col("_sx") * F.col("_i")).alias("x"), (F.col("y0") + F.col("_sy") * F.col("_j")).alias("y"))
+
+
+def seen(steps: DataFrame, cells: DataFrame) -> DataFrame:
+    """steps (ray, step, x, y) -> the cells (x, y) that any ray shows: up to the first that isn't open or isn't on the map (x, y, open)."""
+    shut = ~F.coalesce(F.col("open"), F.lit(False))
     known = steps.join(cells.select("x", "y", "open"), ["x", "y"], "left")
-    stop = known.filter(~F.coalesce("open", F.lit(False))).groupBy("ray").agg(F.min("step").alias("_stop"))
-    return known.join(stop, "ray", "left").filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).select("x", "y").distinct()
+    stop = F.min(F.when(shut, F.col("step"))).over(Window.partitionBy("ray"))
+    return known.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("step") < F.col("_stop"))).select("x", "y").distinct()
 
 
 def hulls(points: DataFrame, key: str, parts: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import patches, rewards, spatial
+from ..operators import patches, rewards, scans, spatial
 from ..operators.registry import Registry
 from .episode_queries import STEPS, W, by, steps
 from .frame_queries import POINTS, points
@@ -139,8 +139,9 @@ def geo19_supercover(t: Tables) -> DataFrame:
 @query(COVER + ", m AS (SELECT c_custkey // 30 AS x, c_custkey % 30 AS y, c_custkey * 13 % 7 > 1 AS open FROM customer), k AS (SELECT l.*, coalesce(open, false) AS open FROM l LEFT JOIN m USING (x, y)), s AS (SELECT ray, min(step) AS stop FROM k WHERE NOT open GROUP BY ray) SELECT DISTINCT x, y FROM k LEFT JOIN s USING (ray) WHERE stop IS NULL OR step < stop")
 def geo19_seen_cells(t: Tables) -> DataFrame:
     k = c("c_custkey")
-    cells = t("customer").select(F.floor(k / 30).cast("int").alias("x"), (k % 30).cast("int").alias("y"), (k * 13 % 7 > 1).alias("open"))
-    return spatial.seen(rays(t), cells).select(c("x").cast("long").alias("x"), c("y").cast("long").alias("y"))
+    cells = t("customer").select(F.floor(k / 30).alias("x"), (k % 30).cast("long").alias("y"), (k * 13 % 7 > 1).alias("open"))
+    lines = t("customer").select(k.alias("ray"), lit(9).alias("x0"), lit(11).alias("y0"), F.floor(k / 30).alias("x1"), (k % 30).alias("y1"))
+    return spatial.seen(spatial.crossed(lines), cells).select(c("x").cast("long").alias("x"), c("y").cast("long").alias("y"))
 
 
 LINKED = """, links AS (SELECT a.i AS a, b.i AS b FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.v = b.v),
@@ -317,6 +318,39 @@ def win13_place_reward(t: Tables) -> DataFrame:
     return s.select("id", F.round(rewards.placing(c("v"), c("y"), c("has"), c("here"), by(), 10.0, 3.0, 2.0, 2.0), 5).alias("reward"))
 
 
+#: The joint's machine with its state handed from step to step.
+JOINT = STEPS.replace("WITH s", "WITH RECURSIVE s") + """, h AS (SELECT *, y / 16 AS st, (a = 'click')::INT AS g, (id % 3 = 0)::INT AS ok, (y >= 13)::INT AS th FROM s),
+r(ep, t, id, st, g, pm, pr, th, reward) AS (SELECT ep, t, id, st, g, v, x, th, CASE WHEN th = 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END FROM h WHERE t = 1
+UNION ALL SELECT h.ep, h.t, h.id, h.st, greatest(r.g, h.g), h.v, h.x, greatest(r.th, h.th), CASE WHEN h.th = 0 THEN 2.0::DOUBLE * (abs(r.st - 1) - abs(h.st - 1)) ELSE 0 END
+  + CASE WHEN h.g = 1 AND r.g = 0 THEN CASE WHEN ok = 1 THEN 10 ELSE -5 END ELSE 0 END
+  + CASE WHEN h.th = 1 THEN CASE WHEN r.th = 0 THEN 3 ELSE 0 END + 0.5::DOUBLE * (pr - h.x) WHEN h.g = 0 THEN 0.25::DOUBLE * (pm - h.v) ELSE 0 END
+FROM h JOIN r ON r.ep = h.ep AND h.t = r.t + 1)"""
+
+
+@query(JOINT + " SELECT ep, t, round(reward, 5) + 0.0::DOUBLE AS reward FROM r")
+def win13_joint_reward(t: Tables) -> DataFrame:
+    flag = lambda x: x.cast("int")
+    fold = rewards.articulated(1.0, 2.0, 10.0, 5.0, 3.0, 0.5, 0.25)
+    values = [c("y") / 16, flag(c("a") == "click"), flag(c("id") % 3 == 0), c("v"), c("x"), flag(c("y") >= 13)]
+    out = scans.scanned(steps(t), "ep", c("t"), values, fold, "t")
+    return out.select("ep", "t", (F.round("reward", 5) + 0.0).alias("reward"))
+
+
+#: Two objects in turn, with the stage handed from step to step.
+MOVING = STEPS.replace("WITH s", "WITH RECURSIVE s") + """, h AS (SELECT *, CASE a WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE -1 END AS held FROM s),
+r(ep, t, id, stage, pg, po, ph, given, reward) AS (SELECT ep, 0::BIGINT, NULL::BIGINT, 0, NULL::DOUBLE, NULL::DOUBLE, false, 0, 0.0::DOUBLE FROM h GROUP BY ep
+UNION ALL SELECT ep, t, id, nxt, CASE nxt WHEN 0 THEN y ELSE z END, CASE nxt WHEN 0 THEN v ELSE x END, hold, CASE WHEN picked THEN given | (1 << stage) ELSE given END, 2.0::DOUBLE * CASE WHEN hold THEN coalesce(pg, g) - g ELSE coalesce(po, o) - o END + CASE WHEN picked THEN 4 ELSE 0 END + CASE WHEN g < 2 AND NOT hold THEN 6 ELSE 0 END
+FROM (SELECT *, hold AND NOT ph AND (given >> stage) & 1 = 0 AS picked, CASE WHEN g < 2 AND NOT hold THEN 1 - stage ELSE stage END AS nxt
+  FROM (SELECT h.*, stage, pg, po, ph, given, CASE stage WHEN 0 THEN y ELSE z END AS g, CASE stage WHEN 0 THEN v ELSE x END AS o, held = stage AS hold FROM h JOIN r ON r.ep = h.ep AND h.t = r.t + 1)))"""
+
+
+@query(MOVING + " SELECT ep, t, round(reward, 5) + 0.0::DOUBLE AS reward FROM r WHERE id IS NOT NULL")
+def win13_moving_reward(t: Tables) -> DataFrame:
+    held = F.when(c("a") == "click", 0).when(c("a") == "view", 1).otherwise(-1)
+    out = scans.scanned(steps(t), "ep", c("t"), [held, c("y"), c("z"), c("v"), c("x")], rewards.moving(2, 2.0, 4.0, 6.0, 2.0), "t")
+    return out.select("ep", "t", (F.round("reward", 5) + 0.0).alias("reward"))
+
+
 @OWN.register("transformer")
 def halved(df: DataFrame) -> DataFrame:
     return df.withColumns({a: c(a) / 2 for a in "xyz"})

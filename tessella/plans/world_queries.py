@@ -96,10 +96,13 @@ def agg25_room_votes(t: Tables) -> DataFrame:
     return spatial.votes(spatial.in_regions(own, rooms(t), 10.0), own, "owner", "region").select("owner", "region", F.round("share", 6).alias("share"))
 
 
-@query(PLACES + " SELECT id % 20 AS owner, region FROM h GROUP BY ALL HAVING count(*) > 2")
+@query(PLACES + ", m AS (SELECT min(id) AS id FROM p GROUP BY id % 20) SELECT id % 20 AS owner, region, count(*) AS n FROM h GROUP BY ALL HAVING count(*) > 2 OR bool_or(id IN (SELECT id FROM m))")
 def agg26_containment(t: Tables) -> DataFrame:
-    hits = spatial.in_regions(places(t), rooms(t), 10.0).withColumn("owner", c("id") % 20)
-    return hits.groupBy("owner", "region").agg(F.count(lit(1)).alias("n")).filter("n > 2").select("owner", "region")
+    """An owner's keypoint of the least number is its middle."""
+    own = places(t).withColumn("owner", c("id") % 20)
+    middle = own.groupBy(c("owner").alias("_o")).agg(F.min("id").alias("_id"))
+    hits = spatial.in_regions(own, rooms(t), 10.0).join(middle, c("owner") == c("_o")).withColumn("middle", c("id") == c("_id"))
+    return spatial.contained(hits, "owner", "region", "middle", 2)
 
 
 @query(PLACES + " SELECT region AS n_nationkey, round(abs(sum(au * bv - bu * av)) / 2, 6) AS area FROM e GROUP BY region")
@@ -332,6 +335,15 @@ def stm1_changes(t: Tables) -> DataFrame:
     return deltas.changes(delta_rows(t), "k", "seq", "s").select("k", "seq", "s")
 
 
+BONES = "WITH b AS (SELECT l_orderkey AS k, l_linenumber AS seq, unnest([0, 1, 2]) AS bone, unnest([(l_quantity > 10)::INT, (l_suppkey % 5 > 0)::INT, l_linenumber // 4]) AS s FROM lineitem)"
+
+
+@query(BONES + ", m AS (SELECT *, row_number() OVER w = 1 OR lag(s) OVER w <> s AS moved FROM b WINDOW w AS (PARTITION BY k, bone ORDER BY seq)), a AS (SELECT *, bool_or(moved) OVER (PARTITION BY k, seq) AS told FROM m) SELECT k, seq, bone, s FROM a WHERE told")
+def stm1_rig_poses(t: Tables) -> DataFrame:
+    line = t("lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("seq"), F.posexplode(F.array((c("l_quantity") > 10).cast("int"), (c("l_suppkey") % 5 > 0).cast("int"), F.floor(c("l_linenumber") / 4).cast("int"))).alias("bone", "s"))
+    return deltas.rig_changes(line, "k", "seq", "bone", "s")
+
+
 @query(CHANGES + ", l AS (SELECT k, arg_max(op, seq) AS op, arg_max(v, seq) AS v, max(seq) AS seq FROM d WHERE seq <= (SELECT count(*) // 2 FROM events) GROUP BY k) SELECT k, v, seq FROM l WHERE op <> 'delete'")
 def stm2_replay(t: Tables) -> DataFrame:
     return deltas.replay(delta_rows(t), "k", "seq", "op", "v", t("events").count() // 2)

@@ -26,9 +26,11 @@ def sqlite_events(spark: SparkSession, path: str, table: str = "NVTX_EVENTS") ->
                 con = sqlite3.connect(":memory:")
                 con.deserialize(bytes(content))
                 there = con.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (table,)).fetchone()
-                rows = con.execute(f'SELECT rowid, start, "end", text, globalTid FROM "{table}" WHERE "end" IS NOT NULL').fetchall() if there else []
+                if there:
+                    found = con.execute(f'SELECT rowid, start, "end", text, globalTid FROM "{table}" WHERE "end" IS NOT NULL')
+                    while rows := found.fetchmany(50_000):
+                        yield pd.DataFrame([(file, *r) for r in rows], columns=names)
                 con.close()
-                yield pd.DataFrame([(file, *r) for r in rows], columns=names)
 
     if not table.isidentifier():
         raise ValueError(f"{table!r} is no table's name")

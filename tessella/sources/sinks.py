@@ -46,8 +46,8 @@ def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     return df.select(*[_fixed(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name) for f in df.schema])
 
 
-def _whole(rows: DataFrame, name: str, marks: tuple[str, str], path: str, mode: str) -> None:
-    """Lines of JSON (a column value) as gzipped files of one object each, {"name": [line, line, ...]} or with other marks: a file for each
+def _whole(rows: DataFrame, name: str, marks: tuple[str, str], path: str, mode: str, compression: str = "gzip") -> None:
+    """Lines of JSON (a column value) as files of one object each, {"name": [line, line, ...]} or with other marks: a file for each
     task, written line by line.  Tasks without lines write an object with none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def _whole(rows: DataFrame, name: str, marks: tuple[str, str], path: str, mode:
             yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
         yield pa.record_batch([[("" if lead == "," else lead) + marks[1] + "}"]], names=["value"])
 
-    rows.select("value").mapInArrow(run, "value string").write.mode(mode).option("compression", "gzip").text(path)
+    rows.select("value").mapInArrow(run, "value string").write.mode(mode).option("compression", compression).text(path)
 
 
 def dictionary(df: DataFrame, column: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -110,8 +110,8 @@ def replay(keyframes: DataFrame, path: str, incremental: bool = False, digits: i
     if incremental:
         own.sort("seq").select(F.struct(*fields).alias("keyframe")).write.mode("overwrite").json(path)
         return
-    every = own.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(*fields).alias("k")))), lambda x: x["k"]).alias("keyframes"))
-    every.write.mode("overwrite").json(path)
+    # one file, written line by line in the order of the sorted ranges; no task holds all keyframes
+    _whole(own.sort("seq").select(F.to_json(F.struct(*fields)).alias("value")).coalesce(1), "keyframes", ("[", "]"), path, "overwrite", "none")
 
 
 def scalars(metrics: DataFrame, path: str, step: str, prefix: str = "") -> None:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scans import Fold
+
 
 def changes(df: DataFrame, key: str, seq: str, state: str) -> DataFrame:
     """Only the rows whose state differs from the key's row before; the first always counts."""
@@ -18,6 +20,13 @@ def changes(df: DataFrame, key: str, seq: str, state: str) -> DataFrame:
     return df.withColumn("_b", before).withColumn("_n", first).filter((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(state))).drop("_b", "_n")
 
 
+def rig_changes(df: DataFrame, key: str, seq: str, bone: str, state: str) -> DataFrame:
+    """Of each key the whole poses (all bones of a seq) in which the state of any bone differs from that bone's row before; the first always counts."""
+    before, first = F.lag(state).over(w := Window.partitionBy(key, bone).orderBy(seq)), F.row_number().over(w)
+    moved = df.withColumn("_b", before).withColumn("_n", first).withColumn("_m", (F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(state)))
+    return moved.withColumn("_any", F.max("_m").over(Window.partitionBy(key, seq))).filter("_any").drop("_b", "_n", "_m", "_any")
+
+
 def replay(df: DataFrame, key: str, seq: str, op: str, state: str, until: int | None = None) -> DataFrame:
     """The live keys after keyframe `until` with their last state: what was deleted last is gone."""
     past = df if until is None else df.filter(F.col(seq) <= until)
@@ -139,3 +148,37 @@ def states(df: DataFrame, owner: str, state: str, value: str, seq: str, defaults
 def objects_in(snapshot: DataFrame, state: str, value: object) -> DataFrame:
     """The objects that have a value in a state."""
     return snapshot.filter((F.col("state") == state) & (F.col("value") == F.lit(value))).select("object")
+
+
+def folded_stream(stream: DataFrame, key: str, order: str, values: Sequence[str], fold: Fold) -> DataFrame:
+    """What scans.scanned() gives, over a stream: a key's state is kept between micro-batches; of each batch its rows come in order.
+
+    key long, order long; rows must not come later than ones behind them in order of an earlier batch."""
+    kept = ", ".join(f"s{i} double" for i in range(len(fold.start)))
+    told = [x.split()[0] for x in fold.schema.split(", ")]
+
+    def run(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = tuple(state.get) if state.exists else fold.start, []
+        for row in pd.concat(list(frames)).sort_values(order)[[order, *values]].itertuples(index=False):
+            now, made = fold.step(now, tuple(float(v) for v in row[1:]))
+            if made is not None:
+                out.append((k[0], row[0], *made))
+        state.update(now)
+        yield pd.DataFrame(out, columns=[key, order, *told])
+
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, {fold.schema}", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def fan_out(stream: DataFrame, user: str, seq: str, payload: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes to each user, batch by batch, a line {"keyframes": [...]} with the payloads meant for them in order of seq (path/batch=n/user=m).
+
+    `every` is the least time between batches (as '20 milliseconds'); without it what is there is written at once and the query ends.  A batch that
+    comes again replaces what it wrote."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        frames = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(payload).alias("p")))), lambda x: x["p"])
+        line = F.concat(F.lit('{"keyframes": ['), F.array_join(frames, ", "), F.lit("]}"))
+        batch.groupBy(user).agg(line.alias("value")).write.mode("overwrite").partitionBy(user).text(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

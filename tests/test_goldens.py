@@ -268,7 +268,7 @@ def test_datasets_and_writers(spark, tmp_path):
     assert one_frame.first().deletions == [1] and scenes.replay_keyframes(spark, "oops", "deletions ARRAY<BIGINT>").count() == 0
     frames_ = spark.createDataFrame([(1, 0.123456789), (0, 2.0)], "seq int, x double")
     sinks.replay(frames_, str(tmp_path / "r"), digits=3)
-    assert [k.x for k in spark.read.json(str(tmp_path / "r")).first().keyframes] == [2.0, 0.123]
+    assert [k.x for k in spark.read.option("multiLine", True).json(str(tmp_path / "r")).first().keyframes] == [2.0, 0.123]
     sinks.replay(frames_, str(tmp_path / "ri"), incremental=True)
     assert spark.read.json(str(tmp_path / "ri")).select("keyframe.x").count() == 2
     sinks.scalars(spark.createDataFrame([(1, 2.0, None, "t")], "step int, loss double, lr double, note string"), str(tmp_path / "m"), "step", "train/")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import scans
+from tessella.operators import rewards, scans
 
 
 def loop(fold, rows):
@@ -64,3 +64,19 @@ def test_empty_and_nulls(spark):
     assert scans.scanned(df, "k", F.col("t"), [F.col("v")], scans.hysteresis(1.0)).count() == 0
     one = spark.createDataFrame([(1, 1, None)], "k long, t long, v double")
     assert scans.scanned(one, "k", F.col("t"), [F.col("v")], scans.hysteresis(1.0)).first()["add"] == 0.0 and math.isnan(scans.hysteresis(1.0).start[0])
+
+
+def test_joint_reward():
+    """Nearer to the handle, gripped rightly, the joint moved, arrived once, back to rest; and a wrong grip, held from the start."""
+    fold = rewards.articulated(1.0, 10.0, 5.0, 7.0, 20.0, 2.0, 3.0)
+    rows = [(0.0, 0, 0, 4.0, 1.0, 0), (0.0, 0, 0, 3.0, 1.0, 0), (0.0, 1, 1, 0.0, 2.0, 0), (0.5, 1, 1, 0.0, 2.0, 0), (1.0, 1, 1, 0.0, 3.0, 1), (1.0, 0, 0, 1.0, 1.0, 1)]
+    assert [x[0] for _, x in loop(fold, enumerate(rows))] == [0.0, 3.0, 5.0, 5.0, 18.0, 4.0]
+    assert [x[0] for _, x in loop(fold, enumerate([(0.0, 0, 0, 1.0, 0.0, 0), (0.0, 1, 0, 1.0, 0.0, 0), (0.0, 0, 0, 1.0, 0.0, 0), (0.0, 1, 0, 1.0, 0.0, 0)]))] == [0.0, -7.0, 0.0, 0.0]
+    assert [x[0] for _, x in loop(fold, enumerate([(0.0, 1, 0, 1.0, 0.0, 0), (0.0, 1, 0, 1.0, 0.0, 0)]))] == [0.0, 0.0]
+
+
+def test_moving_reward():
+    """The first object is fetched and put down, then the second counts, with its own pick; a second grip of the first pays nothing."""
+    fold = rewards.moving(2, 1.0, 4.0, 9.0, 0.5)
+    rows = [(-1, 5.0, 8.0, 3.0, 2.0), (-1, 5.0, 8.0, 1.0, 2.0), (0, 5.0, 8.0, 0.0, 2.0), (-1, 5.0, 8.0, 0.5, 2.0), (0, 1.0, 8.0, 0.0, 2.0), (-1, 0.2, 8.0, 0.1, 6.0), (1, 0.2, 7.0, 0.1, 0.0), (1, 0.2, 3.0, 0.1, 0.0)]
+    assert [round(x[0], 9) for _, x in loop(fold, enumerate(rows))] == [0.0, 2.0, 4.0, -0.5, 4.0, 8.9, 5.0, 4.0]
