@@ -335,12 +335,13 @@ def stm1_changes(t: Tables) -> DataFrame:
     return deltas.changes(delta_rows(t), "k", "seq", "s").select("k", "seq", "s")
 
 
-BONES = "WITH b AS (SELECT l_orderkey AS k, l_linenumber AS seq, unnest([0, 1, 2]) AS bone, unnest([(l_quantity > 10)::INT, (l_suppkey % 5 > 0)::INT, l_linenumber // 4]) AS s FROM lineitem)"
+BONES = "WITH b AS (SELECT user_id AS k, event_id AS seq, unnest([0, 1, 2]) AS bone, unnest([(value > 30)::INT, (event_id % 5 > 0)::INT, (event_type = 'click')::INT]) AS s FROM events)"
 
 
 @query(BONES + ", m AS (SELECT *, row_number() OVER w = 1 OR lag(s) OVER w <> s AS moved FROM b WINDOW w AS (PARTITION BY k, bone ORDER BY seq)), a AS (SELECT *, bool_or(moved) OVER (PARTITION BY k, seq) AS told FROM m) SELECT k, seq, bone, s FROM a WHERE told")
 def stm1_rig_poses(t: Tables) -> DataFrame:
-    line = t("lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("seq"), F.posexplode(F.array((c("l_quantity") > 10).cast("int"), (c("l_suppkey") % 5 > 0).cast("int"), F.floor(c("l_linenumber") / 4).cast("int"))).alias("bone", "s"))
+    states = F.array(*[x.cast("int") for x in (c("value") > 30, c("event_id") % 5 > 0, c("event_type") == "click")])
+    line = t("events").select(c("user_id").alias("k"), c("event_id").alias("seq"), F.posexplode(states).alias("bone", "s"))
     return deltas.rig_changes(line, "k", "seq", "bone", "s")
 
 
