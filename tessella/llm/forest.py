@@ -173,8 +173,10 @@ def alike(values: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
         dense = np.zeros((n, WIDE), np.float32)
         dense[row[lo:hi], place[lo:hi] - c] = 1
         both += dense @ dense.T
-    size = size.astype(np.float64)
-    out = 100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both)
+    size, out = size.astype(np.float64), np.empty((n, n), bool)
+    for a in range(0, n, 100):  # some rows at a time
+        part = both[a : a + 100].astype(np.float64)
+        out[a : a + 100] = 100 * part >= percent * (size[a : a + 100, None] + size[None, :] - part)
     np.fill_diagonal(out, False)
     return out
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+#: Bytes of text that one numpy pass handles; a longer text is a pass of its own.  A pass holds up to 100 times as much in arrays, in each worker.
+PASS_BYTES = 1 << 18
 #: Words of more bytes are hashed one by one.
 LONG = 64
 #: Java and SQL form of a word: a run without ASCII white space.

@@ -55,3 +55,22 @@ def test_texts_longer_than_a_pass(spark):
         if hashlib.md5(" ".join(w[i : i + 35]).encode()).digest() in twice:
             gone.update(range(i, i + 35))
     assert got[2].n_removed == len(gone)
+
+
+def test_memory_of_a_pass():
+    """Each core's worker holds a pass; two of 107 MB did not fit beside an executor's heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessella.llm import toxicity
+
+    texts = pa.array([prose(7, 400) + f" {i}" for i in range(2000)])
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS + 1, np.float32), 0.0, 0.0)
+    tracemalloc.start()
+    model.scores(*kernels.column(texts))
+    for _ in forest.lowered(pa.record_batch([texts], ["text"])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
