@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -106,7 +107,9 @@ def to_local(point: Column, origin: Column, rotation: Column) -> Column:
 
 
 def polar(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.sqrt(a * a + b * b), F.atan2(b, a)
+    """Radius and angle of (a, b).  Spark's atan2 takes -0.0 for 0.0, which are half a turn to either side where a is negative."""
+    under = (b == 0) & (a < 0) & (b.cast("string") == "-0.0")
+    return F.sqrt(a * a + b * b), F.when(under, -math.pi).otherwise(F.atan2(b, a))
 
 
 def point_goal(local: Column) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings
@@ -146,7 +146,11 @@ POINTS = "WITH v AS (SELECT vec_id AS id, label AS frame, round(embedding[1]::DO
 
 
 def points(t: Tables) -> DataFrame:
-    p = lambda i: F.round(F.get("embedding", lit(i)).cast("double") * 4, 3)
+    def p(i: int) -> Column:
+        """Rounded as SQL does it, which keeps the sign of what becomes 0; an angle's sign hangs on it."""
+        v = F.get("embedding", lit(i)).cast("double") * 4
+        return F.when(F.round(v, 3) == 0, v * 0.0).otherwise(F.round(v, 3))
+
     return t("embeddings").select(c("vec_id").alias("id"), c("label").alias("frame"), p(0).alias("x"), p(1).alias("y"), p(2).alias("z"))
 
 

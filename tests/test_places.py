@@ -75,3 +75,12 @@ def test_rays_stop(spark, monkeypatch):
     cells = spark.createDataFrame([(x, y, x != 3) for x in range(6) for y in range(-3, 4)], "x long, y long, open boolean")
     assert {(r.x, r.y) for r in spatial.seen(rays, cells).collect()} == {(0, 0), (1, 0), (2, 0)}
     assert sum(made) < 20 * 20
+
+
+def test_negative_zeros(spark):
+    """Rounded to -0.0, as in SQL: ahead and a little to one side is half a turn that way."""
+    table = spark.createDataFrame([(1, 0, [-0.00001, 0.5, 1.0]), (2, 0, [0.00001, 0.5, 1.0])], "vec_id long, label long, embedding array<float>")
+    t = lambda name: table
+    assert {r.id: r.bearing for r in world_queries.geo1_lengths(t).collect()} == {1: 3.141593, 2: -3.141593}
+    assert {r.id: r.phi for r in sensor_queries.geo5_point_goal(t).collect()} == {1: 3.141593, 2: -3.141593}
+    assert {r.id: str(r.x) for r in frame_queries.points(t).collect()} == {1: "-0.0", 2: "0.0"}
