@@ -13,6 +13,8 @@ AXES = ("x", "y", "z")
 CORNERS = [f"{v}{d}" for v in "abc" for d in AXES]
 #: Part of a round's radius within which what it finds counts, so that rounding at the edges of cells can't hide anything.
 SAFE = 0.999
+#: Points of one cell that one task compares with the cell's triangles.
+CROWD = 2000
 
 Point = tuple[Column, Column, Column]
 
@@ -80,9 +82,11 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float | None
     use; a pair is made in one cell only.  Nothing grows with the span of the mesh but the number of rounds, which is its logarithm.
 
     `cell` is the edge of the finest cells, the mean extent of the triangles if not given.  Points that are alike are
-    searched for once.  Points and triangles with a missing, undefined or infinite coordinate take no part; without triangles
-    there are no rows."""
+    searched for once, and triangles with the same corners are compared once, by the smallest name.  A cell's points are dealt to as many
+    parts as they fill, and only cells with points keep triangles.  Points and triangles with a missing, undefined or infinite coordinate
+    take no part; without triangles there are no rows."""
     mesh = triangles.select("triangle", *[F.col(c).cast("double").alias(c) for c in CORNERS]).filter(_finite(CORNERS))
+    mesh = mesh.groupBy(*CORNERS).agg(F.when(F.count("triangle") == F.count(F.lit(1)), F.min("triangle")).alias("triangle"))  # no name comes first
     ends = {f"_{n}{d}": f(*[F.col(f"{v}{d}") for v in "abc"]) for d in AXES for n, f in (("lo", F.least), ("hi", F.greatest))}
     mesh = mesh.withColumns(ends).withColumn("_extent", F.greatest(*[F.col(f"_hi{d}") - F.col(f"_lo{d}") for d in AXES]))
     size = mesh.agg(F.avg("_extent").alias("mean"), F.count(F.lit(1)).alias("n")).first()
@@ -91,6 +95,7 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float | None
     mesh = cut(mesh.fillna({"_class": 0}).drop("_extent"))
     classes = sorted(r["_class"] for r in mesh.select("_class").distinct().collect())  # a power of two each
     own = points.select("id", *[F.col(d).cast("double").alias(d) for d in AXES]).filter(_finite(list(AXES)))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo, done, level = own.select(*AXES).distinct(), [], 0
     while size["n"]:
         radius = edge * 2.0**level / 2
@@ -109,7 +114,13 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float | None
         reach = F.greatest(*[x for d in AXES for x in (F.col(f"_lo{d}") - F.col(d), F.col(d) - F.col(f"_hi{d}"))]) <= radius
         near = near.select(*AXES, *[f"_p{d}" for d in AXES], here)
         laid = laid.select("triangle", *CORNERS, *[f"_{n}{d}" for d in AXES for n in ("lo", "hi", "f")], there)
-        pairs = near.join(laid, F.col("_here") == F.col("_there")).filter(once & reach)
+        parts = cut(near.groupBy(F.col("_here").alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("_parts")))
+        part = lambda cell, k: F.struct(F.col(f"{cell}.g").alias("g"), F.col(f"{cell}.c").alias("c"), k.alias("k"))
+        near = near.join(parts, F.col("_here") == F.col("_cell")).withColumn("_here", part("_here", F.pmod(F.xxhash64(*AXES), "_parts"))).drop("_cell", "_parts")
+        laid = laid.join(parts, F.col("_there") == F.col("_cell")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        laid = laid.withColumn("_there", part("_there", F.col("_k"))).drop("_cell", "_parts", "_k")
+        # a number of partitions of its own: what a row meets is not told by its bytes, so small partitions must not be merged
+        pairs = near.repartition(tasks, "_here").join(laid, F.col("_here") == F.col("_there")).filter(reach & once)
         pairs = closest(pairs.select(*AXES, "triangle", *CORNERS))
         # within the aggregate: a filter would be pushed below and written out once for each use of each part of the formula
         found = F.when(F.col("_d2") <= (SAFE * radius) ** 2, F.struct("_d2", "triangle", *[f"snap_{d}" for d in AXES]))

@@ -77,3 +77,20 @@ def test_navigable(spark):
     dots = spark.createDataFrame([(1, 2.0, 0.2, 2.0), (2, 2.0, 1.4, 2.0), (3, -0.5, 0.0, 2.0), (4, 2.0, 2.8, 3.0), (5, 9.0, 0.0, 9.0)], POINT)
     snaps = mesh.nearest_triangle(dots, spark.createDataFrame(floor, TRIANGLE))
     assert sorted(r.id for r in spatial.navigable(dots, snaps.drop("x", "y", "z")).collect()) == [1, 4]
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Triangles with the same corners make no pairs of their own; points of one cell are dealt to several parts and lose nothing."""
+    rng, counts, formula = random.Random(7), [], mesh.closest
+    monkeypatch.setattr(mesh, "closest", lambda df: (counts.append(df.count()), formula(df))[1])
+    monkeypatch.setattr(mesh, "CROWD", 3)
+    table = shapes(30, 8)
+    dots = spark.createDataFrame([(i, *[rng.uniform(-20, 20) for _ in range(3)]) for i in range(40)], POINT)
+    answers = []
+    for copies in (1, 20):
+        rows = [(t[0] + 1000 * k, *t[1:]) for k in reversed(range(copies)) for t in table]
+        answers.append((sorted(map(tuple, mesh.nearest_triangle(dots, spark.createDataFrame(rows, TRIANGLE)).collect())), sum(counts)))
+        counts.clear()
+    assert answers[0] == answers[1]
+    for p in answers[0][0]:
+        assert p[-1] == pytest.approx(min(nearest_on(p[1:4], t[1:4], t[4:7], t[7:10], 12) for t in table), abs=1e-7)
