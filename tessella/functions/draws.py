@@ -41,10 +41,10 @@ def normal(seed: str, *keys: Column | str | int) -> Column:
 
 
 def truncated(mean: Column, deviation: Column, low: Column, high: Column, seed: str, *keys: Column | str | int) -> Column:
-    """A normal deviate between two bounds (in deviations from the mean): the first of TRIES draws that lies there."""
-    z = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda j: normal(seed, *keys, j))
-    inside = F.get(F.filter(z, lambda x: x.between(low, high)), F.lit(0))
-    return mean + deviation * F.coalesce(inside, F.least(F.greatest(F.get(z, F.lit(0)), low), high))
+    """A normal deviate between two bounds (in deviations from the mean): the first of TRIES draws that lies there; later ones aren't drawn."""
+    ok = lambda j: F.get(F.filter(F.array(normal(seed, *keys, j)), lambda x: x.between(low, high)), F.lit(0))
+    inside = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda z, j: F.when(z.isNotNull(), z).otherwise(ok(j)))
+    return mean + deviation * F.coalesce(inside, F.least(F.greatest(normal(seed, *keys, 0), low), high))
 
 
 def poisson(rate: Column, u: Column) -> Column:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions import draws
@@ -49,6 +50,14 @@ def test_truncated(spark):
     assert min(r.z for r in got) >= 1.95 and max(r.z for r in got) <= 3.5 and {r.far for r in got} == {8.0}
 
 
+def test_truncated_draws_no_more(spark, monkeypatch):
+    """What comes after the first deviate between the bounds isn't drawn."""
+    column = lambda j: j if isinstance(j, Column) else F.lit(j)
+    monkeypatch.setattr(draws, "normal", lambda seed, *keys: F.when(column(keys[-1]) < 3, column(keys[-1]) / 4.0).otherwise(F.raise_error(F.lit("drawn")).cast("double")))
+    z = draws.truncated(F.lit(0.0), F.lit(1.0), F.lit(0.4), F.lit(0.6), "t", F.col("id"))
+    assert {r.z for r in spark.range(5).select(z.alias("z")).collect()} == {0.5}
+
+
 def test_on_mesh(spark):
     """Triangles are hit in proportion to their areas, places lie in them, a scene without area has none."""
     table = [(1, 1, *[0.0] * 3, 4.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 2, *[10.0] * 3, 10.0, 10.0, 16.0, 12.0, 10.0, 10.0), (1, 3, *[5.0] * 9), (2, 9, *[1.0] * 9), (None, 7, *[0.0] * 3, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
