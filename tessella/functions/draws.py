@@ -50,8 +50,13 @@ def truncated(mean: Column, deviation: Column, low: Column, high: Column, seed:
 def poisson(rate: Column, u: Column) -> Column:
     """The count of a Poisson process by inversion: the number of counts whose summed probability isn't above u.  For rates up to some
     700, beyond which the probability of 0 is none in doubles."""
-    last = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
     pair = lambda p, c, k: F.struct(p.alias("p"), c.alias("c"), k.alias("k"))
-    none = F.exp(-rate)
-    step = lambda s, i: F.when(s["c"] > u, s).otherwise(pair(s["p"] * rate / i, s["c"] + s["p"] * rate / i, i))
-    return F.aggregate(F.sequence(F.lit(1), last), pair(none, none, F.lit(0)), step, lambda s: s["k"])
+
+    def count(x: Column) -> Column:
+        rate, u = x["rate"], x["u"]
+        last, none = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int"), F.exp(-rate)
+        step = lambda s, i: F.when(s["c"] > u, s).otherwise(pair(s["p"] * rate / i, s["c"] + s["p"] * rate / i, i))
+        return F.aggregate(F.sequence(F.lit(1), last), pair(none, none, F.lit(0)), step, lambda s: s["k"])
+
+    # bound to a name, as a step would otherwise work them out anew
+    return F.get(F.transform(F.array(F.struct(rate.alias("rate"), u.alias("u"))), count), F.lit(0))

@@ -43,6 +43,12 @@ def test_poisson_inversion(spark):
         assert r.k == k
 
 
+def test_poisson_draws_once(spark):
+    """The number and the rate are worked out once, not anew at every step."""
+    plan = spark.range(1).select(draws.poisson(F.col("id") + 0.5, draws.uniform("p", F.col("id"))).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("+ 0.5)") == 1
+
+
 def test_truncated(spark):
     z = draws.truncated(F.lit(2.0), F.lit(0.5), F.lit(-0.1), F.lit(3.0), "t", F.col("id"))
     far = draws.truncated(F.lit(0.0), F.lit(1.0), F.lit(8.0), F.lit(9.0), "t", F.col("id"))
