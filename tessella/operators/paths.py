@@ -54,11 +54,13 @@ def corridors(edges: DataFrame, wanted: DataFrame, most: int = 256) -> DataFrame
     """edges (src, dst, weight), wanted (source, goal) -> source, goal, cost, corridor: the polygons of the cheapest way, of equally cheap ones the
     first by its polygons; no row where there is none within `most` polygons.
 
-    All sources are searched at once, each only as far as what improved in the last round leads, and each place keeps one way."""
+    All sources are searched at once, each only as far as what improved in the last round leads, and each place keeps one way.  Edges are
+    made once, not in every round, and no round sends rows by way of the driver."""
+    edges = cut(edges.select("src", "dst", "weight"))
     best = cut(wanted.select("source").distinct().select("source", F.col("source").alias("vertex"), F.lit(0.0).alias("cost"), F.array("source").alias("way")))
     front, rank = best, lambda c, w: F.struct(F.col(c).alias("cost"), F.col(w).alias("way"))
     for _ in range(most - 1):
-        step = front.join(edges.select("src", "dst", "weight"), F.col("vertex") == F.col("src"))
+        step = front.hint("merge").join(edges.hint("merge"), F.col("vertex") == F.col("src"))
         step = step.select("source", F.col("dst").alias("vertex"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("way", F.array("dst")).alias("way"))
         new = step.groupBy("source", "vertex").agg(F.min(rank("cost", "way")).alias("_new"))
         both = cut(best.join(new, ["source", "vertex"], "full_outer").withColumn("_better", F.col("_new").isNotNull() & (F.col("cost").isNull() | (F.col("_new") < rank("cost", "way")))))
@@ -69,12 +71,12 @@ def corridors(edges: DataFrame, wanted: DataFrame, most: int = 256) -> DataFrame
             break
         best = best.drop("_better")
     found = best.select(F.col("source").alias("_s"), F.col("vertex").alias("_v"), "cost", F.col("way").alias("corridor"))
-    return wanted.select("source", "goal").distinct().join(found, (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_v"))).drop("_s", "_v")
+    return wanted.select("source", "goal").distinct().join(found.hint("merge"), (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_v"))).drop("_s", "_v")
 
 
 def gates(portals: DataFrame, centres: DataFrame) -> DataFrame:
     """portals (src, dst, p, q: ends of the shared edge), centres (poly, centre) -> src, dst, left, right as seen from inside src."""
-    out = portals.join(centres.select(F.col("poly").alias("_p"), "centre"), F.col("src") == F.col("_p"))
+    out = portals.join(centres.select(F.col("poly").alias("_p"), "centre").hint("merge"), F.col("src") == F.col("_p"))
     x = lambda n, i: F.get(F.col(n), F.lit(i))
     side = (x("p", 0) - x("centre", 0)) * (x("q", 2) - x("centre", 2)) - (x("p", 2) - x("centre", 2)) * (x("q", 0) - x("centre", 0))
     return out.select("src", "dst", F.when(side > 0, F.col("q")).otherwise(F.col("p")).alias("left"), F.when(side > 0, F.col("p")).otherwise(F.col("q")).alias("right"))
@@ -93,11 +95,11 @@ def straight_paths(trips: DataFrame, edges: DataFrame, openings: DataFrame, most
     """trips (id, goal_id, source, goal: polygons; start, end: places in them), edges (src, dst, weight), openings (src, dst, left, right) -> id, goal_id,
     distance, points: the taut line through the cheapest corridor; infinity and no points where there is none."""
     ways = cut(corridors(edges, trips.select("source", "goal"), most)).select(F.col("source").alias("_s"), F.col("goal").alias("_g"), "corridor")
-    own = trips.join(ways, (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_g")), "left").drop("_s", "_g")
+    own = trips.join(ways.hint("merge"), (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_g")), "left").drop("_s", "_g")
     steps = ways.select("_s", "_g", "corridor", F.posexplode(F.sequence(F.lit(0), F.size("corridor") - 1)).alias("at", "_i")).withColumns({"src": F.get("corridor", F.col("at")), "dst": F.get("corridor", F.col("at") + 1)}).filter("dst IS NOT NULL")
-    told = steps.join(openings, ["src", "dst"]).groupBy("_s", "_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "left", "right"))), lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"))).alias("gates"))
+    told = steps.join(openings.hint("merge"), ["src", "dst"]).groupBy("_s", "_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "left", "right"))), lambda x: F.struct(x["left"].alias("left"), x["right"].alias("right"))).alias("gates"))
     none = F.array().cast("array<struct<left:array<double>,right:array<double>>>")
-    rows = own.filter("corridor IS NOT NULL").join(told, (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_g")), "left")
+    rows = own.filter("corridor IS NOT NULL").join(told.hint("merge"), (F.col("source") == F.col("_s")) & (F.col("goal") == F.col("_g")), "left")
     rows = rows.select("id", "goal_id", "start", "end", F.coalesce("gates", none).alias("gates"))
     kind = {f.name: f.dataType.simpleString() for f in trips.schema}
     met = rows.mapInArrow(_pulled, f"id {kind['id']}, goal_id {kind['goal_id']}, distance double, points array<array<double>>")

@@ -210,13 +210,13 @@ def gra4_straight_paths(t: Tables) -> DataFrame:
     cells = t("customer").filter(k * 13 % 7 > 1).select(k.alias("poly"), F.floor(k / 30).alias("r"), (k % 30).alias("q"))
     other = cells.select(c("poly").alias("dst"), c("r").alias("_r"), c("q").alias("_q"))
     beside = cells.withColumn("_o", F.explode(F.array(*[F.struct(lit(a).alias("a"), lit(b).alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])))
-    pairs = beside.join(other, (c("r") + c("_o.a") == c("_r")) & (c("q") + c("_o.b") == c("_q")))
+    pairs = beside.join(other.hint("merge"), (c("r") + c("_o.a") == c("_r")) & (c("q") + c("_o.b") == c("_q")))
     x, z = F.greatest("q", "_q"), F.greatest("r", "_r")
     portals = pairs.select(c("poly").alias("src"), "dst", spot(x, z).alias("p"), F.when(c("r") == c("_r"), spot(x, z + 1)).otherwise(spot(x + 1, z)).alias("q"))
     centres = cells.select("poly", spot(c("q") + 0.5, c("r") + 0.5).alias("centre"))
     edges = portals.select("src", "dst", lit(1.0).alias("weight"))
     ends = cells.select(c("poly").alias("goal"), spot(c("q") + 0.25, c("r") + 0.75).alias("end"))
     trips = cells.filter("poly % 50 = 1").select(c("poly").alias("id"), c("poly").alias("source"), spot(c("q") + 0.5, c("r") + 0.25).alias("start"), F.explode(F.array(*[c("poly") + d for d in (7, 40, 95)])).alias("goal"))
-    trips = trips.join(ends, "goal").withColumn("goal_id", c("goal"))
+    trips = trips.join(ends.hint("merge"), "goal").withColumn("goal_id", c("goal"))
     out = paths.nearest(paths.straight_paths(trips, edges, paths.gates(portals, centres)))
     return out.select("id", "goal_id", F.round("distance", 6).alias("distance"), F.size("points").alias("corners"))

@@ -72,3 +72,15 @@ def test_straight_paths(spark):
     best = {r.id: (r.goal_id, r.distance) for r in paths.nearest(paths.straight_paths(df, edges, openings)).collect()}
     assert best[1] == (name[0, 5], 5.0) and best[2] == (-1, math.inf)
     assert paths.straight_paths(df, edges, openings, most=3).filter("id = 1 AND distance < 1000").count() == 0
+
+
+def test_nothing_by_way_of_the_driver(spark, monkeypatch):
+    """No round broadcasts the edges or the places reached, however few they are here."""
+    plans, real = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in (i - 1, i + 1)], "src long, dst long, weight double")
+    wanted = spark.createDataFrame([(0, 5), (3, 1)], "source long, goal long")
+    got = paths.corridors(edges, wanted)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {(r.source, r.goal): r.corridor for r in got.collect()} == {(0, 5): [0, 1, 2, 3, 4, 5], (3, 1): [3, 2, 1]}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
