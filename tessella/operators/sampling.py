@@ -16,6 +16,8 @@ from .ranges import running
 
 #: Areas are summed as whole numbers of this part of a unit, so that sums don't depend on how rows are dealt.
 PARTS = 1_000_000
+#: Scenes whose two numbers go to all tasks.
+FEW = 10_000
 
 
 def prefix_areas(triangles: DataFrame, scene: str = "scene") -> DataFrame:
@@ -23,7 +25,8 @@ def prefix_areas(triangles: DataFrame, scene: str = "scene") -> DataFrame:
     triangle), _width (of a cell) and _cell, a row for each cell that a triangle touches; those without area are left out.
 
     A scene has as many cells as triangles, so there are at most two rows for each on average, and no cell has more than it touches."""
-    own = triangles.withColumn("_area", F.round(area() * PARTS).cast("long")).filter("_area > 0")
+    tasks = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = triangles.withColumn("_area", F.round(area() * PARTS).cast("long")).repartition(tasks, scene, "triangle").filter("_area > 0")
     own = running(own, [F.col(scene), F.col("triangle")], F.col("_area"), "_lo")
     per = own.groupBy(F.col(scene).alias("_s")).agg(F.min("_lo").alias("_first"), F.sum("_area").alias("_total"), F.count(F.lit(1)).alias("_n"))
     own = own.join(per, F.col(scene).eqNullSafe(F.col("_s"))).drop("_s")
@@ -36,8 +39,10 @@ def prefix_areas(triangles: DataFrame, scene: str = "scene") -> DataFrame:
 def on_mesh(draws: DataFrame, areas: DataFrame, seed: str, keys: Sequence[str], scene: str = "scene", keep: Sequence[str] = ()) -> DataFrame:
     """draws (scene and keys) -> adds triangle, x, y, z (and the triangle's `keep`): a place of the scene's mesh, all places equally likely.
 
-    One number finds the triangle among the summed areas (prefix_areas), two more the place in it.  Scenes without area have no rows."""
+    One number finds the triangle among the summed areas (prefix_areas), two more the place in it.  Scenes without area have no rows.
+    Draws aren't dealt by scene as long as scenes are few: the tasks would be as few."""
     total = areas.groupBy(F.col(scene).alias("_s")).agg(F.first("_total").alias("_t"), F.first("_width").alias("_w"))
+    total = F.broadcast(total) if total.limit(FEW + 1).count() <= FEW else total
     names = [F.col(k) for k in (scene, *keys)]
     v, w = uniform_pair(seed, "place", *names)
     own = draws.join(total, F.col(scene).eqNullSafe(F.col("_s"))).drop("_s")
@@ -55,9 +60,11 @@ def first_accepted(keys: DataFrame, propose: Callable[[DataFrame], DataFrame], t
     proposal for; what it draws depends on a row's key and attempt alone.  Rounds of doubling numbers of attempts go on only for
     keys that have none accepted.  A key without one keeps its row, with null in attempt and all that propose adds."""
     todo, done, first = keys, [], 0
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while first < tries:
         past = min(tries, first + batch)
-        good = propose(todo.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(past - 1))))).filter("ok").drop("ok")
+        # a number of partitions of its own: what a key takes is not told by its bytes, so small partitions must not be merged
+        good = propose(todo.repartition(tasks, *keys.columns).withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(past - 1))))).filter("ok").drop("ok")
         rest = [c for c in good.columns if c not in keys.columns]
         best = cut(good.groupBy(*keys.columns).agg(F.min_by(F.struct(*rest), "attempt").alias("_best")).select(*keys.columns, "_best.*"))
         done.append(best)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import draws
 from tessella.operators import mesh, noise, sampling
+from tessella.operators.lineage import cut
 
 TRIANGLE = "scene long, triangle long, " + ", ".join(f"{c} double" for c in mesh.CORNERS)
 
@@ -76,6 +77,19 @@ def test_on_mesh(spark):
     assert sorted(got, key=str) == sorted(sampling.on_mesh(own, areas, "m", ["id"]).collect(), key=str)
 
 
+def test_draws_are_not_dealt_by_scene(spark):
+    """With few scenes the draws stay where they are until their triangle is known; as many scenes as are too many give the same places."""
+    table = [(s, t, *[float(t)] * 3, t + 4.0, 0.0, 0.0, 0.0, 0.0, 1.0) for s in (1, 2) for t in range(3)]
+    areas = cut(sampling.prefix_areas(spark.createDataFrame(table, TRIANGLE)))
+    own = cut(spark.range(60).selectExpr("id % 2 + 1 AS scene", "id"))
+    got = sampling.on_mesh(own, areas, "m", ["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sampling, "FEW", 1)
+        assert sorted(map(tuple, sampling.on_mesh(own, areas, "m", ["id"]).collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_first_accepted(spark):
     """The first good attempt by a number of its own, whatever the rounds; keys without one stay with nulls."""
     keys = spark.range(300).select((F.col("id") % 100).alias("k"), F.when(F.col("id") >= 100, F.col("id")).alias("j")).distinct()
