@@ -14,7 +14,7 @@ from .components import components
 from .kernels import LOWER, U64, column, mix, passes, shingles
 from .native import narrow
 from .repeats import _pack, unpack
-from .store import cut, tidy
+from .store import cut, in_batches, tidy
 
 SHINGLE = 5
 #: Percent of the union that two sets of shingles must share.
@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(df: DataFrame) -> DataFrame:
     """The same rows with `text` compressed: less to shuffle and keep on disk where whole texts must move."""
-    return df.mapInArrow(_pack, StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in df.schema.fields]))
+    return in_batches(df, _pack, StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in df.schema.fields]))
 
 
 def unpacked(df: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def unpacked(df: DataFrame) -> DataFrame:
                 texts = pa.array([None if x is None else unpack(x).decode() for x in batch.column(at).to_pylist()], pa.string())
                 yield pa.record_batch([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return df.mapInArrow(run, StructType([StructField(f.name, StringType()) if f.name == "text" else f for f in df.schema.fields]))
+    return in_batches(df, run, StructType([StructField(f.name, StringType()) if f.name == "text" else f for f in df.schema.fields]))
 
 
 def few(df: DataFrame, n: int, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -235,7 +235,7 @@ def compared(rows: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     # a number of its own: a comparison costs far more than its bytes tell, so small partitions must not be merged
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = bodies.select("node", "text").join(rows, "node").repartition(tasks, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, LINKS)
+    return in_batches(dealt, run, LINKS)
 
 
 def crowd_links(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -289,8 +289,8 @@ def rest_pairs(members: DataFrame, bodies: DataFrame, percent: int = PERCENT) ->
     shingles that no other has are among its rarest and make no pairs; nor do those of one label, so a connected group
     makes none, however large."""
     own = cut(bodies.select("node", "text").join(members.select("node", F.xxhash64("crowd").alias("crowd")), "node"))
-    often = own.select("crowd", "text").mapInArrow(_tallies, "crowd long, g long, n long").groupBy("crowd", "g").agg(F.sum("n").alias("n")).filter("n > 1")
-    shared = own.mapInArrow(_shingles, "crowd long, g long, node binary").join(often.repartition(F.xxhash64("crowd", "g")), ["crowd", "g"])
+    often = in_batches(own.select("crowd", "text"), _tallies, "crowd long, g long, n long").groupBy("crowd", "g").agg(F.sum("n").alias("n")).filter("n > 1")
+    shared = in_batches(own, _shingles, "crowd long, g long, node binary").join(often.repartition(F.xxhash64("crowd", "g")), ["crowd", "g"])
     ranked = shared.groupBy("node").agg(F.first("crowd").alias("crowd"), F.sort_array(F.collect_list(F.struct("n", "g"))).alias("_t"))
     ranked = ranked.join(members.select("node", "n_shingles", "label"), "node")
     # the first of all its shingles are those of its own
@@ -322,7 +322,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> Da
 
     body = bodies.repartition(F.xxhash64("node"))  # so that Spark may split a hot node
     out = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("_p")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("_q")), "b")
-    return out.mapInArrow(run, "a binary, b binary")
+    return in_batches(out, run, "a binary, b binary")
 
 
 def whole_crowds(members: DataFrame, bodies: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -372,7 +372,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Nodes that share a region of the forest are a crowd; all pairs of a small crowd meet in one task, and large crowds are
     compared part by part and then, exactly, by the rarest shingles of what isn't linked yet."""
     own = narrow(docs, "doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
-    signed = cut(own.mapInArrow(_sign, SIGNED))
+    signed = cut(in_batches(own, _sign, SIGNED))
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("lead").alias("lead"), F.min("_text_hash").alias("_h"))
     nodes = cut(nodes)
     members = cut(crowds(nodes))

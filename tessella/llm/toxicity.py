@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import LOWER, U64, _BASE, _BYTE, column, mix, passes, powers
 from .native import narrow
+from .store import in_batches
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -180,7 +181,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             if batch.num_rows:
                 yield batch.append_column(name, pa.array(own.scores(*column(batch.column("text")))))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

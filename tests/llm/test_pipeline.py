@@ -1,3 +1,4 @@
+import uuid
 from collections import Counter
 
 import pytest
@@ -75,3 +76,30 @@ def test_queries_are_registered(spark):
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_texts_go_to_python_a_few_mb_at_a_time(spark, folder, tmp_path, monkeypatch):
+    """Rows of one partition, 20 MB, are held neither outside the JVM's heap nor in a worker as one batch."""
+    seen, frame = tmp_path / "seen", type(spark.range(0))
+    plain = frame.mapInArrow
+    seen.mkdir()
+
+    def noted(df, run, schema):
+        def sized(batches):
+            for b in batches:
+                (seen / f"{uuid.uuid4().hex}-{b.nbytes}").touch()
+                yield b
+
+        return plain(df, lambda batches: run(sized(batches)), schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    long = [(i, prose(9000 + i % 20, 1500), "en", "s1", 0) for i in range(2000)]
+    spark.createDataFrame(long, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/long")
+    docs = spark.read.parquet(f"{tmp_path}/long")
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "pii"):
+            before = set(seen.iterdir())
+            stage(spark, docs, folder).write.format("noop").mode("overwrite").save()
+            sizes = [int(p.name.split("-")[1]) for p in set(seen.iterdir()) - before]
+            assert sum(sizes) >= size > 15_000_000 and max(sizes) < 6_000_000, name
