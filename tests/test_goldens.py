@@ -298,6 +298,16 @@ def test_relations(spark):
         assert got == ([want] if want else [])
 
 
+def test_relations_of_few_bytes_are_made_by_several_tasks(spark):
+    """400 rows of one partition, some thousand pairs: each pair once, and not all by the task that reads the rows."""
+    at = [(i % 5, i, [i * 7 % 13 / 9, i * 5 % 11 / 9, i * 3 % 17 / 9]) for i in range(400)]
+    df = spark.createDataFrame(at, "f int, o int, c array<double>").coalesce(1)
+    got = frames.relations(df, "f", "o", "c").withColumn("task", F.spark_partition_id()).collect()
+    near = {(x[1], y[1]) for x in at for y in at if x[0] == y[0] and x[1] < y[1] and sum((p - q) ** 2 for p, q in zip(x[2], y[2], strict=True)) ** 0.5 <= 1.5}
+    assert Counter((r.i, r.j) for r in got) == Counter(near)
+    assert len({r.task for r in got}) > 1
+
+
 def test_metrics(spark):
     assert one(spark, metrics.spl(F.lit(1.0), F.lit(5.0), F.lit(7.0))) == pytest.approx(5 / 7)
     assert one(spark, metrics.soft_spl(F.lit(0.0), F.lit(5.0), F.lit(7.0))) == pytest.approx(5 / 7)
