@@ -40,7 +40,7 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: i
         if x["n"] is None or not x["weight"] or x["n"] == last:
             break
         last, rest, by = x["n"], x["total"] - x["capped"], x["weight"]
-        share = (F.col("weight") * F.lit(int(rest))).cast("double") / F.lit(float(by))
+        share = (F.col("weight") * F.lit(int(rest)).cast("long")).cast("double") / F.lit(float(by))
         full = full | (share > top)
     target = F.when(full, top.cast("double")).otherwise(share if share is not None else F.lit(0.0)) if share is not None else F.lit(0.0)
     return ranked.withColumn("target", target)

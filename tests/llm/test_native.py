@@ -143,3 +143,9 @@ def test_mixing_caps_are_shared_out(spark):
     got = {r.source: r.target for r in mixing.targets(per).collect()}
     assert got["b"] == 30.0 and got["c"] == 60.0
     assert abs(got["a"] - 720.0) < 1e-9 and abs(got[None] - 720.0) < 1e-9
+
+
+def test_mixing_beyond_an_int(spark):
+    """The sum of all sizes fits an int, three times as much doesn't."""
+    per = spark.createDataFrame([("a", 300_000_000), ("b", 300_000_000), ("c", 300_000_000)], "source string, source_size long")
+    assert {r.source: r.target for r in mixing.targets(per).collect()} == {"a": 150_000_000.0, "b": 300_000_000.0, "c": 450_000_000.0}
