@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,26 @@ def test_negative_zeros(spark):
     assert {r.id: r.bearing for r in world_queries.geo1_lengths(t).collect()} == {1: 3.141593, 2: -3.141593}
     assert {r.id: r.phi for r in sensor_queries.geo5_point_goal(t).collect()} == {1: 3.141593, 2: -3.141593}
     assert {r.id: str(r.x) for r in frame_queries.points(t).collect()} == {1: "-0.0", 2: "0.0"}
+
+
+def test_a_crowded_place_is_many_tasks(spark, monkeypatch):
+    """All rows in one place, and a few elsewhere: blocks of it are dealt, and all pairs come out once."""
+    monkeypatch.setattr(spatial, "BLOCK", 20)
+    rows = [(i, 1.0, 0.0, 1.0) for i in range(300)] + [(900 + i, 1.5, 0.0, 1.0) for i in range(3)]
+    got = spatial.near_pairs(frame(spark, rows), "id", 1.0, digits=1)
+    want = sorted((a[0], b[0], apart(a, b)) for a, b in itertools.permutations(rows, 2))
+    assert sorted((r.a_id, r.b_id, r.distance) for r in got.collect()) == want
+    assert got.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def last_step(df):
+    """The plan behind its last join, and the rest."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    last = re.split(r"\w*Join", plan)[0]
+    return last, plan[len(last) :]
+
+
+def test_pairs_become_rows_last(spark):
+    """Nothing is joined, sorted or moved once a pair of places has become rows."""
+    last, before = last_step(spatial.near_pairs(frame(spark), "id", 1.0))
+    assert "explode(_b" in last and "Exchange" not in last and "Sort" not in last and "a_id" not in before
