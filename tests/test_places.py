@@ -108,3 +108,10 @@ def test_pairs_become_rows_last(spark):
     """Nothing is joined, sorted or moved once a pair of places has become rows."""
     last, before = last_step(spatial.near_pairs(frame(spark), "id", 1.0))
     assert "explode(_b" in last and "Exchange" not in last and "Sort" not in last and "a_id" not in before
+
+
+def test_gaps_are_rounded_once(spark):
+    """For two places, not for all of their rows; which is the last step."""
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    last, before = last_step(sensor_queries.geo14_box_gap(t))
+    assert "explode(_b" in last and "round(" not in last and "a_id" not in before
