@@ -141,7 +141,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 @query(COVER + " SELECT ray, step, x, y FROM l")
 def geo19_supercover(t: Tables) -> DataFrame:
-    return spatial.crossed(spread(rays(t))).select("ray", "step", c("x").cast("long").alias("x"), c("y").cast("long").alias("y"))
+    return spatial.crossed(spread(rays(t)), packed=True).select("ray", "step", c("x").cast("long").alias("x"), c("y").cast("long").alias("y"))
 
 
 @query(COVER + ", m AS (SELECT c_custkey // 30 AS x, c_custkey % 30 AS y, c_custkey * 13 % 7 > 1 AS open FROM customer), k AS (SELECT l.*, coalesce(open, false) AS open FROM l LEFT JOIN m USING (x, y)), s AS (SELECT ray, min(step) AS stop FROM k WHERE NOT open GROUP BY ray) SELECT DISTINCT x, y FROM k LEFT JOIN s USING (ray) WHERE stop IS NULL OR step < stop")

@@ -115,3 +115,29 @@ def test_gaps_are_rounded_once(spark):
     t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
     last, before = last_step(sensor_queries.geo14_box_gap(t))
     assert "explode(_b" in last and "round(" not in last and "a_id" not in before
+
+
+def test_rays_go_abreast(spark, tmp_path, monkeypatch):
+    """The same cells in every order, in less room."""
+    ends = [(i, 3, 4, 3 + dx, 4 + dy) for i, (dx, dy) in enumerate(itertools.product(range(-9, 10), range(-9, 10)))]
+    rays = spark.createDataFrame(ends, "ray long, x0 long, y0 long, x1 long, y1 long")
+    want = sorted(map(tuple, spatial.crossed(rays).collect()))
+    for group, stride in ((512, 256), (20, 4), (7, 1)):
+        monkeypatch.setattr(spatial, "ABREAST", group)
+        monkeypatch.setattr(spatial, "STRIDE", stride)
+        assert sorted(map(tuple, spatial.crossed(rays, packed=True).collect())) == want
+    assert spatial.crossed(rays.limit(0), packed=True).count() == 0
+    monkeypatch.undo()
+    long = spark.range(400).select(F.col("id").alias("ray"), F.lit(9).alias("x0"), F.lit(11).alias("y0"), (2000 + F.col("id") * 7).alias("x1"), (F.col("id") % 30).alias("y1"))
+    size = {}
+    for packed in (False, True):
+        spatial.crossed(long, packed=packed).coalesce(1).write.parquet(f"{tmp_path}/{packed}")
+        size[packed] = sum(f.stat().st_size for f in (tmp_path / str(packed)).glob("*.parquet"))
+    assert size[True] < size[False] / 2
+
+
+def test_supercover_is_packed(spark, monkeypatch):
+    asked, own = [], spatial.crossed
+    monkeypatch.setattr(spatial, "crossed", lambda *a, **more: (asked.append(more), own(*a, **more))[1])
+    sensor_queries.geo19_supercover(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    assert asked == [{"packed": True}]
